@@ -70,7 +70,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     A document lies at words [start, start + size) of its source's shard, in the order of a seeded hash. A shard's words are
     cut into blocks of equal length, at most `block` words; its integer quota of blocks comes from two rounds of Sainte-Laguë,
     over the sources and over the shards of a source. Each block is taken quota div blocks times, and the blocks first in a
-    seeded order once more. blocks: _source, _shard, block, block_start, block_end, times, before (words taken before it).
+    seeded order once more. blocks: _source, _shard, block, block_start, block_end, times, before (words taken before it), taken_all.
 
     A source has as many shards as it needs for `shard` words each (65,536 at most), so no task orders more than a shard's
     documents and blocks, however large the source. Only tables of sources meet in one task.
@@ -97,9 +97,10 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     times = F.expr("_quota div _blocks") + F.when(rank <= F.col("_quota") % F.col("_blocks"), 1).otherwise(0)
     blocks = blocks.withColumns({"times": times, "block_start": F.expr("block * _words div _blocks"), "block_end": F.expr("(block + 1) * _words div _blocks")})
     before = F.coalesce(F.sum(F.col("times") * (F.col("block_end") - F.col("block_start"))).over(cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("before", before).select("_source", "_shard", "block", "block_start", "block_end", "times", "before")
+    every = F.sum(F.col("times") * (F.col("block_end") - F.col("block_start"))).over(cell)
+    blocks = blocks.withColumns({"before": before, "taken_all": every}).select("_source", "_shard", "block", "block_start", "block_end", "times", "before", "taken_all")
     placed = placed.join(cells.select("_source", "_shard", "_words", "_blocks"), ["_source", "_shard"], "left")
-    return placed, blocks
+    return placed, blocks.hint("merge")  # Spark's estimate misses the explosion and would broadcast all blocks
 
 
 def block_at(position: str) -> Column:
@@ -123,8 +124,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     full = placed.where("size > 0").withColumn("block", block_at("start")).join(blocks, ["_source", "_shard", "block"])
     upto = F.col("before") + F.col("times") * (F.col("start") - F.col("block_start"))
     full = full.withColumn("_upto", upto)
-    total = blocks.groupBy("_source", "_shard").agg(F.sum(F.col("times") * (F.col("block_end") - F.col("block_start"))).alias("_all"))
-    full = full.join(total, ["_source", "_shard"]).withColumn("taken", F.coalesce(F.lead("_upto").over(cell), F.col("_all")) - F.col("_upto"))
+    full = full.withColumn("taken", F.coalesce(F.lead("_upto").over(cell), F.col("taken_all")) - F.col("_upto"))
     out = ["doc_id", "source", "size", "source_size", "target", "taken"]
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return full.select(*out).unionByName(none.select(*out))
