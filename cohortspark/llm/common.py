@@ -41,6 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (which are counted); beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, packing, sharding, topk, toxicity, warc
+from . import ann, chat, jaccard_join, langid, mixing, packing, sharding, topk, toxicity, warc
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_top_inner_products": op7_top_inner_products,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
