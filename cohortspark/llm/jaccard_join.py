@@ -260,7 +260,7 @@ def deduplicated(docs: DataFrame, width: int = 3, percent: int = 90, **limits: i
     found = jaccard_components(docs, width, percent, **limits)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = checkpointed(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    out = docs.join(kept.select(F.col("doc_id").alias("__kept_doc_id")), F.col("doc_id").cast("long") == F.col("__kept_doc_id"), "left_semi")
     if not kept.where("_rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bins of hashed n-grams.
@@ -128,21 +128,24 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     return MixtureModel.of(languages, counts)
 
 
+def identified(model: MixtureModel, text: str = "text") -> Column:
+    """The languages of every whole text as a column: array of (lang, share), largest share first; empty for null texts and
+    texts without a letter. The model is at most bins x languages; it goes along with the tasks' code."""
+
+    @F.pandas_udf("array<struct<lang: string, share: double>>")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"lang": a, "share": b} for a, b in model.infer(t)] for t in texts], dtype=object)
+
+    return each(F.col(text))
+
+
 def identify(docs: DataFrame, model: MixtureModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The languages of every whole text: key, lang_pred, score (its share, 0 to 1) and languages (all chosen, with shares).
 
-    Null texts and texts without a letter are `und` with score 0, as is every text if no language was learned. The model is
-    at most bins x languages; it goes along with the tasks' code. Keys may be null or repeat; an empty table gives none.
+    Null texts and texts without a letter are `und` with score 0, as is every text if no language was learned. Keys may be
+    null or repeat; other columns are ignored; an empty table gives none.
     """
-
-    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.infer(t) for t in batch["text"]]
-            out = pd.DataFrame({"key": batch["key"].astype("Int64"), "lang_pred": [f[0][0] if f else UNDETERMINED for f in found], "score": [f[0][1] if f else 0.0 for f in found]})
-            out["languages"] = [[{"lang": a, "share": b} for a, b in f] for f in found]
-            out["score"] = out["score"].clip(0, 1)
-            yield out
-
-    schema = "key long, lang_pred string, score double, languages array<struct<lang: string, share: double>>"
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(infer, schema).withColumnRenamed("key", key)
+    found = docs.select(key, identified(model, text).alias("languages"))
+    first = F.try_element_at("languages", F.lit(1))
+    share = F.least(F.lit(1.0), F.coalesce(first["share"], F.lit(0.0)))
+    return found.select(key, F.coalesce(first["lang"], F.lit(UNDETERMINED)).alias("lang_pred"), share.alias("score"), "languages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, saved, shuffle_partitions, text_key
+from .common import WORD, checkpointed, saved, shuffle_partitions, small, text_key
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (3, 1, 2)
@@ -78,7 +78,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     docs = docs.withColumn("_source", text_key("source"))
     sources = docs.groupBy("_source", "source").agg(F.sum("size").alias("words"))
     sources = checkpointed(source_targets(sources, weights, share, most).withColumn("_shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("words") / shard))).cast("long")))
-    placed = docs.join(sources.select("_source", F.col("words").alias("source_size"), "target", "rate", "_shards"), "_source")
+    placed = docs.join(small(sources.select("_source", F.col("words").alias("source_size"), "target", "rate", "_shards")), "_source")
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("_shards"))).drop("_shards")
     order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -99,7 +99,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     before = F.coalesce(F.sum(F.col("times") * (F.col("block_end") - F.col("block_start"))).over(cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = F.sum(F.col("times") * (F.col("block_end") - F.col("block_start"))).over(cell)
     blocks = blocks.withColumns({"before": before, "taken_all": every}).select("_source", "_shard", "block", "block_start", "block_end", "times", "before", "taken_all")
-    placed = placed.join(cells.select("_source", "_shard", "_words", "_blocks"), ["_source", "_shard"], "left")
+    placed = placed.join(small(cells.select("_source", "_shard", "_words", "_blocks")), ["_source", "_shard"], "left")
     return placed, blocks.hint("merge")  # Spark's estimate misses the explosion and would broadcast all blocks
 
 
@@ -137,20 +137,18 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     at least n times, with the white space after them; a document taken whole keeps its text as it is. `text` is replaced,
     n_chars is counted anew if there is one, and the other columns stay. Copies are rows with the same doc_id.
     """
-    columns = docs.columns
-    docs = saved(docs.withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
-    slim = docs.select("doc_id", "source", F.col("_size").alias("size"), "_row")
+    row = F.monotonically_increasing_id()  # fixed by writing it
+    docs = saved(docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"), row.alias("row")), "mix-texts")
+    slim = docs.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "row")
     placed, blocks = plan_mix(slim, **options)
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_at("start"), block_at("start + size - 1"))))
+    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_at("start"), block_at("(start + size - 1)"))))
     pieces = pieces.join(blocks, ["_source", "_shard", "block"])
     low, high = F.greatest(F.col("start"), F.col("block_start")) - F.col("start"), F.least(F.col("start") + F.col("size"), F.col("block_end")) - F.col("start")
-    pieces = pieces.select("_row", F.struct(low.alias("low"), high.alias("high"), F.col("times")).alias("piece"))
-    pieces = pieces.groupBy("_row").agg(F.sort_array(F.collect_list("piece")).alias("_pieces"), F.min("piece.times").alias("_least"), F.max("piece.times").alias("_most"))
-    out = docs.join(pieces.where("_most > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    out = out.withColumn("_words", F.when(F.col("_copy") > F.col("_least"), words))
-    cut = F.transform(F.filter("_pieces", lambda p: p.times >= F.col("_copy")), lambda p: F.concat_ws("", F.slice("_words", p.low.cast("int") + 1, (p.high - p.low).cast("int"))))
-    out = out.withColumn("text", F.when(F.col("_copy") <= F.col("_least"), F.col("text")).otherwise(F.concat_ws("", cut)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*columns)
+    pieces = pieces.select("row", F.struct(low.alias("low"), high.alias("high"), F.col("times")).alias("piece"))
+    pieces = pieces.groupBy("row").agg(F.sort_array(F.collect_list("piece")).alias("pieces"), F.min("piece.times").alias("least"), F.max("piece.times").alias("most"))
+    out = docs.join(pieces.where("most > 0"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    out = out.withColumn("words", F.when(F.col("copy") > F.col("least"), F.regexp_extract_all("doc.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))))
+    cut = F.transform(F.filter("pieces", lambda p: p.times >= F.col("copy")), lambda p: F.concat_ws("", F.slice("words", p.low.cast("int") + 1, (p.high - p.low).cast("int"))))
+    out = out.withColumn("text", F.when(F.col("copy") <= F.col("least"), F.col("doc.text")).otherwise(F.concat_ws("", cut)))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.schema["doc"].dataType.names))
