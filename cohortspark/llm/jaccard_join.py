@@ -207,7 +207,7 @@ def region_links(regions: DataFrame, percent: int, leaf_sets: int = LEAF_SETS, l
         points = rows.where(F.pmod(F.xxhash64("region", "node"), F.lit(1 << 30)) < share * (1 << 30))
         least = rows.groupBy("region").agg(F.min("node").alias("node"))  # one at least
         points = points.select("region", "node", "shingles", "parts").unionByName(rows.join(least, ["region", "node"], "left_semi").select("region", "node", "shingles", "parts")).dropDuplicates(["region", "node"])
-        points = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        points = saved(points, "pivots").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         rows = rows.select("region", "part", "node", "size", "shingles", F.col("sets").alias("members"))
         split = rows.groupBy("region", "part").cogroup(points.groupBy("region", "part")).applyInPandas(lambda r, p: split_region(r, p, percent) if len(r) else r.assign(region="")[["region", "node", "size", "shingles", "members"]], "region string, node long, size long, shingles array<long>, members long")
         regions = saved(split, "regions")
