@@ -84,11 +84,12 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, key: str
     entries = meet(rows, asked, collect, "query_id long, vec_id long, row long, list int, score long")
     # rows that are equal in key and vector give equal entries: their number is kept and each is ranked
     met = entries.groupBy("query_id", "vec_id", "row", "list").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("copies"))
-    met = met.groupBy("query_id", "vec_id", "row").agg(F.sum(F.col("score").cast("decimal(38,0)")).alias("known"), F.count(F.lit(1)).alias("seen"), F.max("copies").alias("copies"))
+    met = met.groupBy("query_id", "vec_id", "row").agg(F.sum(F.col("score").cast("decimal(38,0)")).alias("known"), F.count(F.lit(1)).alias("seen"), F.max("copies").alias("copies"), F.max(F.col("score").isin(LEAST, MOST)).alias("cut_off"))
     met = met.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), "cutoff"), "query_id")
     missing = (F.lit(n_lists) - F.col("seen")) * (F.ceil(F.col("cutoff").cast("decimal(38,0)") / n_lists) - 1)
-    met = met.where((F.col("known") + missing >= F.col("cutoff")) | (F.col("cutoff") == LEAST))
-    open_ = met.where(F.col("seen") < n_lists).join(rows.select("row", "vec_id", "vector").dropDuplicates(["row", "vec_id"]), ["row", "vec_id"])
+    met = met.where((F.col("known") + missing >= F.col("cutoff")) | (F.col("cutoff") == LEAST) | F.col("cut_off"))
+    unsure = (F.col("seen") < n_lists) | F.col("cut_off")  # a partial score beyond 64 bits tells the total no better
+    open_ = met.where(unsure).join(rows.select("row", "vec_id", "vector").dropDuplicates(["row", "vec_id"]), ["row", "vec_id"])
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,7 +98,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, key: str
                 yield pd.DataFrame({"query_id": b["query_id"], "vec_id": b["vec_id"], "score": score, "copies": b["copies"]})
 
     late = open_.select("query_id", "vec_id", "asked", "vector", "copies").mapInPandas(resolve, "query_id long, vec_id long, score long, copies long")
-    clear = met.where(F.col("seen") == n_lists).select("query_id", "vec_id", F.least(F.greatest("known", F.lit(LEAST).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("score"), "copies")
+    clear = met.where(~unsure).select("query_id", "vec_id", F.least(F.greatest("known", F.lit(LEAST).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("score"), "copies")
     every = clear.unionByName(late).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return ranked(every.select("query_id", "vec_id", "score"), k)
 
