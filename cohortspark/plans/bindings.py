@@ -1,4 +1,8 @@
-"""The roles of the data model, played by the provided tables; and the same as SQL common table expressions."""
+"""The roles of the data model, played by the provided tables; and the same as SQL common table expressions.
+
+The tables lack some attributes that operators need (who is absent, which rows are censored, which set another cohort tests
+on). Arithmetic on ids plays these, on both sides; no query uses it to read less.
+"""
 
 from __future__ import annotations
 
@@ -69,7 +73,8 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     flat = F.translate("text", "\r\n", "  ")
-    text = F.concat(F.lit("FINDINGS: "), F.substring(flat, 1, 100), F.lit(" IMPRESSION: "), F.substring(flat, 101, 80), F.lit(" SUMMARY CODE 3"))
+    half = F.floor(F.char_length(flat) / 2).cast("int")
+    text = F.concat(F.lit("FINDINGS: "), F.substring(flat, F.lit(1), half), F.lit(" IMPRESSION: "), F.substring(flat, half + 1, F.char_length(flat)), F.lit(" SUMMARY CODE 3"))
     return read(spark, d, "documents").select(F.col("doc_id").alias("note_id"), text.alias("note"))
 
 
@@ -81,4 +86,4 @@ EDGES = "edges AS (SELECT p_partkey AS descendant, CAST(split_part(p_brand, '#',
 PERSONS = "persons AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 10 <> 0 THEN DATE '1930-01-01' + CAST(c_custkey % 20000 AS INT) END AS birth_time, CASE WHEN c_custkey % 20 <> 0 THEN 1950 END AS year_of_birth, CASE c_nationkey % 3 WHEN 0 THEN 8507 WHEN 1 THEN 8532 ELSE 0 END AS gender, CASE WHEN c_nationkey % 2 = 0 THEN 38003563 WHEN c_nationkey % 5 <> 0 THEN 38003564 END AS ethnicity, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 8527 WHEN 'BUILDING' THEN 8516 WHEN 'FURNITURE' THEN 8515 WHEN 'HOUSEHOLD' THEN 8557 ELSE 0 END AS race, c_nationkey AS site FROM customer)"
 PREDICTIONS = "preds AS (SELECT doc_id AS patient_id, task, label, model, prob FROM (SELECT doc_id, least(0.999, n_chars / 20000.0) AS a, (doc_id * 7919 % 1000) / 1000.0 AS b, quality, toxic FROM documents JOIN labels USING (doc_id)), LATERAL (VALUES ('quality', quality, 'A', a), ('quality', quality, 'B', b), ('toxic', toxic, 'A', a), ('toxic', toxic, 'B', b)) AS t(task, label, model, prob))"
 SLICES = "slices AS (SELECT CAST(label AS VARCHAR) AS scan, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS slice_idx, embedding AS vector, vec_id FROM embeddings)"
-NOTES = "notes AS (SELECT doc_id AS note_id, 'FINDINGS: ' || substr(flat, 1, 100) || ' IMPRESSION: ' || substr(flat, 101, 80) || ' SUMMARY CODE 3' AS note FROM (SELECT doc_id, translate(text, chr(13) || chr(10), '  ') AS flat FROM documents))"
+NOTES = "notes AS (SELECT doc_id AS note_id, 'FINDINGS: ' || substr(flat, 1, length(flat) // 2) || ' IMPRESSION: ' || substr(flat, length(flat) // 2 + 1) || ' SUMMARY CODE 3' AS note FROM (SELECT doc_id, translate(text, chr(13) || chr(10), '  ') AS flat FROM documents))"

@@ -166,10 +166,10 @@ def flag_in(spark, d):
     return K.flag_in(B.read(spark, d, "customer"), keys, "c_custkey", "flag").select("c_custkey", "flag")
 
 
-@query("SELECT doc_id FROM documents WHERE NOT contains(text, substr(text, 1, 20) || CASE WHEN doc_id % 4 = 0 THEN '~~' ELSE '' END)")
+@query("SELECT doc_id FROM documents WHERE NOT contains(text, text || CASE WHEN doc_id % 4 = 0 THEN '~~' ELSE '' END)")
 def text_disagreements(spark, d):
     docs = B.read(spark, d, "documents")
-    part = docs.select("doc_id", F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 4 == 0, "~~").otherwise("")).alias("text"))
+    part = docs.select("doc_id", F.concat("text", F.when(F.col("doc_id") % 4 == 0, "~~").otherwise("")).alias("text"))
     return K.text_disagreements(part, docs.select("doc_id", "text"), "doc_id", "text")
 
 
