@@ -40,6 +40,25 @@ def in_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFram
     return df
 
 
+def keep_domains(df: DataFrame, prefixes: list[str], code: str = "code") -> DataFrame:
+    """Rows whose code ('VOCAB/code') has one of the vocabularies, whatever the case."""
+    return df.where(F.upper(F.substring_index(code, "/", 1)).isin([p.upper() for p in prefixes]))
+
+
+def concat_blocks(*blocks: DataFrame) -> DataFrame:
+    """Feature blocks of the same studies as one long table: what is a column-wise concatenation of wide ones."""
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block, allowMissingColumns=True)
+    return out
+
+
+def restrict(instances: DataFrame, series: DataFrame, cohort: DataFrame, series_key: str, study_key: str) -> tuple[DataFrame, DataFrame]:
+    """(instances of the selected series, the cohort's studies that still have one)."""
+    kept = instances.join(series.select(series_key).distinct(), series_key, "left_semi")
+    return kept, cohort.join(kept.select(study_key).distinct(), study_key, "left_semi")
+
+
 def filter_cohort(df: DataFrame, **facets) -> DataFrame:
     """Rows that meet every facet: a value, a list of values, or (low, high) under a name ending in _between."""
     for name, want in facets.items():

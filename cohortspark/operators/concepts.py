@@ -52,3 +52,8 @@ def timeline(tables: dict[str, DataFrame], anchors: DataFrame, windows: dict[str
 def event_timeline(tables: dict[str, DataFrame], anchors: DataFrame, windows: dict[str, int], concepts: DataFrame) -> DataFrame:
     """The timeline with decoded concepts."""
     return decode_concepts(timeline(tables, anchors, windows), concepts)
+
+
+def timeline_preview(timeline: DataFrame, n: int) -> DataFrame:
+    """The first n rows by study, time, table and concept: for a look, not for export."""
+    return timeline.orderBy("study_id", "event_time", "table", "concept_id", "value").limit(n)

@@ -85,6 +85,31 @@ def coalesced_labels(spark, d):
     return A.coalesced_labels(_tokens(spark, d).join(status, "study_id"), "label", "token", "second").select("study_id", "label")
 
 
+@query("SELECT p_partkey, p_type || '/' || p_brand AS code FROM part WHERE p_type IN ('ECONOMY', 'SMALL')")
+def keep_domains(spark, d):
+    return K.keep_domains(B.read(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_type", "p_brand").alias("code")), ["economy", "Small"])
+
+
+@query("SELECT o_orderkey AS study_id, 'price' AS feature, o_totalprice AS value FROM orders UNION ALL SELECT l_orderkey, 'items', CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 1")
+def concat_blocks(spark, d):
+    price = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("study_id"), F.lit("price").alias("feature"), F.col("o_totalprice").alias("value"))
+    items = B.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("study_id")).agg(F.lit("items").alias("feature"), F.count(F.lit(1)).cast("double").alias("value"))
+    return K.concat_blocks(price, items)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size BETWEEN 10 AND 20)")
+def restrict_to_series(spark, d):
+    series = K.in_ranges(B.read(spark, d, "part"), {"p_size": (10, 20)}).select(F.col("p_partkey").alias("l_partkey"))
+    instances = B.read(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").alias("o_orderkey"))
+    return K.restrict(instances, series, B.read(spark, d, "orders").select("o_orderkey"), "l_partkey", "o_orderkey")[1]
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW'")
+def union_cohorts(spark, d):
+    o = B.read(spark, d, "orders")
+    return o.where("o_orderstatus = 'F'").select("o_orderkey").unionByName(o.where("o_orderpriority = '5-LOW'").select("o_orderkey"))
+
+
 @query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (3, 7) AND c_acctbal >= 0 AND c_acctbal < 5000")
 def filter_cohort(spark, d):
     return K.filter_cohort(B.read(spark, d, "customer"), c_nationkey=[3, 7], c_acctbal_between=(0, 5000)).select("c_custkey", "c_nationkey", "c_acctbal")
@@ -526,6 +551,34 @@ def export_long(spark, d):
     return io.read_delimited(spark, path, "study_id long, feature string, value double")
 
 
+@query("SELECT study_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0", B.MET)
+def export_timeline(spark, d):
+    path = _folder(spark)
+    io.export_timeline(_timeline(spark, d), path)
+    return spark.read.parquet(path).select("study_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+
+
+def _timeline(spark, d):
+    from ..operators.concepts import timeline
+
+    return timeline({"labs": B.measurements(spark, d)}, B.anchors(spark, d), {"labs": 7})
+
+
+@query("SELECT study_id, concept_id, value FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0", B.MET)
+def write_events(spark, d):
+    path = _folder(spark)
+    io.write_events(_timeline(spark, d).select("study_id", "concept_id", "value"), path)
+    back = io.read_delimited(spark, f"{path}/csv", "study_id long, concept_id long, value double")
+    return back.intersectAll(spark.read.parquet(f"{path}/parquet"))
+
+
+@query("SELECT study_id, concept_id, value FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0 ORDER BY study_id, event_time, concept_id, value LIMIT 100", B.MET)
+def timeline_preview(spark, d):
+    from ..operators.concepts import timeline_preview as f
+
+    return f(_timeline(spark, d), 100).select("study_id", "concept_id", "value")
+
+
 @query("SELECT split, count(*) AS n FROM anchors GROUP BY 1", B.ANCHORS)
 def write_by_split(spark, d):
     path = _folder(spark)

@@ -224,3 +224,21 @@ def test_same_for_one_and_many_partitions(spark, events, anchors):
 def test_empty_inputs(events, anchors):
     for e, a in ((events.limit(0), anchors), (events, anchors.limit(0))):
         assert X.lab_features(e, a).count() == 0 and X.count_features(e, a).count() == 0 and X.baseline_delta(e, a, 7, (8, 30)).count() == 0
+
+
+def test_tables_and_csv(spark, tmp_path):
+    from cohortspark.sources import io
+
+    name = "t_" + tmp_path.name.replace("-", "_")
+    df = spark.createDataFrame([("007", 1.5), ("008", None)], "id string, x double")
+    try:
+        assert io.save_table(df, name) == (2, 2) and io.save_table(df.limit(1), name) == (1, 2)
+        df.write.option("header", True).csv(str(tmp_path / "c"))
+        assert io.create_table_from_csv(spark, str(tmp_path / "c"), name + "_c").count() == 2
+        with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+            io.create_table_from_csv(spark, str(tmp_path / "c"), name + "_c")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_c")
+    assert sorted(r.id for r in io.read_delimited(spark, str(tmp_path / "c"), "id string, x double").collect()) == ["007", "008"]
+    assert io.spec_key({"a": 1, "b": 2}) == io.spec_key({"b": 2, "a": 1}) != io.spec_key({"a": 1})
