@@ -46,6 +46,19 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts are about to go to Python: batches of at most TEXT_ROWS rows from now on in its session, since Spark's
+    default of 10,000 texts, held on both sides, is what fills an executor's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

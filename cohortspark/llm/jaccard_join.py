@@ -10,58 +10,90 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, saved, shuffle_partitions, small
+from .common import checkpointed, saved, shuffle_partitions, small, text_batches
 from .graphs import components
 from .shingles import mixed, shingle_sets
 
 #: What a region may hold to be joined in one task: sets, and shingles of all of them.
-LEAF_SETS, LEAF_SHINGLES = 1024, 2_000_000
+LEAF_SETS, LEAF_SHINGLES = 1024, 1_000_000
 #: Pivots of a region that is split, at most.
 PIVOTS = 32
 #: Texts that are cut into shingles at once, by characters.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Sets of equal key that are compared in one sweep with those of other keys, sets compared at once where a key has more, and
+#: the number beyond which they aren't compared but all joined.
+FEW, BLOCK, MOST_MEMBERS = 16, 512, 1 << 16
+#: Rows that are compared in one sweep, about.
+SWEEP = 20_000
+#: The similarity in percent from which classes make the keys.
+CLASSES_FROM = 85
+#: Sets whose keys a task remembers to have given.
+REMEMBERED = 500_000
 
 
-def size_levels(most: int = 1 << 40) -> np.ndarray:
-    """Upper ends of the size levels: each about half as large again as the one before."""
-    ends = [1]
-    while ends[-1] < most:
-        ends.append(ends[-1] + max(1, ends[-1] // 2))
-    return np.array(ends)
+def level_of(size: int) -> int:
+    """Size levels are octaves."""
+    return size.bit_length()
 
 
-_ENDS = size_levels()
+def levels(size: int, percent: int) -> list[int]:
+    """The levels at which a set meets its partners: its own, and that of the largest one it can have, which is the level of the
+    larger set for every pair; two at most."""
+    return sorted({level_of(size), level_of(100 * size // percent)})
 
 
-def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set such that any two sets with a Jaccard similarity of percent / 100 or more share at least one.
+def sketch_width(level: int) -> int:
+    """Classes of a sketch at a level: about a tenth of the shingles, so that counts of unrelated sets differ enough; 512 at most,
+    as every key of a set brings its sketch along."""
+    return min(512, max(64, 1 << max(0, level - 3)))
 
-    Two linked sets of sizes a and b differ in at most d = (100 - percent) / (100 + percent) * (a + b) shingles. Both are cut
-    by hash into m classes; each differing shingle spoils one class, so m - d classes are equal. With m = d + 1 + spare, at
-    least spare + 1 are, so a set with at most `spare` empty classes has an equal class that isn't empty, and only sets with
-    more give keys for their empty classes. d is taken from the upper end of a size level; a set gives keys for its own level
-    and for that of the largest partner it may have, so that both sides of a pair have keys for the larger one's level.
-    """
+
+def first_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest of the set's hashes, so many that two sets with a similarity of percent / 100 or more share at least one.
+    (If sets of sizes a <= b share c >= percent / 100 * b hashes, all but b - c of the larger's are shared; so the least shared
+    one is among the first size - least + 1 of either.)"""
     n = len(shingles)
-    out = []
-    levels = {int(np.searchsorted(_ENDS, n)), int(np.searchsorted(_ENDS, 100 * n // percent))} if n else set()
-    for level in sorted(levels):
-        d = 2 * int(_ENDS[level]) * (100 - percent) // (100 + percent)
-        if d == 0:
-            continue  # equal sets only, which are one class already
-        spare = 1 + d // 32
-        m = d + 1 + spare
-        place = (shingles % np.uint64(m)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        which, first = np.unique(place[order], return_index=True)
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(mixed(shingles[order]), first)
-            name = np.uint64(level) * np.uint64(0xD1B54A32D192ED03) + which.astype(np.uint64)
-            out.append(mixed(content ^ mixed(name)))
-            if m - len(which) > spare:
-                empty = np.setdiff1d(np.arange(m), which).astype(np.uint64)
-                out.append(mixed(mixed(np.uint64(level) * np.uint64(0xD1B54A32D192ED03) + empty) + np.uint64(1)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return shingles[: n + (-percent * n // 100) + 1]
+
+
+def class_keys(shingles: np.ndarray, level: int, percent: int) -> np.ndarray:
+    """The contents of classes into which the hashes are dealt, so many that two sets with a similarity of percent / 100 or more
+    have at least one equal.
+
+    Linked sets of this level differ in at most d hashes, each of which spoils one class, so of m = d + 1 + spare classes at
+    least spare + 1 are equal. A set with at most `spare` empty classes thus has an equal one that isn't empty; only sets with
+    more give keys for their empty classes, too. Where d is 0 only equal sets are linked, and one hash tells.
+    """
+    d = 2 * ((1 << level) - 1) * (100 - percent) // (100 + percent)
+    if d == 0:
+        return shingles[:1]
+    spare = 1 + d // 32
+    m = d + 1 + spare
+    place = (shingles % np.uint64(m)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    which, first = np.unique(place[order], return_index=True)
+    with np.errstate(over="ignore"):
+        keys = mixed(np.add.reduceat(mixed(shingles[order]), first) ^ mixed(which.astype(np.uint64)))
+        if m - len(which) > spare:
+            keys = np.concatenate([keys, mixed(mixed(np.setdiff1d(np.arange(m), which).astype(np.uint64)) + np.uint64(1))])
+    return keys
+
+
+def block_keys(shingles: np.ndarray, percent: int) -> list[np.ndarray]:
+    """For each of the set's levels keys of which two sets that may be linked share at least one there.
+
+    From CLASSES_FROM percent on a class holds so many hashes that unrelated sets hardly have one in common, however common
+    their shingles; below that classes get too small, and the first hashes are fewer and tell more.
+    """
+    with np.errstate(over="ignore"):
+        return [mixed((class_keys(shingles, level, percent) if percent >= CLASSES_FROM else first_keys(shingles, percent)) ^ (np.uint64(level) * np.uint64(0xD1B54A32D192ED03))) for level in levels(len(shingles), percent)]
+
+
+def sketch(shingles: np.ndarray, level: int) -> np.ndarray:
+    """Counts of the shingles by hash class, up to 255: the sum of differences of two sketches is at most the number of shingles
+    that the sets differ in."""
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % sketch_width(level), minlength=sketch_width(level))
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -80,19 +112,127 @@ def chunks(texts: list) -> Iterator[tuple[int, int]]:
 
 
 def with_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node: the set's fingerprint, null for the empty set, keys) of every whole text."""
+    """(doc_id, n_shingles, node: the set's fingerprint, null for the empty set, and for each of its levels the level, keys and
+    sketch) of every whole text. A task gives keys and sketch of equal sets once, as long as it remembers them."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: set[int] = set()
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
             for i, j in chunks(texts):
                 sets = list(shingle_sets(texts[i:j], width))
+                nodes = [fingerprint(s) if len(s) else None for s in sets]
+                parts = []
+                for node, s in zip(nodes, sets):
+                    new = node is not None and node not in given
+                    parts.append([{"level": n, "keys": k.view(np.int64), "sketch": sketch(s, n).tobytes() if percent < CLASSES_FROM else None} for n, k in zip(levels(len(s), percent), block_keys(s, percent))] if new else [])
+                    if new:
+                        if len(given) > REMEMBERED:
+                            given.clear()
+                        given.add(node)
                 out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[i:j].astype("Int64"), "n_shingles": [len(s) for s in sets]})
-                out["node"] = pd.array([fingerprint(s) if len(s) else None for s in sets], "Int64")
-                out["keys"] = [block_keys(s, percent).view(np.int64) for s in sets]
+                out["node"] = pd.array(nodes, "Int64")
+                out["parts"] = parts
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, n_shingles long, node long, keys array<long>")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, n_shingles long, node long, parts array<struct<level: int, keys: array<long>, sketch: binary>>")
+
+
+def close_pairs(size: np.ndarray, sketches: np.ndarray, a: slice, b: slice, percent: int) -> np.ndarray:
+    """Which pairs of two runs of sets may be linked by what sizes and sketches say: the only ones that aren't are sets of which
+    one is too small for the other, or whose sketches differ by more than linked sets of their sizes can."""
+    x, y = sketches[a].astype(np.int16).T, sketches[b].astype(np.int16).T.copy()  # classes first: rows of pairs are added up
+    wide = np.int16 if len(y) <= 128 else np.int32  # 128 * 255 fits
+    difference = np.stack([np.abs(y - x[:, i : i + 1]).sum(0, dtype=wide) for i in range(x.shape[1])]).astype(np.int64)
+    n, m = size[a][:, None], size[b][None, :]
+    return (difference <= (100 - percent) * (n + m) // (100 + percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def forest(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what the pairs of `close` join, without rings."""
+    out, rows, columns = [], np.ones(len(left), bool), np.ones(len(right), bool)
+    for i in range(len(left)):
+        if not rows[i]:
+            continue
+        rows[i], front = False, [i]
+        while front:
+            reached = np.flatnonzero(close[front].any(0) & columns)
+            columns[reached] = False
+            out += [(left[i], right[j]) for j in reached]
+            back = np.flatnonzero(close[:, reached].any(1) & rows) if len(reached) else []
+            rows[back] = False
+            out += [(left[i], left[j]) for j in back]
+            front = list(back)
+    return out
+
+
+def group_edges(node: np.ndarray, size: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that join the sets of one key that may be linked, in blocks along their sizes. Beyond MOST_MEMBERS sets all are
+    joined: more than need be, never less."""
+    if len(node) > MOST_MEMBERS:
+        return [(n, node[0]) for n in node[1:]]
+    order = np.argsort(size, kind="stable")
+    node, size, sketches, out = node[order], size[order], sketches[order], []
+    for i in range(0, len(node), BLOCK):
+        for j in range(i, len(node), BLOCK):
+            if 100 * size[min(i + BLOCK, len(node)) - 1] < percent * size[j]:
+                break
+            a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            out += forest(close_pairs(size, sketches, a, b, percent), node[a], node[b])
+    return out
+
+
+def may_be_linked(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) among members (key, level, node, size, sketch) of the same key and level, so that every two that may be
+    linked are joined, directly or over others. Rows are dealt by key and sorted, so a task meets one key after the other and
+    holds one key's members; keys with few members, which most are, are compared many at a time."""
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["key"].iloc[-1]
+            done = batch["key"].ne(last)
+            held.append(batch)
+            rows += len(batch)
+            if rows >= SWEEP:
+                every = pd.concat(held)
+                open_ = every["key"].eq(last)  # its key may go on in the next batch
+                if not open_.all():
+                    yield compared(every[~open_])
+                    every = every[open_]
+                held, rows = [every.drop_duplicates(["key", "level", "node"])], 0
+        if held:
+            yield compared(pd.concat(held))
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[np.ndarray] = []
+        rows = rows.drop_duplicates(["key", "level", "node"])
+        for level, part in rows.groupby("level", sort=False):
+            part = part.sort_values(["key", "size", "node"])
+            key, node, size = part["key"].to_numpy(), part["node"].to_numpy(), part["size"].to_numpy()
+            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(begin, len(key)))
+            few = np.repeat(count <= FEW, count)
+            for k in range(1, FEW):
+                i = np.flatnonzero(few[: len(key) - k] & (key[: len(key) - k] == key[k:])) if len(key) > k else np.empty(0, int)
+                for a in range(0, len(i), 4096):
+                    x, y = i[a : a + 4096], i[a : a + 4096] + k
+                    d = np.abs(sketches[x].astype(np.int16) - sketches[y]).sum(1, dtype=np.int32)
+                    ok = (d <= (100 - percent) * (size[x] + size[y]) // (100 + percent)) & (100 * size[x] >= percent * size[y])
+                    out.append(np.stack([node[x[ok]], node[y[ok]]], 1))
+            for a, n in zip(begin[count > FEW], count[count > FEW]):
+                found = group_edges(node[a : a + n], size[a : a + n], sketches[a : a + n], percent)
+                if found:
+                    out.append(np.array(found, np.int64))
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInPandas(edges, "a long, b long").distinct()
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -225,18 +365,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, **lim
     sets and so one component; a null doc_id is in no component_id unless all of a component are null. Other columns are
     ignored, and an empty table gives none. Equal sets are told by a 64-bit fingerprint.
 
-    1. Equal sets are one node. Nodes that share a block key may be linked, all others can't be (block_keys is exact, and
-       between unrelated texts all distances are 1, so no pivot could part them). Keys are aggregated before they are
-       shuffled; those of one node alone end there.
+    1. Equal sets are one node. Nodes that share a block key may be linked; all others can't be (block_keys is exact; between
+       unrelated texts all distances are 1, so no pivot could part them). Keys of one node alone end in an aggregation. Below
+       CLASSES_FROM percent, where unrelated nodes share keys more often, sizes and sketches rule out most of the rest, exactly.
     2. The components of "may be linked" are the first regions. Only their sets are built, once for each node.
     3. region_links joins them by pivots, Voronoi regions and triangle windows, recursively.
     4. Components of the links give each node its root, and each root its smallest doc_id.
     """
     spark = docs.sparkSession
     keyed = saved(with_keys(docs, width, percent), "shingle-keys")
-    keys = keyed.select(F.explode("keys").alias("key"), "node").repartition(shuffle_partitions(spark), "key")  # one shuffle for both uses
-    least = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    maybe = keys.join(least, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    part = keyed.select("node", F.col("n_shingles").alias("size"), F.explode("parts").alias("part"))
+    keys = part.select("node", F.col("part.level").alias("level"), F.explode("part.keys").alias("key")).repartition(shuffle_partitions(spark), "key")  # one shuffle for both uses
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high")).where("low < _high").select("key", "low")
+    if percent >= CLASSES_FROM:
+        maybe = keys.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    else:
+        sketches = part.groupBy("node", F.col("part.level").alias("level")).agg(F.first("size").alias("size"), F.first("part.sketch").alias("sketch"))
+        members = keys.join(shared.select("key"), "key", "left_semi").join(saved(sketches, "sketches"), ["node", "level"])
+        maybe = may_be_linked(members, percent)
     region = checkpointed(components(maybe))
 
     nodes = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Bins of hashed n-grams.
 BINS = 1 << 15
 #: Documents of each language that the likelihoods are counted from, about: the bound of the sample.
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     """Likelihoods from about per_language documents of each label (doc_id, text, label; null texts and labels don't count):
     the only part that sees a sample. Tasks count their rows; only sums of n-gram bins by language leave them."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    rows = sampled(rows, "label", per_language).select("label", "text")
+    rows = sampled(text_batches(rows), "label", per_language).select("label", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, model: MixtureModel, key: str = "doc_id", text: st
     Null texts and texts without a letter are `und` with score 0, as is every text if no language was learned. Keys may be
     null or repeat; other columns are ignored; an empty table gives none.
     """
-    found = docs.select(key, identified(model, text).alias("languages"))
+    found = text_batches(docs).select(key, identified(model, text).alias("languages"))
     first = F.try_element_at("languages", F.lit(1))
     share = F.least(F.lit(1.0), F.coalesce(first["share"], F.lit(0.0)))
     return found.select(key, F.coalesce(first["lang"], F.lit(UNDETERMINED)).alias("lang_pred"), share.alias("score"), "languages")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Tokens of a window.
 WINDOW = 1024
 #: Documents whose pieces are packed together, about.
@@ -85,7 +87,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
 class OpenWindows:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, shared_dir, text_batches
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -190,7 +190,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     result: what a lost or repeated attempt left behind is in no row and is never read.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("_sha1"))
+    pages = text_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("_sha1"))
     groups = pages.groupBy("_sha1").agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("_response"), F.count("page_id").alias("_ids"))
     groups = checkpointed(groups.where("_n > 1 and _ids > 0").select("_sha1", "_response"))
     pages = pages.join(groups, "_sha1", "left")

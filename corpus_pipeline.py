@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import jaccard_join, langid, mixing, packing, toxicity
-from cohortspark.llm.common import read, saved
+from cohortspark.llm.common import read, saved, text_batches
 from cohortspark.llm.queries import tokenizer_path
 
 
@@ -18,14 +18,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is at or above the threshold of their language."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     score = "__toxicity"
-    return docs.withColumn(score, toxicity.scored(model)).where(F.col(score) < 0.5).drop(score)
+    return text_batches(docs).withColumn(score, toxicity.scored(model)).where(F.col(score) < 0.5).drop(score)
 
 
 def speak(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null texts, texts without a letter); a missing `lang` becomes the one found."""
     found = "__languages"
     model = langid.fit(docs)
-    docs = docs.withColumn(found, langid.identified(model)).where(F.size(found) > 0)
+    docs = text_batches(docs).withColumn(found, langid.identified(model)).where(F.size(found) > 0)
     return docs.withColumn("lang", F.coalesce("lang", F.col(found)[0]["lang"])).drop(found)
 
 
