@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,17 +34,26 @@ class WordIds(dict):
 
     The vocabulary splits a text before every single space between non-space characters, whatever stands around it, so the
     ids of a text are those of such words one after the other. Words come again and again: each is encoded once and then
-    looked up. Texts with other white space at a word's edge are encoded whole. Special tokens' strings are ordinary text.
+    looked up. Texts with other white space at a word's edge are encoded whole.
+
+    `ids` gives what the library's `encode(text, add_special_tokens=False)` gives: the strings of the file's added tokens
+    become their ids wherever they stand, and the text between them is encoded piece by piece. To `of` they are ordinary text.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], file["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at their surroundings aren't supported")
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if all(c in alphabet for c in token)}
-        ranks.pop(b"<|endoftext|>", None)
+        for t in added:
+            ranks.pop(t["content"].encode(), None)
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -62,6 +72,12 @@ class WordIds(dict):
             return self.whole(text)
         return self.whole(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
+    def ids(self, text: str) -> bytes:
+        if not any(c in text for c in self.added):
+            return self.of(text)
+        pieces = self.cuts.split(text)  # text and added tokens in turn
+        return b"".join(self.added[p] if i % 2 else self.of(p) for i, p in enumerate(pieces) if p)
+
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pieces of documents (doc_id, text): the ids of each text and then end_id, cut into full windows and one shorter rest.
@@ -76,7 +92,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = words.of(text) + end if isinstance(text, str) else end
+                ids = words.ids(text) + end if isinstance(text, str) else end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     piece = ids[4 * start : 4 * (start + window)]

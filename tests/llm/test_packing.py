@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from cohortspark.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+_DEFAULT = Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,17 @@ def test_documents(spark, documents, tokenizer):
     whole = packing.sequences(packed, 64).collect()
     assert len(whole) == len(by) and all(len(s.ids) == 64 or len(s.ids) & (len(s.ids) - 1) == 0 for s in whole)
     assert packing.pack_documents(documents([]), PATH).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=_TEXT)
+def test_ids_under_the_librarys_default_setting(words, text):
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == _DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_documents(spark, documents):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "no <|endoftext| > here", "end<|endoftext|>"]
+    got = packing.cut_documents(documents(list(enumerate(texts))), PATH).collect()
+    want = {i: [*_DEFAULT.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert {r.doc_id: list(r.ids) for r in got} == want and want[0] == [64, 220, 50256, 275, 0]
+    assert all(r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()) for r in got)
