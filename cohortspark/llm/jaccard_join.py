@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, saved, shuffle_partitions, small, text_batches
@@ -21,8 +22,8 @@ PIVOTS = 32
 #: Texts that are cut into shingles at once, by characters.
 CHUNK = 1 << 19
 #: Sets of equal key that are compared in one sweep with those of other keys, sets compared at once where a key has more, and
-#: the number beyond which they aren't compared but all joined.
-FEW, BLOCK, MOST_MEMBERS = 16, 512, 1 << 16
+#: the number beyond which the key is split into cells of so many sets, which are compared two by two.
+FEW, BLOCK, CELL = 16, 512, 4096
 #: Rows that are compared in one sweep, about.
 SWEEP = 20_000
 #: The similarity in percent from which classes make the keys.
@@ -167,10 +168,7 @@ def forest(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
 
 
 def group_edges(node: np.ndarray, size: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that join the sets of one key that may be linked, in blocks along their sizes. Beyond MOST_MEMBERS sets all are
-    joined: more than need be, never less."""
-    if len(node) > MOST_MEMBERS:
-        return [(n, node[0]) for n in node[1:]]
+    """Edges that join the sets of one key that may be linked, in blocks along their sizes."""
     order = np.argsort(size, kind="stable")
     node, size, sketches, out = node[order], size[order], sketches[order], []
     for i in range(0, len(node), BLOCK):
@@ -182,10 +180,83 @@ def group_edges(node: np.ndarray, size: np.ndarray, sketches: np.ndarray, percen
     return out
 
 
+def cross_edges(node: np.ndarray, size: np.ndarray, sketches: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that join each set of the `first` with those of the rest that may be linked to it."""
+    a, b, out = np.flatnonzero(first), np.flatnonzero(~first), []
+    a, b = a[np.argsort(size[a], kind="stable")], b[np.argsort(size[b], kind="stable")]
+    for i in range(0, len(a), BLOCK):
+        x = a[i : i + BLOCK]
+        for j in range(0, len(b), BLOCK):
+            y = b[j : j + BLOCK]
+            if 100 * size[x[-1]] < percent * size[y[0]]:
+                break
+            if 100 * size[y[-1]] >= percent * size[x[0]]:
+                both = np.concatenate([x, y])
+                out += forest(close_pairs(size[both], sketches[both], slice(0, len(x)), slice(len(x), len(both)), percent), node[x], node[y])
+    return out
+
+
+def spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """So many of the edges that they join the same."""
+    root: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in edges:
+        x, y = of(a), of(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def large_keys_linked(members: DataFrame, sketches: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+    """The edges of may_be_linked for keys with any number of members (key, level, node), with sketches (node, level, size,
+    sketch) of all nodes.
+
+    A key's members are dealt by size into bands, so wide that linked sets are in the same band or in neighbouring ones, and
+    bands by hash into cells of about `cell` sets. Every two cells of a band or of neighbouring bands, and every cell with
+    itself, are compared in a group of their own: every pair is tested, no task holds more than two cells, and the work grows
+    with the square of a band's members.
+    """
+    rows = members.select("key", "level", "node").distinct().join(sketches, ["node", "level"])
+    width = math.log(100 / percent) * (1 + 1e-6)
+    rows = saved(rows.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / width).cast("int")), "large-keys")
+    bands = checkpointed(rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells")))
+    near = [bands.select("key", (F.col("band") - step).alias("band"), F.col("cells").alias(name)) for step, name in ((-1, "below"), (1, "above"))]
+    table = bands.join(near[0], ["key", "band"], "left").join(near[1], ["key", "band"], "left")
+    rows = rows.join(small(table), ["key", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+
+    def cells(n: Column, one: Callable[[Column], Column]) -> Column:
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), one)
+
+    def two(low_band: Column, low: Column, high_band: Column, high: Column, first: Column) -> Column:
+        return F.struct(low_band.alias("low_band"), low.alias("low"), high_band.alias("high_band"), high.alias("high"), first.alias("first"))
+
+    band, own = F.col("band"), F.col("cell")
+    same = cells(F.col("cells"), lambda k: two(band, F.least(own, k), band, F.greatest(own, k), own <= k))
+    above = cells(F.col("above"), lambda k: two(band, own, band + 1, k, F.lit(True)))
+    below = cells(F.col("below"), lambda k: two(band - 1, k, band, own, F.lit(False)))
+    dealt = rows.select("key", "node", "size", "sketch", F.explode(F.concat(same, above, below)).alias("two")).select("key", "two.*", "node", "size", "sketch")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        node, size, first = rows["node"].to_numpy(), rows["size"].to_numpy(), rows["first"].to_numpy(bool)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+        own = tuple(rows[["low_band", "low"]].iloc[0]) == tuple(rows[["high_band", "high"]].iloc[0])
+        found = group_edges(node, size, sketches, percent) if own else cross_edges(node, size, sketches, first, percent)
+        return pd.DataFrame(spanning(found), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("key", "low_band", "low", "high_band", "high").applyInPandas(compared, "a long, b long")
+
+
 def may_be_linked(members: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) among members (key, level, node, size, sketch) of the same key and level, so that every two that may be
     linked are joined, directly or over others. Rows are dealt by key and sorted, so a task meets one key after the other and
-    holds one key's members; keys with few members, which most are, are compared many at a time."""
+    holds one key's members, which are to be CELL at most; keys with few members, which most are, are compared many at a time."""
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -312,6 +383,19 @@ def split_region(rows: pd.DataFrame, pivots: pd.DataFrame, percent: int) -> pd.D
     return out
 
 
+def parting(pivots: pd.DataFrame, percent: int) -> float:
+    """The share of a region's sets in the largest part that pivots would give, judged by its pivots, which are drawn by hash:
+    each is dealt to the others. Too few of them tell nothing."""
+    if len(pivots) < 4:
+        return 0.0
+    sets = [np.asarray(s) for s in pivots["shingles"]]
+    size, inter = np.array([len(s) for s in sets]), overlaps(sets)
+    distance = 1 - inter / (size[:, None] + size[None, :] - inter)
+    np.fill_diagonal(distance, np.inf)
+    reach = distance.min(1, keepdims=True) + 2 * (1 - percent / 100) + 1e-6
+    return float((distance <= reach).sum(0).max() / (len(sets) - 1))
+
+
 def region_links(regions: DataFrame, percent: int, leaf_sets: int = LEAF_SETS, leaf_shingles: int = LEAF_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) that join every two sets of a region (region, node, size, shingles) with the similarity asked for, directly
     or over other sets.
@@ -320,8 +404,9 @@ def region_links(regions: DataFrame, percent: int, leaf_sets: int = LEAF_SETS, l
     region of its nearest pivot, at distance r, and to that of every pivot within r + 2 e of it, where e is the largest
     distance of a link. By the triangle inequality a linked partner is in the region of the nearer one's pivot, so the
     regions, joined the same way again, find every link. Where that doesn't shrink a region (its sets lie within 2 e of all
-    pivots, so the metric can't part them), its sets are dealt over parts and every two parts are compared in a task of
-    their own: exact, in bounded memory, and the only place with work in the square of a region's size.
+    pivots, so the metric can't part them), which its pivots tell before a row is copied to them or else the sizes of the
+    parts, its sets are dealt over parts and every two parts are compared in a task of their own: exact, in bounded memory,
+    and the only place with work in the square of a region's size.
     """
     links: list[DataFrame] = []
     regions = regions.withColumn("members", F.lit(None).cast("long"))  # of the region it was split from
@@ -338,16 +423,20 @@ def region_links(regions: DataFrame, percent: int, leaf_sets: int = LEAF_SETS, l
         rows = regions.drop("members").join(large.select("region", "sets", "parts", "parent"), "region")
         part = F.pmod(F.xxhash64("node", F.length("region")), F.col("parts")).cast("int")
         rows = rows.withColumn("part", part)
-        stuck = F.coalesce(F.col("sets") > 0.7 * F.col("parent"), F.lit(False))
-        twos = rows.where(stuck).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        twos = twos.select("region", "node", "shingles", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        links.append(twos.groupBy("region", "low", "high").applyInPandas(lambda r: leaf_links(r, percent), "a long, b long"))
-        rows = rows.where(~stuck)
         share = F.least(F.lit(1.0), F.least(F.lit(pivots), 2 * F.col("parts")) / F.col("sets"))
         points = rows.where(F.pmod(F.xxhash64("region", "node"), F.lit(1 << 30)) < share * (1 << 30))
         least = rows.groupBy("region").agg(F.min("node").alias("node"))  # one at least
         points = points.select("region", "node", "shingles", "parts").unionByName(rows.join(least, ["region", "node"], "left_semi").select("region", "node", "shingles", "parts")).dropDuplicates(["region", "node"])
-        points = saved(points, "pivots").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        points = saved(points, "pivots")
+        share_of = points.groupBy("region").applyInPandas(lambda r: pd.DataFrame({"region": r["region"].iloc[:1], "share": parting(r, percent)}), "region string, share double")
+        stuck = share_of.join(large.select("region", "sets", "parent"), "region").where((F.col("share") > 0.7) | (F.col("sets") > 0.7 * F.col("parent"))).select("region", F.lit(True).alias("stuck"))
+        stuck = checkpointed(stuck)
+        rows = rows.join(small(stuck), "region", "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
+        twos = rows.where("stuck").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        twos = twos.select("region", "node", "shingles", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        links.append(twos.groupBy("region", "low", "high").applyInPandas(lambda r: leaf_links(r, percent), "a long, b long"))
+        rows = rows.where("not stuck")
+        points = points.join(small(stuck), "region", "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         rows = rows.select("region", "part", "node", "size", "shingles", F.col("sets").alias("members"))
         split = rows.groupBy("region", "part").cogroup(points.groupBy("region", "part")).applyInPandas(lambda r, p: split_region(r, p, percent) if len(r) else r.assign(region="")[["region", "node", "size", "shingles", "members"]], "region string, node long, size long, shingles array<long>, members long")
         regions = saved(split, "regions")
@@ -357,7 +446,7 @@ def region_links(regions: DataFrame, percent: int, leaf_sets: int = LEAF_SETS, l
     return out
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, **limits: int) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, cell: int = CELL, **limits: int) -> DataFrame:
     """Documents (doc_id, text) joined where the Jaccard similarity of their shingle sets is percent / 100 or more, exactly.
 
     Returns a row for each: doc_id, n_shingles (size of its set) and component_id (the smallest doc_id that links reach,
@@ -376,13 +465,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, **lim
     keyed = saved(with_keys(docs, width, percent), "shingle-keys")
     part = keyed.select("node", F.col("n_shingles").alias("size"), F.explode("parts").alias("part"))
     keys = part.select("node", F.col("part.level").alias("level"), F.explode("part.keys").alias("key")).repartition(shuffle_partitions(spark), "key")  # one shuffle for both uses
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high")).where("low < _high").select("key", "low")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("members")).where("low < _high").select("key", "low", "members")
     if percent >= CLASSES_FROM:
         maybe = keys.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     else:
         sketches = part.groupBy("node", F.col("part.level").alias("level")).agg(F.first("size").alias("size"), F.first("part.sketch").alias("sketch"))
-        members = keys.join(shared.select("key"), "key", "left_semi").join(saved(sketches, "sketches"), ["node", "level"])
-        maybe = may_be_linked(members, percent)
+        sketches = saved(sketches, "sketches")
+        members = saved(keys.join(shared.select("key", "members"), "key"), "members")  # without sketches, which large keys get when split
+        maybe = may_be_linked(members.where(F.col("members") <= cell).drop("members").join(sketches, ["node", "level"]), percent)
+        large = members.where(F.col("members") > cell)
+        if not large.isEmpty():
+            maybe = maybe.unionByName(large_keys_linked(large, sketches, percent, cell))
     region = checkpointed(components(maybe))
 
     nodes = keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

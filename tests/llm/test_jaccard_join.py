@@ -162,3 +162,77 @@ def test_graph_components(spark):
 def test_empty(spark, documents):
     assert jaccard_join.jaccard_components(documents([])).count() == 0
     assert jaccard_join.deduplicated(documents([])).count() == 0
+
+
+def with_passages(seed=5):
+    """Texts that share passages but are far apart, some of them near copies, of many sizes."""
+    r = random.Random(seed)
+    passages = [[f"p{k}-{i}" for i in range(40)] for k in range(2)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}-{j}" for j in range(r.choice([3, 15, 40, 90]))]
+        text = r.choice(passages) + own if i % 3 else own + passages[0]
+        for _ in range(1 if r.random() < 0.8 else 4):
+            copy = list(text)
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("percent,cell", [(80, 7), (70, 40)])
+def test_keys_of_many_sets_are_compared_in_cells(spark, documents, percent, cell):
+    rows = with_passages() + ODD
+    got = jaccard_join.jaccard_components(documents(rows), 3, percent, cell=cell).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 3, percent)
+
+
+def test_cells_join_only_and_all_that_may_be_linked(spark):
+    r = np.random.default_rng(2)
+    size = np.concatenate([r.integers(32, 64, 80), [48] * 20, [51, 60, 63]])
+    sketches = r.integers(0, 2, (len(size), 64)).astype(np.uint8)
+    sketches[80:100] = sketches[80]
+    edge = lambda close: {frozenset((i, j)) for i, j in zip(*np.nonzero(close)) if i != j}
+    close = edge(jaccard_join.close_pairs(size, sketches, slice(None), slice(None), 80))
+    members = spark.createDataFrame([(k, 6, i) for k in (1, 2) for i in range(len(size)) for _ in range(2)], "key long, level int, node long")
+    rows = spark.createDataFrame([(i, 6, int(size[i]), bytearray(sketches[i].tobytes())) for i in range(len(size))], "node long, level int, size long, sketch binary")
+    found = {frozenset((x.a, x.b)) for x in jaccard_join.large_keys_linked(members, rows, 80, cell=6).collect()}
+
+    def parts(pairs):
+        label = list(range(len(size)))
+        for a, b in map(tuple, pairs):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    assert parts(found) == parts(close) and len(set(parts(found))) > 10
+
+
+def test_a_large_key_does_not_join_what_sizes_rule_out():
+    n = (1 << 16) + 2
+    size = (1000 * 1.00044 ** np.arange(n)).astype(np.int64)
+    half = n // 2
+    size[half:] *= 10
+    edges = np.array(jaccard_join.group_edges(np.arange(n), size, np.zeros((n, 64), np.uint8), 80))
+    assert len(edges) and ((edges[:, 0] < half) == (edges[:, 1] < half)).all()
+
+
+def test_parting_by_pivots():
+    import pandas as pd
+
+    far = [np.arange(100 * i, 100 * i + 50) for i in range(8)]
+    near = [np.arange(k, k + 100) + 1000 * (i % 2) for i in range(8) for k in (0,)]
+    share = lambda sets, percent: jaccard_join.parting(pd.DataFrame({"shingles": sets}), percent)
+    assert share(far, 80) == 1 and share(near, 90) < 0.7 and share(far[:3], 80) == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_far_sets_in_one_region(spark, percent):
+    r = random.Random(8)
+    shared = list(range(40))
+    sets = [shared + r.sample(range(100, 10**6), 60) for _ in range(60)]
+    sets += [s[:-1] + [10**7 + i] for i, s in enumerate(sets[:10])]
+    rows = [("r", i, len(s), sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "region string, node long, size long, shingles array<long>")
+    links = {(x.a, x.b) for x in jaccard_join.region_links(df, percent, leaf_sets=8, pivots=6).collect()}
+    assert {tuple(sorted(x)) for x in links} == {(i, 60 + i) for i in range(10)}
