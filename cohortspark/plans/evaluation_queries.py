@@ -123,18 +123,18 @@ def task_names(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return E.bootstrap_ci(B.predictions(spark, d), "patient_id", n=200)
+    return E.bootstrap_ci(B.predictions(spark, d), "patient_id")
 
 
 @query()
 def bootstrap_difference(spark, d):
-    return E.bootstrap_ci(B.predictions(spark, d), "patient_id", base="A", n=200)
+    return E.bootstrap_ci(B.predictions(spark, d), "patient_id", base="A")
 
 
 @query()
 def subgroup_interaction(spark, d):
     p = B.predictions(spark, d).withColumn("hedged", F.col("patient_id") % 2 == 0)
-    return E.subgroup_interaction(p, "hedged", "A", "B", "patient_id", n=100)
+    return E.subgroup_interaction(p, "hedged", "A", "B", "patient_id")
 
 
 @query()
@@ -152,17 +152,17 @@ def _features(spark, d):
 
 @query()
 def train_trees(spark, d):
-    return M.train_trees(_features(spark, d), [{"maxDepth": 2, "maxIter": 5}])[0].select("patient_id", "split", "label", "prob")
+    return M.train_trees(_features(spark, d))[0].select("patient_id", "split", "label", "prob")
 
 
 @query()
 def train_trees_cv(spark, d):
-    return M.train_trees_cv(_features(spark, d), "patient_id", 3, [{"maxDepth": 2, "maxIter": 3}]).select("patient_id", "fold", "label", "prob")
+    return M.train_trees_cv(_features(spark, d), "patient_id").select("patient_id", "fold", "label", "prob")
 
 
 @query()
 def linear_probe(spark, d):
-    return M.linear_probe(_features(spark, d), [1e-4, 1e-2, 1.0])[0].select("patient_id", "split", "label", "prob")
+    return M.linear_probe(_features(spark, d))[0].select("patient_id", "split", "label", "prob")
 
 
 @query()
