@@ -28,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: later plans start from files that outlive executors."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once as Parquet in the shared folder and read back, and where: later plans start from files that outlive
+    executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str | None) -> None:
+    """The files of a written table go, once what was made from them is written, too."""
+    if path is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def test_linked_sets_share_a_key_and_pass_the_sketch():
             inter = len(np.intersect1d(a, b))
             if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter):
                 linked += 1
-                level = jaccard_join.level_of(max(len(a), len(b)))
+                level = jaccard_join.level_of(max(len(a), len(b)), percent)
                 keys = [dict(zip(jaccard_join.levels(len(s), percent), jaccard_join.block_keys(s, percent)))[level] for s in (a, b)]
                 assert set(keys[0]) & set(keys[1]), (percent, len(a), len(b), inter)
                 sketches = np.stack([jaccard_join.sketch(s, level) for s in (a, b)])
@@ -137,7 +137,50 @@ def test_deduplicated(spark, documents):
     assert out.columns == df.columns
     got = sorted((r.doc_id for r in out.collect()), key=str)
     firsts = {c for k, _, c in brute(rows, 3, 90) if k == c and k is not None}
-    assert got == sorted([*firsts, None], key=str)
+    assert got == sorted([*firsts, -9, None], key=str)  # two different texts have the id -9
+
+
+def test_deduplicated_rows_without_id_and_repeated_rows(spark, documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " end"), (None, "far away from all others"), (None, ""), (4, text), (4, text), (4, "something else entirely"), (9, None)]
+    out = jaccard_join.deduplicated(documents([(*r, "en", f"s{i}", i) for i, r in enumerate(rows)]))
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+    assert got == sorted([(4, text, "s4"), (4, "something else entirely", "s6"), (9, None, "s7"), (None, "", "s3"), (None, "far away from all others", "s2")], key=str)
+
+
+def test_a_close_family_is_not_copied_to_pivots(spark, monkeypatch):
+    r = random.Random(4)
+    base = r.sample(range(10**6), 60)
+    rows = [("r", i, 60, sorted(base[:55] + r.sample(range(10**6, 10**9), 5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "region string, node long, size long, shingles array<long>")
+    copied = []
+    keep = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda d, name: copied.append((name, (w := keep(d, name))[0].count())) or w)
+    assert jaccard_join.region_links(df, 90, leaf_sets=20).count() == 0
+    assert sum(n for name, n in copied if name == "regions") == 0
+
+
+def test_joined_equals_brute_force():
+    r = np.random.default_rng(3)
+    for percent in (50, 80, 90, 95):
+        for n in (1, 2, 3, 40):
+            sets = []
+            for _ in range(n):
+                if sets and r.random() < 0.7:
+                    old = sets[int(r.integers(len(sets)))]
+                    sets.append(np.unique(np.concatenate([old[r.random(len(old)) < 0.95], r.integers(0, 10**6, int(r.integers(0, 4)))])))
+                else:
+                    sets.append(np.unique(r.integers(0, 300, int(r.integers(1, 60)))))
+            sets = [s if len(s) else np.array([7]) for s in sets]
+            for first in (None, r.random(n) < 0.5):
+                label = list(range(n))
+                for i in range(n):
+                    for j in range(i):
+                        inter = len(np.intersect1d(sets[i], sets[j]))
+                        if (first is None or first[i] != first[j]) and 100 * inter >= percent * (len(sets[i]) + len(sets[j]) - inter):
+                            low, high = sorted((label[i], label[j]))
+                            label = [low if x == high else x for x in label]
+                assert jaccard_join.joined(sets, percent, first).tolist() == label
 
 
 def test_graph_components(spark):
