@@ -19,11 +19,18 @@ BINS = 1 << 15
 PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters are Unicode's category L; a word character may also be a number such as one half, which isn't one.
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+#: The largest number of EM rounds, and the share in the mixture of all below which a language isn't tried in the set.
+ROUNDS, LEAST_SHARE = 12, 0.01
 #: ASCII other than letters counts as a space; bytes of other scripts stay.
 _SHOWN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 def ngram_bins(text: str) -> np.ndarray:
     """The bins of a whole text's byte trigrams, lower-cased, with a space at either end and runs of non-letters as one."""
     b = _SHOWN[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
@@ -54,6 +61,8 @@ class MixtureModel:
     #: An n-gram overlaps its neighbours: a document counts as so many fewer independent ones.
     overlap: float = 3.0
     penalty: float = 1.0
+    rounds: int = ROUNDS
+    least_share: float = LEAST_SHARE
 
     @classmethod
     def of(cls, languages: list[str], counts: np.ndarray, smoothing: float = 0.1) -> MixtureModel:
@@ -76,22 +85,23 @@ class MixtureModel:
         """The languages of a text with their shares, largest first; none for a text without letters (or null).
 
         From one language up, the set grows by the language with the next largest share in the mixture of all, as long as
-        that raises the log likelihood of independent n-grams by more than half the logarithm of their number.
+        that raises the log likelihood of independent n-grams by more than half the logarithm of their number, and that
+        share is `least_share` at least. EM stops when no share moves by 0.001, or after `rounds` rounds.
         """
-        if not isinstance(text, str) or not _LETTER.search(text) or not self.languages:
+        if not isinstance(text, str) or not has_letter(text) or not self.languages:
             return []
         bins, counts = ngram_counts(text)
         p, n = self.likelihood[bins], counts.sum() / self.overlap
-        all_, _ = self.shares(p, counts, np.full(len(self.languages), 1 / len(self.languages)), 12)
+        all_, _ = self.shares(p, counts, np.full(len(self.languages), 1 / len(self.languages)), self.rounds)
         order = np.argsort(-all_, kind="stable")
         single = counts @ np.log(p)
         best, chosen, share = float(single.max()) / self.overlap, [int(single.argmax())], np.ones(1)
         order = [chosen[0], *(i for i in order if i != chosen[0])]
         for size in range(2, len(order) + 1):
-            if all_[order[size - 1]] < 0.01:
+            if all_[order[size - 1]] < self.least_share:
                 break
             start = np.maximum(all_[order[:size]], 1e-3)
-            s, likelihood = self.shares(p[:, order[:size]], counts, start / start.sum(), 12)
+            s, likelihood = self.shares(p[:, order[:size]], counts, start / start.sum(), self.rounds)
             now = likelihood / self.overlap - self.penalty * 0.5 * (size - 1) * np.log(max(n, 2))
             if now <= best:
                 break

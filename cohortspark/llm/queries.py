@@ -41,20 +41,21 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(n: int, c: str = "doc_id") -> Column:
-    """The fold of a document: crc32 of its id as text, modulo n; null ids are in none."""
+    """The fold of a document: crc32 of its id as text, modulo n; null ids are in none, so they are neither held out nor
+    learned from."""
     return F.crc32(F.col(c).cast("string").cast("binary")) % n
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold(5) != 0))
-    return toxicity.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(3) != 1))
-    return langid.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
