@@ -65,7 +65,8 @@ def apportion(df: DataFrame, group: list[str], key: list[str], weight: str, seat
 
 
 def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(placed documents, blocks) of a mix of documents (doc_id, source, size: words).
+    """(placed documents, blocks) of a mix of documents (doc_id, source, size: words, mark: a hash of the text, by which
+    documents of equal id and size are ordered).
 
     A document lies at words [start, start + size) of its source's shard, in the order of a seeded hash. A shard's words are
     cut into blocks of equal length, at most `block` words; its integer quota of blocks comes from two rounds of Sainte-Laguë,
@@ -80,7 +81,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     sources = checkpointed(source_targets(sources, weights, share, most).withColumn("_shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("words") / shard))).cast("long")))
     placed = docs.join(small(sources.select("_source", F.col("words").alias("source_size"), "target", "rate", "_shards")), "_source")
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("_shards"))).drop("_shards")
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size")
+    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size", "mark")
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     cells = placed.groupBy("_source", "_shard", "rate").agg(F.sum("size").alias("_words")).where("_words > 0")
@@ -118,7 +119,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     A document's taken words are what the shard's blocks take up to its end less what they take up to its start, so only the
     block at its start is looked up; no document meets all of its blocks.
     """
-    slim = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    slim = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
     placed, blocks = plan_mix(slim, **options)
     cell = Window.partitionBy("_source", "_shard").orderBy("start")
     full = placed.where("size > 0").withColumn("block", block_at("start")).join(blocks, ["_source", "_shard", "block"])
@@ -138,8 +139,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     n_chars is counted anew if there is one, and the other columns stay. Copies are rows with the same doc_id.
     """
     row = F.monotonically_increasing_id()  # fixed by writing it
-    docs = saved(docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"), row.alias("row")), "mix-texts")
-    slim = docs.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "row")
+    docs = saved(docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), row.alias("row")), "mix-texts")
+    slim = docs.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "mark", "row")
     placed, blocks = plan_mix(slim, **options)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_at("start"), block_at("(start + size - 1)"))))
     pieces = pieces.join(blocks, ["_source", "_shard", "block"])
