@@ -83,7 +83,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
     """Pieces of documents (doc_id, text): the ids of each text and then end_id, cut into full windows and one shorter rest.
 
     Returns doc_id, start (the document's ids before the piece), length, ids_crc32 (of the ids as little-endian unsigned
-    32-bit), doc_tokens, and with keep_ids also ids (array of int). Null text is empty: its one piece is end_id alone.
+    32-bit), doc_tokens, repeat (how many equal pieces came before it in its batch of rows), and with keep_ids also ids (array
+    of int). Null text is empty: its one piece is end_id alone.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,10 +100,11 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
                     rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, *([np.frombuffer(piece, "<u4").astype("int32")] if keep_ids else [])))
             out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64")
+            out["repeat"] = out.groupby(["doc_id", "start", "ids_crc32"], dropna=False).cumcount()
             yield out
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids + ", repeat long"
     return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
@@ -162,11 +164,13 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
-    """pieces (start, length, ids_crc32, doc_tokens and doc_id, further columns stay) with sequence_id and offset.
+    """pieces (start, length, ids_crc32, doc_tokens, doc_id and repeat, further columns stay) with sequence_id and offset, less
+    repeat.
 
     Pieces are dealt over `groups` by a hash of where they come from and packed within their group, so no task holds more
     than a group and groups don't wait for each other; at a few thousand pieces a group, what the last windows of each
-    leave open is well under a thousandth. Equal pieces (repeated rows) are packed one by one. sequence_id is the group's
+    leave open is well under a thousandth. Equal pieces (repeated rows) are packed one by one, and `repeat` deals them over
+    the groups, however many there are. sequence_id is the group's
     number times 2**40 plus the window's in the group; rows of a group are ordered before packing, so reruns agree.
     """
 
@@ -175,10 +179,10 @@ def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFra
         sequence, offset = best_fit_decreasing(group["length"].to_numpy(), window)
         group["sequence_id"] = group["_group"].astype("int64") * (1 << 40) + sequence
         group["offset"] = offset
-        return group.drop(columns="_group")
+        return group.drop(columns=["_group", "repeat"])
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "repeat"), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "repeat") + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInPandas(pack, schema)
 
 
