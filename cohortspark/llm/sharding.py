@@ -78,15 +78,22 @@ def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, tie: list[st
     return out.withColumn("slot", F.col("_rank") - first).drop("_bucket", "_rank", "_total", "_first")
 
 
+DIMS = ["lang_level", "source_level", "length_level"]
+
+
+def quantised(docs: DataFrame, *more: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*more, "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), category_level(F.col("lang")).alias("lang_level"), category_level(F.col("source")).alias("source_level"), log_level(F.char_length(text)).alias("length_level"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """documents (doc_id, text, lang, source) over n_shards by language, source and length; law: row counts.
 
     Returns doc_id, size (UTF-8 bytes + 8), text_crc32 (null text: that of no bytes), the quantised dims lang_level,
-    source_level and length_level, curve, shard, slot. One pass over the texts; only these columns are shuffled.
+    source_level and length_level, curve, shard, slot. One pass over the texts; only these columns are shuffled. Null and
+    repeated doc_ids are rows of their own; other columns are ignored; an empty table gives none.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), category_level(F.col("lang")).alias("lang_level"), category_level(F.col("source")).alias("source_level"), log_level(F.char_length(text)).alias("length_level"))
-    return hilbert_shards(saved(slim, "shard-rows"), ["lang_level", "source_level", "length_level"], n_shards, ["doc_id", "text_crc32", "size"])
+    return hilbert_shards(saved(quantised(docs), "shard-rows"), DIMS, n_shards, ["doc_id", "text_crc32", "size"])
 
 
 def shard_ranges(assigned: DataFrame, dims: list[str]) -> DataFrame:
@@ -94,7 +101,15 @@ def shard_ranges(assigned: DataFrame, dims: list[str]) -> DataFrame:
     return assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *(f(d).alias(f"{d}_{f.__name__}") for d in dims for f in (F.min, F.max)))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """docs written as one folder a shard, rows in slot order."""
-    placed = docs.join(assigned.select(key, "shard", "slot", "curve"), key)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24) -> None:
+    """docs written as one folder a shard, rows in slot order, with the columns slot and curve.
+
+    Rows are told by a number that is written with them, so null and repeated doc_ids lose and multiply nothing. Columns of
+    docs named shard, slot or curve are replaced; an empty table gives no folders.
+    """
+    numbered = saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "shard-docs")
+    rows = saved(quantised(numbered.select("row", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "text", "lang", "source"))), "row"), "shard-rows")
+    placed = hilbert_shards(rows, DIMS, n_shards, ["doc_id", "text_crc32", "size", "row"]).select("row", "shard", "slot", "curve")
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "slot", "curve")]
+    out = numbered.join(placed, "row").select(*kept, "shard", "slot", "curve")
+    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

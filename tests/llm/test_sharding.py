@@ -35,6 +35,6 @@ def test_shards(spark, documents, tmp_path):
     assert (one["size"], one.text_crc32) == (8 + 7, zlib.crc32("copy é".encode()))
     ranges = sharding.shard_ranges(got, ["lang_level", "source_level", "length_level"]).collect()
     assert sum(r.rows for r in ranges) == len(rows)
-    sharding.write_shards(documents(rows[:900]), got.where("doc_id < 900").dropDuplicates(["doc_id"]), str(tmp_path / "s"))
+    sharding.write_shards(documents(rows[:900]), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 900
     assert sharding.shard_documents(documents([]), 24).count() == 0
