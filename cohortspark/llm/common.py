@@ -17,12 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own where the cluster names none."""
+    """The folder that driver and executors share, which the cluster names; without one a local session makes its own, and a
+    cluster is an error, since its machines see no folder of the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = where.get() if where.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -64,13 +67,22 @@ TEXT_ROWS = 2000
 
 def text_batches(df: DataFrame) -> DataFrame:
     """df, whose texts are about to go to Python: batches of at most TEXT_ROWS rows from now on in its session, since Spark's
-    default of 10,000 texts, held on both sides, is what fills an executor's memory."""
+    default of 10,000 texts, held on both sides, is what fills an executor's memory. Bytes are bounded by Spark itself
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so long texts make smaller batches."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= TEXT_ROWS:
         conf.set(key, str(TEXT_ROWS))
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, removed, saved, shuffle_partitions, small, text_batches, written
+from .common import checkpointed, removed, saved, shuffle_partitions, small, text_batches, unused, written
 from .graphs import components
 from .shingles import mixed, shingle_sets
 
@@ -660,6 +660,8 @@ def deduplicated(docs: DataFrame, width: int = 3, percent: int = 90, cell: int =
     wordless = docs.join(empty, same, "left_semi")
     sole = docs.join(kept.where("__rows = 1"), same, "left_semi")
     several = docs.join(kept.where("__rows > 1"), same, "left_semi")
-    rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith("map") and "map<" not in t and t != "variant"]
-    several = several.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]))).where("__n = 1").drop("__n")
+    rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
+    place = unused(docs, "__place")
+    order = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)])
+    several = several.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return sole.unionByName(several).unionByName(wordless)
