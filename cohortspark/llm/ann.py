@@ -86,9 +86,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     kept. Scores are exact: double precision, from the original vectors.
     """
 
-    def found(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        index = CollisionIndex(np.stack(rows["vector"].to_numpy()), tables, seed)
-        ids, asked = rows["vec_id"].to_numpy(), block["vec_id"].to_numpy()
+    def indexed(rows: pd.DataFrame) -> tuple[CollisionIndex, np.ndarray]:
+        return CollisionIndex(np.stack(rows["vector"].to_numpy()), tables, seed), rows["vec_id"].to_numpy(np.int64)
+
+    def found(shard: tuple[CollisionIndex, np.ndarray], block: pd.DataFrame) -> pd.DataFrame:
+        (index, ids), asked = shard, block["vec_id"].to_numpy(np.int64)
         own = [np.flatnonzero(ids == a) for a in asked]
         out = []
         for q, (places, scores) in zip(asked, index.search(np.stack(block["vector"].to_numpy()), k, own, threshold)):
@@ -98,4 +100,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
     rows = usable(vectors, key, vector, zeros=False)
     asked = one_a_key(usable(queries, key, vector, zeros=False))
-    return ranked(meet(rows, asked, found, "query_id long, vec_id long, score double"), k)
+    return ranked(meet(rows, asked, found, "query_id long, vec_id long, score double", prepare=indexed), k)

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .vectors import meet, one_a_key, ranked, usable
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Queries of a block: with a shard's rows they make the matrices of partial scores that a task holds.
+BLOCK_QUERIES = 256
 
 
-def whole(vectors: pd.Series) -> np.ndarray:
-    """A matrix of integers for exact products: doubles while no product can reach 2**53, Python's integers beyond."""
-    m = np.stack(vectors.to_numpy())
-    return m if np.abs(m).max(initial=0) < 1 << 20 and m.shape[1] < 1 << 12 else np.vectorize(int, otypes=[object])(m)
+def whole(m: np.ndarray) -> np.ndarray:
+    """Python's integers, for products that may reach 2**53."""
+    return np.vectorize(int, otypes=[object])(m)
 
 
 def longs(x: np.ndarray) -> np.ndarray:
@@ -40,65 +39,74 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, key: str
     1. each list gives its k highest entries; their totals are looked up, and the k-th highest total of a query is its
        cutoff, which the k best can't be below;
     2. the cutoff goes to all shards with the queries, and each list gives all entries of at least cutoff / n_lists;
-    3. entries are summed by vector; those with lists missing stay only if the most these may add lifts them to the cutoff,
+    3. a vector's entries are summed; those with lists missing stay only if the most these may add lifts them to the cutoff,
        and get their exact score from the vectors.
-    No candidate is left out, so the answer is exact, ties included. The cutoffs travel as a column of the queries, so
-    nothing that grows is broadcast.
+    No candidate is left out, so the answer is exact, ties included. As a shard holds whole vectors, it joins the lists of
+    phase 2 and resolves the rest of phase 3 by itself: only scores that reach the cutoff leave it. The cutoffs travel as a
+    column of the queries, so nothing that grows is broadcast.
 
     Rows whose vector is null or empty or holds null or non-finite components take no part on either side, nor do rows
     without a key; vectors of different lengths don't meet. A query doesn't find rows with its own key. Of queries that share
     a key the one with the least vector counts; repeated rows are found each. Scores beyond 64 bits become the nearest long.
     """
-    floors = lambda df: df.withColumn("vector", F.transform("vector", lambda x: F.floor(x * scale).cast("double")))
-    rows = floors(usable(vectors, key, vector, zeros=True)).withColumn("row", F.xxhash64("vec_id", "vector"))
+
+    def floor(x: Column) -> Column:
+        """In double: whole numbers beyond 2**53 as they are, since Spark's floor ends at 64 bits."""
+        return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+    floors = lambda df: df.withColumn("vector", F.transform("vector", lambda x: floor(x * scale)))
+    rows = floors(usable(vectors, key, vector, zeros=True))
     asked = floors(one_a_key(usable(queries, key, vector, zeros=True)))
 
-    def gather(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        ids, asked_ids, x, q = own["vec_id"].to_numpy(), block["vec_id"].to_numpy(), whole(own["vector"]), whole(block["vector"])
-        parts = [q[:, s] @ x[:, s].T for s in lists(x.shape[1], n_lists)]
-        out = []
+    def shard(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return own["vec_id"].to_numpy(np.int64), np.stack(own["vector"].to_numpy())
+
+    def partial(x: np.ndarray, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(rows, queries, partial scores of every list); doubles where they are exact, else Python's integers."""
+        q = np.stack(block["vector"].to_numpy())
+        if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) >= 1 << 20 or x.shape[1] >= 1 << 12:
+            x, q = whole(x), whole(q)
+        return x, q, [q[:, s] @ x[:, s].T for s in lists(x.shape[1], n_lists)]
+
+    def gather(own: tuple[np.ndarray, np.ndarray], block: pd.DataFrame) -> pd.DataFrame:
+        ids, asked_ids = own[0], block["vec_id"].to_numpy(np.int64)
+        _, _, parts = partial(own[1], block)
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
         for i, a in enumerate(asked_ids):
             other = np.flatnonzero(ids != a)
             if len(other):
                 n = min(k, len(other))
                 at = np.unique([other[np.argpartition(-p[i, other], n - 1)[:n]] for p in parts])
                 out.append(pd.DataFrame({"query_id": a, "vec_id": ids[at], "score": longs(sum(p[i, at] for p in parts))}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat(out, ignore_index=True)
 
-    first = meet(rows, asked, gather, "query_id long, vec_id long, score long")
+    first = meet(rows, asked, gather, "query_id long, vec_id long, score long", block_queries=BLOCK_QUERIES, prepare=shard)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     cutoffs = first.withColumn("_r", best).where(F.col("_r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     # a query with fewer than k others has no cutoff: all of them count
     asked = checkpointed(asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(LEAST))))
 
-    def collect(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        ids, marks, asked_ids, x, q = own["vec_id"].to_numpy(), own["row"].to_numpy(), block["vec_id"].to_numpy(), whole(own["vector"]), whole(block["vector"])
-        out = []
-        for number, s in enumerate(lists(x.shape[1], n_lists)):
-            p = q[:, s] @ x[:, s].T
-            least = np.array([-(-int(c) // n_lists) for c in block["cutoff"]], dtype=object if p.dtype == object else float)
-            i, j = np.nonzero((p >= least[:, None]) & (asked_ids[:, None] != ids[None, :]))
-            out.append(pd.DataFrame({"query_id": asked_ids[i], "vec_id": ids[j], "row": marks[j], "list": number, "score": longs(p[i, j])}))
-        return pd.concat(out, ignore_index=True)
-
-    entries = meet(rows, asked, collect, "query_id long, vec_id long, row long, list int, score long")
-    # rows that are equal in key and vector give equal entries: their number is kept and each is ranked
-    met = entries.groupBy("query_id", "vec_id", "row", "list").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("copies"))
-    met = met.groupBy("query_id", "vec_id", "row").agg(F.sum(F.col("score").cast("decimal(38,0)")).alias("known"), F.count(F.lit(1)).alias("seen"), F.max("copies").alias("copies"), F.max(F.col("score").isin(LEAST, MOST)).alias("cut_off"))
-    met = met.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), "cutoff"), "query_id")
-    missing = (F.lit(n_lists) - F.col("seen")) * (F.ceil(F.col("cutoff").cast("decimal(38,0)") / n_lists) - 1)
-    met = met.where((F.col("known") + missing >= F.col("cutoff")) | (F.col("cutoff") == LEAST) | F.col("cut_off"))
-    unsure = (F.col("seen") < n_lists) | F.col("cut_off")  # a partial score beyond 64 bits tells the total no better
-    open_ = met.where(unsure).join(rows.select("row", "vec_id", "vector").dropDuplicates(["row", "vec_id"]), ["row", "vec_id"])
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                score = longs((whole(b["asked"]) * whole(b["vector"])).sum(1))
-                yield pd.DataFrame({"query_id": b["query_id"], "vec_id": b["vec_id"], "score": score, "copies": b["copies"]})
-
-    late = open_.select("query_id", "vec_id", "asked", "vector", "copies").mapInPandas(resolve, "query_id long, vec_id long, score long, copies long")
-    clear = met.where(~unsure).select("query_id", "vec_id", F.least(F.greatest("known", F.lit(LEAST).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("score"), "copies")
-    every = clear.unionByName(late).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return ranked(every.select("query_id", "vec_id", "score"), k)
-
+    def collect(own: tuple[np.ndarray, np.ndarray], block: pd.DataFrame) -> pd.DataFrame:
+        ids, asked_ids = own[0], block["vec_id"].to_numpy(np.int64)
+        x, q, parts = partial(own[1], block)
+        cutoff = np.array([int(c) for c in block["cutoff"]], dtype=object)
+        least = -(-cutoff // n_lists)
+        exact = x.dtype == object
+        at_least = (least if exact else least.astype(float))[:, None]
+        known, seen = 0, np.zeros(parts[0].shape, np.int8)
+        for p in parts:
+            entry = p >= at_least
+            known = known + np.where(entry, p, 0)
+            seen += entry
+        # what lists without an entry may add: each less than cutoff / n_lists
+        reach = known + (n_lists - seen) * (at_least - 1) >= (cutoff if exact else cutoff.astype(float))[:, None]
+        open_ = (cutoff == LEAST)[:, None] | ((seen > 0) & reach)
+        i, j = np.nonzero(open_ & (asked_ids[:, None] != ids[None, :]))
+        score = known[i, j]
+        late = np.flatnonzero(seen[i, j] < n_lists)
+        score[late] = (q[i[late]] * x[j[late]]).sum(1)
+        score = longs(score)
+        keep = score >= cutoff[i].astype(np.int64)
+        return pd.DataFrame({"query_id": asked_ids[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]})
+
+    return ranked(meet(rows, asked, collect, "query_id long, vec_id long, score long", block_queries=BLOCK_QUERIES, prepare=shard), k)
