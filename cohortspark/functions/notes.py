@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Section patterns in order of precedence.
@@ -38,7 +38,9 @@ TIMES = [
     rf"\b{MONTH} {DAY}{NTH}\b",
 ]
 # Names, pagers, hours, stopwords, hedges.
-NAME_UPPER = r"\bDR\.*\s+(?:[A-Z'-]+\s*){1,2}(?=UPON|FROM|WITH|WAS|AND|VIA|AS|TO|AT|BY|IN|OF|ON|[@.,;(])"
+_AFTER_NAME = "UPON|FROM|WITH|WAS|AND|VIA|AS|TO|AT|BY|IN|OF|ON"
+#: One or two whole words before such a word or a mark; or else the word after the title alone.
+NAME_UPPER = rf"\bDR\.*\s+(?:[A-Z'-]+(?:\s+[A-Z'-]+)?(?=\s+(?:{_AFTER_NAME})\b|\s*[@.,;(])|(?!(?:{_AFTER_NAME})\b)[A-Z'-]+\b)"
 NAME_TITLE = r"\bDr\.*\s+[A-Z'][a-z-]+"
 PAGERS, HOURS = [r"PAGER [0-9-]+\b"], [r"[0-9]{3,4}\s*HOURS", r"(?<=AT )[0-9]{3,4}"]
 STOPWORDS = {"may"}
@@ -51,8 +53,8 @@ HEDGES = {
 
 
 def _first_match(text: Column, patterns: list[str]) -> Column:
-    """Where the first pattern that matches at all does so, from 1; null if none does."""
-    return F.coalesce(*(F.when(text.rlike(p), F.length(F.substring_index(F.regexp_replace(text, f"^(?s)(.*?)(?:{p})(?s:.*)$", "$1\x01"), "\x01", 1)) + 1) for p in patterns))
+    """Where the first pattern that matches at all does so, from 1; null if none does. One scan a pattern."""
+    return F.coalesce(*(F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in patterns))
 
 
 def section(text: Column, strict: bool = True) -> Column:
@@ -62,7 +64,14 @@ def section(text: Column, strict: bool = True) -> Column:
     if not strict:
         start = F.coalesce(start, _first_match(text, FINDINGS_START), F.lit(1))
     end = F.coalesce(_first_match(text, SECTION_END), F.length(text) + 1)
-    return F.when(start.isNotNull(), F.substring(text, start, F.greatest(end - start, F.lit(0))))
+    # the struct is made once, so no pattern is searched for twice
+    cut = F.transform(F.array(F.struct(start.alias("start"), end.alias("end"))), lambda s: F.when(s.start.isNotNull(), F.substring(text, s.start, F.greatest(s.end - s.start, F.lit(0)))))
+    return F.element_at(cut, 1)
+
+
+def with_section(df: DataFrame, note: str, name: str = "section", strict: bool = True) -> DataFrame:
+    """df with the section of its notes; rows whose section is missing or blank go."""
+    return df.withColumn(name, section(F.col(note), strict)).where(F.trim(F.translate(name, "\t\r\n", "   ")) != "")
 
 
 def without_phrases(text: Column, phrases: list[str]) -> Column:

@@ -85,6 +85,13 @@ def severity_inputs(anchors: DataFrame, events: DataFrame, cancer: list, lung: l
     return anchors.select("study_id").join(out, "study_id", "left").withColumns({"cancer": F.coalesce("cancer", F.lit(False)), "lung": F.coalesce("lung", F.lit(False))})
 
 
+def missing_inputs(inputs: DataFrame) -> DataFrame:
+    """(input, missing): in how many studies each input of the score has no value."""
+    columns = [c for c in inputs.columns if c != "study_id"]
+    counts = inputs.agg(*(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("input"), F.col(c).alias("missing")) for c in columns))).alias("c")).select("c.*")
+
+
 def logit(p: Column, eps: float = 1e-6) -> Column:
     p = clip(p, eps, 1 - eps)
     return F.ln(p / (1 - p))

@@ -56,14 +56,18 @@ def horizon_labels(anchors: DataFrame, outcomes: DataFrame, last_seen: DataFrame
     """label for (study_id, person_id, anchor_time): true if an outcome (person_id, event_time) lies in (t, t + horizon], null
     (censored) if the person's last_seen is before t + horizon, else false; t is the anchor less offset_days.
 
-    Only the nearest outcome after t counts, so outcomes are joined by person and reduced to one row a study at once.
+    Only the next outcome after t counts: both are stacked and it is carried back in time, one shuffle on the person and no
+    join, however many pairs a person has.
     """
     t = anchors.select("study_id", "person_id", (F.col("anchor_time") - F.expr(f"interval {offset_days} day")).alias("t"))
     until = F.col("t") + F.expr(f"interval {horizon_days} day")
-    hit = t.join(outcomes.select("person_id", "event_time"), "person_id").where((F.col("event_time") > F.col("t")) & (F.col("event_time") <= until)).select("study_id").distinct().withColumn("_hit", F.lit(True))
+    events = outcomes.select(F.lit(None).cast(t.schema["study_id"].dataType).alias("study_id"), "person_id", F.col("event_time").cast("timestamp").alias("t"), F.lit(1).alias("_outcome"))
+    back = Window.partitionBy("person_id").orderBy(F.desc("t"), "_outcome").rowsBetween(Window.unboundedPreceding, 0)  # an outcome at t itself comes later
+    both = t.withColumns({"t": F.col("t").cast("timestamp"), "_outcome": F.lit(0)}).unionByName(events)
+    both = both.withColumn("_next", F.last(F.when(F.col("_outcome") == 1, F.col("t")), ignorenulls=True).over(back)).where("_outcome = 0")
     seen = last_seen.groupBy("person_id").agg(F.max("last_seen").alias("last_seen"))
-    out = t.join(hit, "study_id", "left").join(seen, "person_id", "left")
-    label = F.when(F.col("_hit"), True).when(F.col("last_seen").isNull() | (F.col("last_seen") < until), None).otherwise(False)
+    out = both.withColumn("_next", F.when(F.col("person_id").isNotNull(), F.col("_next"))).join(seen, "person_id", "left")
+    label = F.when(F.col("_next") <= until, True).when(F.col("last_seen").isNull() | (F.col("last_seen") < until), None).otherwise(False)
     return out.select("study_id", "person_id", F.col("t").alias("prediction_time"), label.alias("label"))
 
 

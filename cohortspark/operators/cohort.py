@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anchors import parse_label
+
 
 def match_text(df: DataFrame, c: str, all_of: list[str], any_of: list[str]) -> DataFrame:
     """Distinct rows whose lower-cased text has all of the first words or one of the others."""
@@ -17,6 +19,11 @@ def match_text(df: DataFrame, c: str, all_of: list[str], any_of: list[str]) -> D
     return df.where(every | some).distinct()
 
 
+def keep_positive(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows whose label is true; censored, missing and unknown labels go with the negative ones."""
+    return df.where(F.coalesce(parse_label(label), F.lit(False)))
+
+
 def keep_in(df: DataFrame, keys: DataFrame, on: str, upper: bool = True) -> DataFrame:
     """Rows whose key is among `keys`, by default whatever the case."""
     norm = (lambda c: F.upper(F.trim(c))) if upper else (lambda c: c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import written
 from .windows import window_join
 
 
@@ -30,7 +31,7 @@ def ancestor_features(events: DataFrame, anchors: DataFrame, edges: DataFrame, m
     days = window_join(events.select("person_id", "concept_id", "event_time"), anchors, max_days).select("study_id", "concept_id", "days_before").distinct()
     days = expand_ancestors(days, edges, max_level).select("study_id", "ancestor", "days_before").distinct()
     counts = days.groupBy("study_id", "ancestor").agg(F.count(F.lit(1)).alias("n_days"), F.min("days_before").alias("days_since"))
-    counts = counts.persist()  # both passes read it
+    counts = written(counts)  # both passes read it
     kept = counts.groupBy("ancestor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).orderBy(F.desc("_n"), "ancestor").limit(most)
     return counts.join(kept.select("ancestor"), "ancestor", "left_semi")
 

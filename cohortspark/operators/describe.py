@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import numbered
+
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
@@ -110,7 +112,9 @@ def latest_run(runs: DataFrame, task: str, time: str) -> DataFrame:
 
 
 def rank_runs(runs: DataFrame, metric: str, tie: str) -> DataFrame:
-    return runs.orderBy(F.desc_nulls_last(metric), tie)
+    """runs with their place from 1: the highest metric first, missing ones last."""
+    out = numbered(runs, [F.desc_nulls_last(metric), F.col(tie)], "place")
+    return out.withColumn("place", F.col("place") + 1)
 
 
 def top1_per(df: DataFrame, key: str, by: Column, tie: str) -> DataFrame:

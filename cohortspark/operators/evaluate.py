@@ -107,6 +107,18 @@ def fuse(validation: DataFrame, test: DataFrame, models: list[str], max_iter: in
     return apply.select("patient_id", "label", expit(total).alias("prob"))
 
 
+def fuse_subsets(validation: DataFrame, test: DataFrame, models: list[str]) -> DataFrame:
+    """fuse over all sets of two and more models, for each task: predictions of models named after their sets (A+B). Tasks and
+    sets are few and looped over."""
+    out = None
+    for task in sorted(r[0] for r in test.select("task").where("task is not null").distinct().collect()):
+        for chosen in subsets(models):
+            one = fuse(validation.where(F.col("task") == task), test.where(F.col("task") == task), list(chosen))
+            one = one.select(F.lit("+".join(chosen)).alias("model"), F.lit(task).alias("task"), "patient_id", "label", "prob")
+            out = one if out is None else out.unionByName(one)
+    return test.select("model", "task", "patient_id", "label", "prob").limit(0) if out is None else out
+
+
 def best_models(metrics: DataFrame, metric: str, singles: list[str], lower: bool = False) -> DataFrame:
     """Best single and best overall model of each task, ties by name; lower: the least is best."""
     v = F.col(metric) if lower else -F.col(metric)
@@ -251,10 +263,10 @@ def t_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-def paired_delta(df: DataFrame, a: str, b: str, confidence: float = 0.95) -> dict:
-    """Mean of a - b over tasks with its t interval; three numbers of an aggregate are all that comes to the driver."""
-    n, mean, sd = df.where(f"`{a}` is not null and `{b}` is not null").agg(F.count(F.lit(1)), F.avg(F.col(a) - F.col(b)), F.stddev_samp(F.col(a) - F.col(b))).first()
-    if n < 2:
-        return {"n": n, "mean": mean, "low": None, "high": None}
-    half = t_quantile(0.5 + confidence / 2, n - 1) * sd / math.sqrt(n)
-    return {"n": n, "mean": mean, "low": mean - half, "high": mean + half}
+def paired_delta(df: DataFrame, a: str, b: str, confidence: float = 0.95) -> DataFrame:
+    """One row: n, mean of a - b over the n tasks that have both, and the ends of its t interval (null below two tasks). Only the
+    count comes to the driver, for the quantile."""
+    both = df.select((F.col(f"`{a}`") - F.col(f"`{b}`")).alias("_d")).where("_d is not null")
+    n = both.count()
+    half = F.lit(t_quantile(0.5 + confidence / 2, n - 1) if n > 1 else None).cast("double") * F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"), (F.avg("_d") - half).alias("low"), (F.avg("_d") + half).alias("high"))

@@ -11,6 +11,13 @@ from .windows import window_join
 LONG = ["study_id", "group", "vocabulary", "code", "agg", "window_days", "value", "most_recent_date"]
 
 
+def placed(events: DataFrame) -> DataFrame:
+    """Events with a value and their place among those of the same person and code: the latest first, then the smallest event id
+    and value. It tells the latest before any anchor, and unlike a struct of the three it is a number, which aggregations hash."""
+    order = Window.partitionBy("person_id", "vocabulary", "code").orderBy(F.desc(F.col("event_time").cast("timestamp")), "event_id", "value")
+    return events.where("value is not null").withColumn("_place", F.row_number().over(order))
+
+
 def lab_features(events: DataFrame, anchors: DataFrame, windows: tuple[int, ...] = DEFAULT_WINDOWS, cap_col: str | None = None, bucket_days: int | None = None) -> DataFrame:
     """last, min, max, mean, n and days_since of each code in the windows of 1..w days before each anchor (cumulative).
 
@@ -18,24 +25,25 @@ def lab_features(events: DataFrame, anchors: DataFrame, windows: tuple[int, ...]
     all windows; only aggregates are turned into rows. `last` is the value of the latest day, then of the latest time, the
     smallest event id and value. most_recent_date is the day of `last`.
     """
-    rows = window_join(events.where("value is not null"), anchors, max(windows), cap_col, bucket_days)
-    order = F.struct("days_before", -F.unix_micros(F.col("event_time").cast("timestamp")), "event_id", "value")
-    aggs: list[Column] = []
+    rows = window_join(placed(events), anchors, max(windows), cap_col, bucket_days)
+    aggs: list[Column] = [F.min_by("value", "_place").alias("last"), F.min("days_before").cast("double").alias("days_since")]
     for w in windows:
-        own = F.col("days_before") <= w
-        v = F.when(own, F.col("value"))
-        aggs += [F.min_by("value", F.when(own, order)).alias(f"last_{w}"), F.min(v).alias(f"min_{w}"), F.max(v).alias(f"max_{w}"), F.avg(v).alias(f"mean_{w}"), F.count(v).cast("double").alias(f"n_{w}"), F.min(F.when(own, F.col("days_before"))).cast("double").alias(f"days_since_{w}")]
+        v = F.when(F.col("days_before") <= w, F.col("value"))
+        aggs += [F.min(v).alias(f"min_{w}"), F.max(v).alias(f"max_{w}"), F.avg(v).alias(f"mean_{w}"), F.count(v).cast("double").alias(f"n_{w}")]
     wide = rows.groupBy("study_id", "vocabulary", "code").agg(F.max(F.to_date("event_time")).alias("most_recent_date"), *aggs)
+    # all windows begin at day 1, so the latest event of one is the latest of all of them that aren't empty
+    wide = wide.withColumns({f"{c}_{w}": F.when(F.col(f"n_{w}") > 0, F.col(c)) for c in ("last", "days_since") for w in windows})
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("agg"), F.lit(w).alias("window_days"), F.col(f"{a}_{w}").alias("value"), (F.col(f"n_{w}") > 0).alias("seen")) for w in windows for a in LAB_AGGREGATES)))
     long = wide.withColumn("c", cells).where("c.seen")
     return long.select("study_id", F.lit("labs").alias("group"), "vocabulary", "code", "c.agg", "c.window_days", "c.value", "most_recent_date")
 
 
 def count_features(events: DataFrame, anchors: DataFrame, windows: tuple[int, ...] = DEFAULT_WINDOWS, group: str = "events", cap_col: str | None = None) -> DataFrame:
-    """Distinct days with an event and the latest one, for each code and window."""
-    rows = window_join(events.select("person_id", "vocabulary", "code", "event_time"), anchors, max(windows), cap_col)
-    days = rows.groupBy("study_id", "vocabulary", "code", "days_before").agg(F.max(F.to_date("event_time")).alias("day"))
-    wide = days.groupBy("study_id", "vocabulary", "code").agg(F.max("day").alias("most_recent_date"), *(F.count(F.when(F.col("days_before") <= w, 1)).alias(f"n_{w}") for w in windows))
+    """Distinct days with an event and the latest one, for each code and window; anchors are one row a study. Events are cut to
+    their days before they meet the anchors."""
+    days = events.select("person_id", "vocabulary", "code", F.to_date("event_time").alias("event_time")).distinct()
+    rows = window_join(days, anchors, max(windows), cap_col)
+    wide = rows.groupBy("study_id", "vocabulary", "code").agg(F.max("event_time").alias("most_recent_date"), *(F.count(F.when(F.col("days_before") <= w, 1)).alias(f"n_{w}") for w in windows))
     cells = F.explode(F.array(*(F.struct(F.lit(w).alias("window_days"), F.col(f"n_{w}").cast("double").alias("value")) for w in windows)))
     return wide.withColumn("c", cells).where("c.value > 0").select("study_id", F.lit(group).alias("group"), "vocabulary", "code", F.lit("n_days").alias("agg"), "c.window_days", "c.value", "most_recent_date")
 
@@ -54,8 +62,8 @@ def los_features(visits: DataFrame, anchors: DataFrame, max_days: int, cut: bool
 def baseline_delta(events: DataFrame, anchors: DataFrame, recent: int, baseline: tuple[int, int]) -> DataFrame:
     """last, min, max and mean of each code in the recent window, in the baseline window of earlier days, and their
     difference (null if either is missing)."""
-    rows = window_join(events.where("value is not null"), anchors, max(recent, baseline[1]))
-    order = F.struct("days_before", -F.unix_micros(F.col("event_time").cast("timestamp")), "event_id", "value")
+    rows = window_join(placed(events), anchors, max(recent, baseline[1]))
+    order = F.col("_place")
     own = {"now": F.col("days_before") <= recent, "base": F.col("days_before").between(*baseline)}
     aggs = [f.alias(f"{k}_{n}") for n, w in own.items() for k, f in (("last", F.min_by("value", F.when(w, order))), ("min", F.min(F.when(w, F.col("value")))), ("max", F.max(F.when(w, F.col("value")))), ("mean", F.avg(F.when(w, F.col("value")))))]
     wide = rows.groupBy("study_id", "vocabulary", "code").agg(*aggs)
@@ -181,8 +189,8 @@ def append_demographics(long: DataFrame, demo: DataFrame, impute: bool = False)
     columns = [c for c in demo.columns if c != "study_id"]
     rows = demo.select("study_id", *(F.col(c).cast("double").alias(c) for c in columns))
     if impute:
-        middle = rows.agg(F.expr("percentile(age_years, 0.5)")).first()[0]
-        rows = rows.fillna({"age_years": middle} if middle is not None else {}).fillna(0.0)
+        middle = rows.agg(F.expr("percentile(age_years, 0.5)").alias("_middle"))
+        rows = rows.crossJoin(F.broadcast(middle)).withColumn("age_years", F.coalesce("age_years", "_middle")).drop("_middle").fillna(0.0)  # one row
     rows = rows.unpivot("study_id", columns, "feature", "value").withColumn("feature", F.concat(F.lit("demo:"), "feature"))
     return long.select("study_id", "feature", "value").unionByName(rows)
 

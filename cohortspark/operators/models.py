@@ -12,14 +12,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import written
 from .evaluate import auroc
 from .splits import patient_folds
 
 
 #: Depths, learning rates and numbers of leaves that the surveyed job searches (E15: all 27 combinations; -1: no bound), and its rounds.
 DEPTHS, RATES, LEAVES, ROUNDS = (3, 6, -1), (0.02, 0.1, 0.5), (10, 25, 100), 100
-#: Models of a grid that are fit at once.
-AT_ONCE = 6
+#: Models of a grid that are fit at once, and rows that a partition of training rows should hold at least: every level of every
+#: tree is a job, whose fixed cost grows with its tasks.
+AT_ONCE, ROWS_A_PARTITION = 8, 50_000
 
 
 def tree_grid() -> list[dict]:
@@ -33,6 +35,11 @@ def _predictions(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("prob", vector_to_array("probability")[1])
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df cached in no more partitions than its rows are worth."""
+    return df.coalesce(max(1, math.ceil(df.count() / ROWS_A_PARTITION))).cache()
+
+
 def _auc(df: DataFrame) -> float:
     row = auroc(df.withColumn("_all", F.lit(1)), ["_all"]).first()
     return row["auroc"] if row is not None and row["auroc"] is not None else float("nan")
@@ -42,7 +49,7 @@ def train_trees(df: DataFrame, grid: list[dict] | None = None, seed: int = 0) ->
     """Boosted trees on train (features: vector, label, split), the grid's best by AUROC on valid: (all rows with prob, its
     parameters, that AUROC)."""
     grid = grid or tree_grid()
-    train, valid = df.where("split = 'train'").cache(), df.where("split = 'valid'").cache()
+    train, valid = _kept(df.where("split = 'train'")), _kept(df.where("split = 'valid'"))
 
     def fit(params: dict) -> tuple:
         model = GBTClassifier(seed=seed, **params).fit(train)
@@ -60,7 +67,7 @@ def train_trees(df: DataFrame, grid: list[dict] | None = None, seed: int = 0) ->
 
 def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None = None, seed: int = 0) -> DataFrame:
     """Out-of-fold predictions: every row once, from the fold in which its patient is tested."""
-    rows, out = patient_folds(df.drop("split"), key, k, seed).withColumnRenamed("role", "split"), None
+    rows, out = written(patient_folds(df.drop("split"), key, k, seed).withColumnRenamed("role", "split")), None
     for fold in range(k):
         test = train_trees(rows.where(F.col("fold") == fold), grid, seed)[0].where("split = 'test'")
         out = test if out is None else out.unionByName(test)
@@ -70,7 +77,7 @@ def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None
 def linear_probe(df: DataFrame, grid: list[float] | None = None) -> tuple[DataFrame, float, float]:
     """Logistic regression with the L2 strength that has the best AUROC on valid; warns if that is an end of the grid."""
     grid = grid or [10.0 ** (i / 2) for i in range(-10, 11)]
-    train, valid = df.where("split = 'train'").cache(), df.where("split = 'valid'")
+    train, valid = _kept(df.where("split = 'train'")), _kept(df.where("split = 'valid'"))
     best = None
     for l2 in grid:
         model = LogisticRegression(regParam=l2, standardization=False).fit(train)
@@ -78,6 +85,7 @@ def linear_probe(df: DataFrame, grid: list[float] | None = None) -> tuple[DataFr
         if best is None or score > best[2]:
             best = (model, l2, score)
     train.unpersist()
+    valid.unpersist()
     if best[1] in (grid[0], grid[-1]):
         warnings.warn(f"the best L2 strength, {best[1]}, is an end of the grid", stacklevel=2)
     return _predictions(best[0], df), best[1], best[2]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import numbered
+
 
 def build_series(slices: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row for each scan in meta (scan): the vectors (scan, slice_idx, vector) in order of slice_idx."""
@@ -94,7 +98,11 @@ def expand_slices(scans: DataFrame, n: str = "num_slices") -> DataFrame:
 
 
 def vector_index(vectors: DataFrame, id_col: str = "id") -> tuple[DataFrame, int]:
-    """(id, split, label, prob and the vector, one row each; how many ids came twice)."""
+    """(row: from 0 in order of the id, id, split, label, prob and the vector, one row each; how many ids came twice, of which a
+    warning tells). Rows are numbered within range parts of the ids, whose sizes make the offsets."""
     twice = vectors.groupBy(id_col).count().where("count > 1").count()
+    if twice:
+        warnings.warn(f"{twice} ids came more than once; each keeps its least row", stacklevel=2)
     columns = [c for c in ("split", "label", "prob", "vector") if c in vectors.columns]
-    return vectors.groupBy(id_col).agg(F.min(F.struct(*columns)).alias("_v")).select(id_col, "_v.*"), twice
+    one = vectors.groupBy(id_col).agg(F.min(F.struct(*columns)).alias("_v")).select(id_col, "_v.*")
+    return numbered(one, [F.col(id_col)], "row"), twice

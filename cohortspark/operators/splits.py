@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def drawn(key: str | Column, seed: int | Column) -> Column:
+    """48 bits of a hash that every engine has, of seed and key: what all draws go by."""
+    key = F.col(key) if isinstance(key, str) else key
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat(seed.cast("string"), F.lit("|"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def hash_rank(key: str, seed: int, within: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*within).orderBy(F.xxhash64(F.lit(seed), key), key))
+    return F.row_number().over(Window.partitionBy(*within).orderBy(drawn(key, seed), key))
 
 
-def sample_keys(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """All rows of int(n * fraction) of the n distinct keys. Keys are ranked within 256 parts of the hash's range, whose sizes
-    make the offsets, so no task orders all of them."""
-    h = F.xxhash64(F.lit(seed), key)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_p", F.shiftright(h, 56).cast("int"))
+def ranked_keys(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, place: from 1 in hash order, of: their number) of the distinct keys, nulls aside. Keys are ranked within 256 parts
+    of the hash's range, whose sizes make the offsets, so no task orders all of them."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", drawn(key, seed)).withColumn("_p", F.shiftright("_h", 40).cast("int"))
     parts = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("_p", before.alias("_before"), F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(fraction)).alias("_take"))
-    kept = keys.join(F.broadcast(parts), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(h, key)) + F.col("_before")).where("_r <= _take")
-    return df.join(kept.select(key), key, "left_semi")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows at most
+    parts = parts.select("_p", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("of"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) + F.col("_before")
+    return keys.join(F.broadcast(parts), "_p").select(key, place.alias("place"), "of")
+
+
+def sample_keys(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+    """All rows of int(n * fraction) of the n distinct keys, those first in hash order."""
+    kept = ranked_keys(df, key, seed).where(F.col("place") <= F.floor(F.col("of") * F.lit(fraction))).select(key)
+    return df.join(kept, key, "left_semi")
 
 
 def stratified_group_split(df: DataFrame, group: str, stratum: str, fractions: dict[str, float], seed: int) -> DataFrame:
@@ -45,15 +58,16 @@ def stratified_group_split(df: DataFrame, group: str, stratum: str, fractions: d
 
 
 def patient_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """A row for each row and fold: test for the rows of the fold's patients, valid for the next fold's, else train."""
-    fold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)).cast("int")
+    """A row for each row and fold: test for the rows of the fold's patients, valid for the next fold's, else train. Patients in
+    hash order go to folds by turns, so folds differ by one patient at most; rows without a key are train in all."""
+    own = ranked_keys(df, key, seed).select(key, (F.col("place") % k).cast("int").alias("_own"))
     role = F.when(F.col("_own") == F.col("fold"), "test").when(F.col("_own") == (F.col("fold") + 1) % k, "valid").otherwise("train")
-    return df.withColumn("_own", fold).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", role).drop("_own")
+    return df.join(own, key, "left").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", role).drop("_own")
 
 
 def hash_split(df: DataFrame, key: str, cuts: dict[str, int], seed: int) -> DataFrame:
     """split by the key's hash percentile; cuts: percent of each, in order."""
-    p, split, upto = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)), None, 0
+    p, split, upto = drawn(key, seed) % 100, None, 0
     for name, percent in cuts.items():
         upto += percent
         split = F.when(p < upto, name) if split is None else split.when(p < upto, name)
@@ -61,14 +75,18 @@ def hash_split(df: DataFrame, key: str, cuts: dict[str, int], seed: int) -> Data
 
 
 def random_split(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """60/20/20."""
-    return hash_split(df, key, {"train": 60, "valid": 20, "test": 20}, seed)
+    """60/20/20 of the keys in hash order; null for rows without a key."""
+    ranks = ranked_keys(df, key, seed)
+    share = F.col("place") * 100
+    split = F.when(share <= F.col("of") * 60, "train").when(share <= F.col("of") * 80, "valid").otherwise("test")
+    return df.drop("split").join(ranks.select(key, split.alias("split")), key, "left")
 
 
 def holdout(df: DataFrame, key: str, percent: int, seed: int, split: str = "split") -> DataFrame:
-    """Some percent of the train rows' keys become valid."""
-    out = (F.col(split) == "train") & (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)) < percent)
-    return df.withColumn(split, F.when(out, "valid").otherwise(F.col(split)))
+    """The first percent of the train rows' keys in hash order become valid."""
+    ranks = ranked_keys(df.where(F.col(split) == "train"), key, seed)
+    chosen = ranks.where(F.col("place") * 100 <= F.col("of") * percent).select(key, F.lit(True).alias("_out"))
+    return df.join(chosen, key, "left").withColumn(split, F.when((F.col(split) == "train") & F.col("_out"), "valid").otherwise(F.col(split))).drop("_out")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -81,7 +99,7 @@ def balanced_sample(df: DataFrame, label: str, key: str, per_class: int, seed: i
     """About per_class rows of each label, with replacement: a row's copies are Poisson with mean per_class * weight, drawn from
     its key's hash."""
     mean = F.col("weight") * per_class
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    u = (drawn(key, seed) % (1 << 30) + 0.5) / (1 << 30)
     state = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
     step = lambda s, k: F.when(s.c < u, F.struct((s.p * mean / (s.n + 1)).alias("p"), (s.c + s.p * mean / (s.n + 1)).alias("c"), (s.n + 1).alias("n"))).otherwise(s)
     copies = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(20), F.ceil(mean * 4).cast("int"))), state, step, lambda s: s.n)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Windows above this are joined by person alone.
+LONG_DAYS = 1500
+
 
 def days_before(anchor: str = "anchor_time", event: str = "event_time") -> Column:
     """Calendar days from the event to the anchor."""
@@ -15,10 +18,15 @@ def window_join(events: DataFrame, anchors: DataFrame, max_days: int, cap_col: s
     """Events of the same person on days 1..max_days before each anchor, with `days_before` (day 0 isn't in).
 
     events: person_id, event_time and more; anchors: study_id, person_id, anchor_time and more. cap_col: a column of anchors
-    that lowers max_days for its row (0 gives no events). bucket_days: for persons with so many events and anchors that one
-    join key gets too large, days are cut into buckets, each anchor is repeated for those it reaches, and the bucket is a
-    second join key: a partner is met in exactly one bucket.
+    that lowers max_days for its row (0 gives no events).
+
+    Days are cut into buckets of bucket_days, each anchor is repeated for those it reaches, and the bucket is a second join key:
+    a partner is met in exactly one bucket, few rows meet in vain, and a person with very many rows is many keys. Without
+    bucket_days they are as long as the window, at least a month; windows of more than LONG_DAYS, which hold most of a person's
+    events anyway, have none (nor does bucket_days=0).
     """
+    if bucket_days is None and max_days <= LONG_DAYS:
+        bucket_days = max(30, max_days)
     reach = F.lit(max_days) if cap_col is None else F.least(F.lit(max_days), F.col(cap_col))
     keys = ["person_id"]
     if bucket_days:
@@ -55,11 +63,26 @@ def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, tolerance_days: float) -> DataFrame:
     """Each left row (left_id, by, left_time) with the nearest right row (right_id, by, right_time) of the same key within the
-    tolerance, ties to the earlier time and the smaller id; unmatched left rows stay with nulls."""
-    gap = F.abs(F.unix_micros("right_time") - F.unix_micros("left_time"))
-    met = left.select(by, left_id, "left_time").join(right.select(by, right_id, "right_time"), by).withColumn("_gap", gap).where(F.col("_gap") <= int(tolerance_days * 86_400_000_000))
-    best = met.groupBy(left_id).agg(F.min(F.struct("_gap", "right_time", right_id)).alias("_b"))
-    return left.join(best, left_id, "left").select(*left.columns, F.col("_b.right_time").alias("right_time"), F.col(f"_b.{right_id}").alias(right_id))
+    tolerance, ties to the earlier time and the smaller id; unmatched left rows stay with nulls.
+
+    Both are stacked, and the last right row is carried forward and the next one backward in time: one shuffle on the key, no
+    join, however many pairs the key has.
+    """
+    rest = [c for c in left.columns if c not in (by, "left_time")]
+    none = F.lit(None).cast(f"struct<time: {right.schema['right_time'].dataType.simpleString()}, id: {right.schema[right_id].dataType.simpleString()}>")
+    rows = right.select(by, F.col("right_time").alias("_t"), F.lit(0).alias("_left"), F.struct(F.col("right_time").alias("time"), F.col(right_id).alias("id")).alias("_r"))
+    asks = left.select(by, F.col("left_time").alias("_t"), F.lit(1).alias("_left"), none.alias("_r"), F.struct(*rest).alias("_l"))
+    both = rows.withColumn("_l", F.lit(None).cast(asks.schema["_l"].dataType)).unionByName(asks)
+    order = Window.partitionBy(by)
+    # of rows with equal times the one with the smallest id comes last
+    before = F.last("_r", ignorenulls=True).over(order.orderBy("_t", "_left", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("_r", ignorenulls=True).over(order.orderBy(F.desc("_t"), "_left", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0))
+    gap = lambda c: F.when(F.abs(F.unix_micros(F.col(f"{c}.time")) - F.unix_micros("_t")) <= int(tolerance_days * 86_400_000_000), F.abs(F.unix_micros(F.col(f"{c}.time")) - F.unix_micros("_t")))
+    met = both.withColumns({"_b": before, "_a": after}).where("_left = 1").withColumns({"_gb": gap("_b"), "_ga": gap("_a")})
+    best = F.when(F.col("_gb").isNotNull() & (F.col("_ga").isNull() | (F.col("_gb") <= F.col("_ga"))), F.col("_b")).when(F.col("_ga").isNotNull(), F.col("_a"))
+    met = met.withColumn("_best", F.when(F.col(by).isNotNull(), best))
+    columns = {by: F.col(by), "left_time": F.col("_t"), **{c: F.col(f"_l.{c}") for c in rest}}
+    return met.select(*(columns[c].alias(c) for c in left.columns), F.col("_best.time").alias("right_time"), F.col("_best.id").alias(right_id))
 
 
 def asof_backward(labels: DataFrame, values: DataFrame, by: str, value: str) -> DataFrame:

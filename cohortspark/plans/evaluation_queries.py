@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..operators import series as S
 from . import bindings as B
 from .registry import query, rounded
 
@@ -86,14 +88,18 @@ def prevalence_shift(spark, d):
     return rounded(E.prevalence_shift(B.predictions(spark, d), 0.2, 0.1), "ppv", "npv", "ppv_shifted", "npv_shifted")
 
 
-@query("SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, u FROM (SELECT (SELECT count(*) FROM wrong WHERE model = 'A') AS n_a, (SELECT count(*) FROM wrong WHERE model = 'B') AS n_b, (SELECT avg(margin) FROM wrong WHERE model = 'A') AS mean_a, (SELECT avg(margin) FROM wrong WHERE model = 'B') AS mean_b, (SELECT sum(CASE WHEN a.margin > b.margin THEN 1.0 WHEN a.margin = b.margin THEN 0.5 ELSE 0 END) FROM wrong a JOIN wrong b ON a.model = 'A' AND b.model = 'B') AS u)", f"{P}, wrong AS (SELECT model, abs(prob - 0.5) AS margin FROM preds WHERE task = 'quality' AND CAST(prob >= 0.5 AS INT) <> label)")
+@query("SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(u, 6) AS u, round((u - n_a * n_b / 2.0) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))), 6) AS z FROM ties, (SELECT (SELECT count(*) FROM wrong WHERE model = 'A') AS n_a, (SELECT count(*) FROM wrong WHERE model = 'B') AS n_b, (SELECT avg(margin) FROM wrong WHERE model = 'A') AS mean_a, (SELECT avg(margin) FROM wrong WHERE model = 'B') AS mean_b, (SELECT sum(CASE WHEN a.margin > b.margin THEN 1.0 WHEN a.margin = b.margin THEN 0.5 ELSE 0 END) FROM wrong a JOIN wrong b ON a.model = 'A' AND b.model = 'B') AS u)", f"{P}, wrong AS (SELECT model, abs(prob - 0.5) AS margin FROM preds WHERE CAST(prob >= 0.5 AS INT) <> label), ties AS (SELECT sum(pow(t, 3) - t) AS t FROM (SELECT count(*) AS t FROM wrong GROUP BY margin))")
 def margin_test(spark, d):
-    return rounded(E.margin_test(B.predictions(spark, d).where("task = 'quality'"), "A", "B").drop("z"), "mean_a", "mean_b")
+    return rounded(E.margin_test(B.predictions(spark, d), "A", "B"), "mean_a", "mean_b", "u", "z")
 
 
-@query("SELECT task, round(a.auroc, 6) AS auc_a, round(b.auroc, 6) AS auc_b, round(a.auroc - b.auroc, 6) AS diff FROM (SELECT * FROM auc WHERE model = 'A') a JOIN (SELECT * FROM auc WHERE model = 'B') b USING (task)", _MET)
+_PLACED = f"{P}, s AS (SELECT *, sum(label) OVER (PARTITION BY model, task) AS np, sum(1 - label) OVER (PARTITION BY model, task) AS nn, sum(1 - label) OVER x AS nle, sum(label) OVER x AS ple, sum(1 - label) OVER e AS neq, sum(label) OVER e AS peq FROM preds WHERE label IS NOT NULL WINDOW x AS (PARTITION BY model, task ORDER BY prob RANGE UNBOUNDED PRECEDING), e AS (PARTITION BY model, task, prob)), w AS (SELECT *, nle - neq / 2.0 AS wins, np - ple + peq / 2.0 AS losses FROM s), t AS (SELECT *, sum(label * wins) OVER (PARTITION BY model, task) AS total FROM w), loo AS (SELECT model, task, patient_id, total / (np * nn) AS auc, CASE WHEN label = 1 THEN (total - wins) / ((np - 1) * nn) ELSE (total - losses) / (np * (nn - 1)) END AS l FROM t)"
+
+
+@query("SELECT task, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS diff, round(se, 6) AS se, round((auc_a - auc_b) / se, 4) AS z FROM (SELECT task, max(a.auc) AS auc_a, max(b.auc) AS auc_b, sqrt(greatest(var_pop(a.l - b.l) * (count(*) - 1), 1e-12)) AS se FROM (SELECT * FROM loo WHERE model = 'A') a JOIN (SELECT * FROM loo WHERE model = 'B') b USING (task, patient_id) GROUP BY 1)", _PLACED)
 def paired_auc_test(spark, d):
-    return rounded(E.paired_auc_test(B.predictions(spark, d), "A", "B").select("task", "auc_a", "auc_b", "diff"), "auc_a", "auc_b", "diff")
+    out = rounded(E.paired_auc_test(B.predictions(spark, d), "A", "B").select("task", "auc_a", "auc_b", "diff", "se", "z"), "auc_a", "auc_b", "diff", "se")
+    return rounded(out, "z", digits=4)
 
 
 @query("SELECT task, patient_id, label FROM preds WHERE model = 'A' AND patient_id % 50 = 0", P)
@@ -108,10 +114,10 @@ def score_as_model(spark, d):
     return rounded(E.score_as_model(scores, p.drop("model", "prob"), "score"), "prob")
 
 
-@query("SELECT patient_id, round(ln(q / (1 - q)), 6) AS logit, round(1 / (1 + exp(-q)), 6) AS expit FROM (SELECT patient_id, greatest(0.01, least(0.99, prob)) AS q FROM preds WHERE model = 'B' AND task = 'toxic')", P)
+@query("SELECT model, task, patient_id, round(ln(q / (1 - q)), 6) AS logit, round(1 / (1 + exp(-q)), 6) AS expit FROM (SELECT model, task, patient_id, greatest(0.01, least(0.99, prob)) AS q FROM preds)", P)
 def logits(spark, d):
     q = scalars.clip(F.col("prob"), 0.01, 0.99)
-    return rounded(B.predictions(spark, d).where("model = 'B' and task = 'toxic'").select("patient_id", scalars.logit(q).alias("logit"), scalars.expit(q).alias("expit")), "logit", "expit")
+    return rounded(B.predictions(spark, d).select("model", "task", "patient_id", scalars.logit(q).alias("logit"), scalars.expit(q).alias("expit")), "logit", "expit")
 
 
 @query("SELECT task, CASE WHEN contains(task, 'PE') THEN 'PE' WHEN contains(task, 'mortality') THEN 'Mort' WHEN contains(task, 'readmission') THEN 'Re-ad' ELSE 'PH' END AS category, CASE WHEN contains(task, '12_month') THEN '12 m' WHEN contains(task, '6_month') THEN '6 m' WHEN contains(task, '1_month') THEN '1 m' ELSE 'N/A' END AS horizon FROM (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'PE' WHEN 1 THEN '1_month_mortality' WHEN 2 THEN '6_month_readmission' WHEN 3 THEN '12_month_PH' ELSE '12_month_mortality' END AS task FROM customer)")
@@ -139,8 +145,10 @@ def subgroup_interaction(spark, d):
 
 @query()
 def late_fusion(spark, d):
-    p = B.predictions(spark, d).where("task = 'quality'")
-    return E.fuse(p.where("patient_id % 2 = 0"), p.where("patient_id % 2 = 1"), ["A", "B"])
+    p = B.predictions(spark, d)
+    c = p.where("model = 'A'").withColumns({"model": F.lit("C"), "prob": (F.col("patient_id") * 104729 % 997) / 997.0})
+    p = p.unionByName(c)
+    return E.fuse_subsets(p.where("patient_id % 2 = 0"), p.where("patient_id % 2 = 1"), ["A", "B", "C"])
 
 
 def _features(spark, d):
@@ -167,11 +175,17 @@ def linear_probe(spark, d):
 
 @query()
 def quality_probe(spark, d):
-    return M.quality_probe(_features(spark, d))[0].select("patient_id", "split", "label", "prob")
+    """Over mean-pooled vectors: every vector's components as slices of a scan of its own block of ids."""
+    e = B.read(spark, d, "embeddings")
+    scan = F.concat(F.col("label").cast("string"), F.lit("-"), (F.col("vec_id") / 40).cast("long").cast("string"))
+    slices = e.select(scan.alias("scan"), F.col("vec_id").alias("slice_idx"), F.col("embedding").alias("vector"))
+    pooled = S.pool(slices, "mean").groupBy("scan").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).value.alias("pooled"))
+    df = pooled.select(F.hash("scan").cast("long").alias("patient_id"), (F.substring_index("scan", "-", 1).cast("int") % 2).cast("double").alias("label"), array_to_vector("pooled").alias("features"))
+    k = F.pmod(F.col("patient_id"), F.lit(5))
+    return M.quality_probe(df.withColumn("split", F.when(k < 3, "train").when(k == 3, "valid").otherwise("test")))[0].select("patient_id", "split", "label", "prob")
 
 
-@query()
+@query("SELECT count(*) AS n, round(avg(x), 6) AS mean, round(avg(x) - 12.706204736 * stddev_samp(x) / sqrt(count(*)), 3) AS low, round(avg(x) + 12.706204736 * stddev_samp(x) / sqrt(count(*)), 3) AS high FROM (SELECT a.auroc - b.auroc AS x FROM auc a JOIN auc b USING (task) WHERE a.model = 'A' AND b.model = 'B')", _MET)
 def paired_delta(spark, d):
     auc = E.auroc(B.predictions(spark, d)).groupBy("task").pivot("model", ["A", "B"]).agg(F.first("auroc"))
-    r = E.paired_delta(auc, "A", "B")
-    return spark.range(1).select(*(F.lit(r[k]).cast("double").alias(k) for k in ("n", "mean", "low", "high")))
+    return rounded(rounded(E.paired_delta(auc, "A", "B"), "mean"), "low", "high", digits=3)

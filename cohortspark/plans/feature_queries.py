@@ -210,16 +210,18 @@ def _tables(spark, d):
     return {"labs": B.measurements(spark, d).select("person_id", "concept_id", "event_time", "value"), "drugs": drugs}
 
 
-@query("SELECT study_id, concept_id, CAST(days_before AS BIGINT) AS days_before, coalesce(p.p_type, 'Unknown') AS vocabulary, coalesce(p.p_brand, '') AS code, coalesce(p.p_name, 'Unknown') AS name FROM met LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) p ON p_partkey = concept_id WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0", B.MET)
+_STACKED = f"{B.MET}, stacked AS (SELECT 'labs' AS \"table\", study_id, concept_id, event_time, value, days_before FROM met WHERE concept_id <> 0 UNION ALL SELECT 'drugs', a.study_id, p_partkey, l_shipdate, CAST(NULL AS DOUBLE), date_diff('day', CAST(l_shipdate AS DATE), anchor_date) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN anchors a ON person_id = o_custkey WHERE p_partkey <> 0 AND l_returnflag = 'R')"
+
+
+@query("SELECT study_id, \"table\", concept_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, value, CAST(days_before AS BIGINT) AS days_before, coalesce(p.p_type, 'Unknown') AS vocabulary, coalesce(p.p_brand, '') AS code, coalesce(p.p_name, 'Unknown') AS name FROM stacked LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) p ON p_partkey = concept_id WHERE days_before BETWEEN 1 AND CASE \"table\" WHEN 'labs' THEN 7 ELSE 14 END", _STACKED)
 def event_timeline(spark, d):
-    labs = {"labs": _tables(spark, d)["labs"]}
-    rows = C.event_timeline(labs, B.anchors(spark, d), {"labs": 7}, B.concepts(spark, d).where("concept_id % 5 <> 0"))
-    return rows.select("study_id", "concept_id", F.col("days_before").cast("long").alias("days_before"), "vocabulary", "code", "name")
+    rows = C.event_timeline(_tables(spark, d), B.anchors(spark, d), {"labs": 7, "drugs": 14}, B.concepts(spark, d).where("concept_id % 5 <> 0"))
+    return rows.select("study_id", "table", "concept_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "value", F.col("days_before").cast("long").alias("days_before"), "vocabulary", "code", "name")
 
 
-@query("SELECT study_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND 3 AND concept_id <> 0", B.MET)
+@query("SELECT study_id, \"table\", concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM stacked WHERE days_before BETWEEN 1 AND 3", _STACKED)
 def event_stack(spark, d):
-    return C.event_stack({"labs": _tables(spark, d)["labs"]}, B.anchors(spark, d), 3).select("study_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+    return C.event_stack(_tables(spark, d), B.anchors(spark, d), 3).select("study_id", "table", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
 @query("SELECT event_id, best[3] AS near_id, CAST(abs(best[1]) AS BIGINT) AS gap_us FROM (SELECT l.event_id, min([abs(epoch_us(r.ts) - epoch_us(l.ts)), epoch_us(r.ts), r.event_id]) AS best FROM events l LEFT JOIN events r ON l.user_id = r.user_id AND r.event_type = 'purchase' AND abs(epoch_us(r.ts) - epoch_us(l.ts)) <= 7200000000 WHERE l.event_type = 'signup' GROUP BY l.event_id)")
@@ -329,9 +331,9 @@ def intensity_window(spark, d):
     return rounded(B.read(spark, d, "embeddings").select("vec_id", F.aggregate(w, F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(unnest(range(p_size)) AS INT) AS slice_idx FROM part WHERE p_size <= 20")
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(unnest(range(p_size)) AS INT) AS slice_idx FROM part")
 def expand_slices(spark, d):
-    return S.expand_slices(B.read(spark, d, "part").where("p_size <= 20").select("p_partkey", F.col("p_size").alias("num_slices"))).select("p_partkey", "slice_idx")
+    return S.expand_slices(B.read(spark, d, "part").select("p_partkey", F.col("p_size").alias("num_slices"))).select("p_partkey", "slice_idx")
 
 
 @query("SELECT note_id, substr(note, p, strpos(note, ' SUMMARY CODE') + 1 - p) AS impression FROM (SELECT *, strpos(lower(note), 'impression:') AS p FROM notes)", B.NOTES)
@@ -339,22 +341,38 @@ def impression_section(spark, d):
     return B.notes(spark, d).select("note_id", notes.section(F.col("note")).alias("impression"))
 
 
+@query("SELECT note_id, substr(note, p, strpos(note, ' SUMMARY CODE') + 1 - p) AS section FROM (SELECT *, strpos(lower(note), 'impression:') AS p FROM notes) WHERE note_id % 4 <> 0 AND note_id % 7 <> 0 AND p > 0", B.NOTES)
+def notes_with_section(spark, d):
+    n = F.col("note_id")
+    note = F.when(n % 4 == 0, F.lit(None)).when(n % 7 == 0, F.regexp_replace("note", "(?i)impression", "opinion")).otherwise(F.col("note"))
+    return notes.with_section(B.notes(spark, d).withColumn("note", note), "note").select("note_id", "section")
+
+
+@query("SELECT note_id, substr(note, p, strpos(note, ' SUMMARY CODE') + 1 - p) AS section FROM (SELECT note_id, note, CASE WHEN i > 0 THEN i ELSE 1 END AS p FROM (SELECT note_id, CASE WHEN note_id % 2 = 0 THEN replace(note, 'IMPRESSION:', 'OPINION') ELSE note END AS note, strpos(lower(CASE WHEN note_id % 2 = 0 THEN replace(note, 'IMPRESSION:', 'OPINION') ELSE note END), 'impression:') AS i FROM notes))", B.NOTES)
+def lenient_section(spark, d):
+    note = F.when(F.col("note_id") % 2 == 0, F.replace("note", F.lit("IMPRESSION:"), F.lit("OPINION"))).otherwise(F.col("note"))
+    return B.notes(spark, d).select("note_id", notes.section(note, strict=False).alias("section"))
+
+
 @query("SELECT note_id, replace(note, 'FINDINGS: ', '') AS note FROM notes", B.NOTES)
 def without_phrases(spark, d):
     return B.notes(spark, d).select("note_id", notes.without_phrases(F.col("note"), ["FINDINGS: "]).alias("note"))
 
 
-@query("SELECT note_id, n > 0 AS is_hedged, n AS match_count FROM (SELECT note_id, len(regexp_extract_all(note || CASE WHEN note_id % 3 = 0 THEN ' Possible PE, cannot be excluded; suspected clot.' ELSE '' END, '(?i)\\b(possible|suspected|questionable|concerning for|evaluated? for|suggestive of|may represent)\\b')) AS n FROM notes)", B.NOTES)
+_HEDGED = f"{B.NOTES}, texts AS (SELECT note_id, note || CASE WHEN note_id % 3 = 0 THEN ' Possible PE, cannot be excluded; suspected clot.' ELSE '' END AS t FROM notes), hedged AS (SELECT note_id, [" + ", ".join(f"{{'k': '{k}', 'n': len(regexp_extract_all(t, '(?i){p}'))}}" for k, p in notes.HEDGES.items()) + "] AS h FROM texts)"
+
+
+@query("SELECT note_id, list_sum([x.n FOR x IN h]) > 0 AS is_hedged, CAST(list_sum([x.n FOR x IN h]) AS BIGINT) AS match_count, array_to_string([x.k FOR x IN h IF x.n > 0], ',') AS categories FROM hedged", _HEDGED)
 def hedging(spark, d):
     text = F.concat("note", F.when(F.col("note_id") % 3 == 0, " Possible PE, cannot be excluded; suspected clot.").otherwise(""))
     h = notes.hedges(text)
-    return B.notes(spark, d).select("note_id", h.is_hedged.alias("is_hedged"), h.match_count.cast("long").alias("match_count"))
+    return B.notes(spark, d).select("note_id", h.is_hedged.alias("is_hedged"), h.match_count.cast("long").alias("match_count"), F.concat_ws(",", h.categories).alias("categories"))
 
 
 @query()
 def phi_spans(spark, d):
     text = F.concat("note", F.lit(" seen 1/"), (F.col("note_id") % 28 + 1).cast("string"), F.lit("/2010 at 10:30 AM by DR. JOHN DOE AND PAGER 12-345"))
-    return B.notes(spark, d).select("note_id", text.alias("note")).withColumn("spans", notes.phi_spans("note")).select("note_id", F.size("spans").alias("n"))
+    return B.notes(spark, d).select("note_id", text.alias("note")).withColumn("spans", notes.phi_spans("note")).select("note_id", "spans")
 
 
 @query()
@@ -375,6 +393,12 @@ def severity_inputs(spark, d):
     return rounded(df, "age").select("study_id", "cancer", "lung", "age", "heart")
 
 
+@query("SELECT 'hr' AS input, count(*) FILTER (WHERE v IS NULL) AS missing FROM (SELECT a.study_id, max(value) FILTER (WHERE code = 'Brand#3' AND event_time <= anchor_time + INTERVAL 2 DAY AND event_time > anchor_time - INTERVAL 10 DAY) AS v FROM anchors a LEFT JOIN measurement USING (person_id) GROUP BY 1) UNION ALL SELECT 'cancer', 0 UNION ALL SELECT 'lung', 0", f"{B.ANCHORS}, {B.MEASUREMENT}")
+def severity_missing(spark, d):
+    inputs = scalars.severity_inputs(B.anchors(spark, d), B.measurements(spark, d), ["Brand#1"], ["Brand#2"], {"hr": ["Brand#3"]})
+    return scalars.missing_inputs(inputs.drop("age"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, (l_quantity > 40)::INT + (l_returnflag = 'R')::INT + (l_linestatus = 'F')::INT + (l_extendedprice >= 50000)::INT + (l_discount < 0.02)::INT + (l_tax < 0.01)::INT AS score FROM lineitem")
 def severity_score(spark, d):
     c = F.col

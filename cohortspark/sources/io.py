@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,3 +163,30 @@ def fuse_sparse(long: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     full = F.filter("c", lambda x: x.value != 0)
     out = rows.select("study_id", F.concat(F.transform(full, lambda x: x.place), F.transform("c", lambda x: x.place + n)).alias("indices"), F.concat(F.transform(full, lambda x: x.value), F.transform("c", lambda x: F.lit(1.0))).alias("values"), F.lit(2 * n).alias("size"))
     return labels.join(out, "study_id", "left"), layout
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; without one a local session makes its own, and a
+    cluster is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return where
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once in the shared folder and read back, for plans that read it twice: unlike a cache it outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in the order, from 0. Rows are sorted by ranges and written; a part's place in the order and its
+    rows' places in it make the number, so no task counts all rows."""
+    part = written(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    return part.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
