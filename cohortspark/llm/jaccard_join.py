@@ -603,8 +603,9 @@ def joined_documents(docs: DataFrame, width: int, percent: int, cell: int, **lim
     region = checkpointed(components(maybe).select("node", F.col("root").alias("region")))
     removed(spark, keyed_path)
 
-    one = slim.join(region, "node").groupBy("node", "region").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("d"))
-    wanted = checkpointed(one.select("node", "region", F.col("d.doc_id").alias("_id"), F.col("d.text_hash").alias("_hash")))
+    # one document for each node, before any join: numbers only, so that copies are combined before the shuffle
+    one = slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_id"), F.min_by("text_hash", "doc_id").alias("_of_id"), F.min("text_hash").alias("_any"))
+    wanted = checkpointed(one.join(region, "node").select("node", "region", "_id", F.coalesce("_of_id", "_any").alias("_hash")))
 
     def texts(wanted: DataFrame) -> DataFrame:
         rows = hashed(docs)
