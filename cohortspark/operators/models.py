@@ -75,8 +75,9 @@ def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None
 
 
 def linear_probe(df: DataFrame, grid: list[float] | None = None) -> tuple[DataFrame, float, float]:
-    """Logistic regression with the L2 strength that has the best AUROC on valid; warns if that is an end of the grid."""
-    grid = grid or [10.0 ** (i / 2) for i in range(-10, 11)]
+    """Logistic regression with the L2 strength that has the best AUROC on valid; warns if that is an end of the grid, which
+    without one is the surveyed grid: 20 strengths from 10 to 1e-5 and none."""
+    grid = grid or [10.0 ** (1 - 6 * i / 19) for i in range(20)] + [0.0]
     train, valid = _kept(df.where("split = 'train'")), _kept(df.where("split = 'valid'"))
     best = None
     for l2 in grid:
