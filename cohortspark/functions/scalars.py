@@ -32,13 +32,18 @@ def decade_band(age: Column) -> Column:
     return F.when(age <= 20, "0-20").when(age <= 40, "21-40").when(age <= 60, "41-60").when(age <= 80, "61-80").when(age.isNotNull(), "81+").otherwise("unknown")
 
 
+#: Raw races that count as unknown and as other.
+RACE_UNKNOWN = ["Unknown", "Delines to State", "", "Declines to State"]
+RACE_OTHER = ["Other", "Native Hawaiian or Other Pacific Islander"]
+
+
 def source_demographics(df: DataFrame) -> DataFrame:
     """gender, race and ethnicity of source values (gender_concept_id, race_source_value, ethnicity_source_value)."""
     race = F.trim(F.substring_index("race_source_value", "|", 1))
     ethnicity = F.trim(F.substring_index("ethnicity_source_value", "|", 1))
     return df.withColumns({
         "gender": F.when(F.col("gender_concept_id") == 8532, "Female").when(F.col("gender_concept_id") == 8507, "Male").otherwise("Unknown"),
-        "race": F.when(race.isNull() | race.isin("Unknown", "Delines to State", "", "Declines to State"), "Unknown").when(race.isin("Other", "Native Hawaiian or Other Pacific Islander"), "Other").otherwise(race),
+        "race": F.when(race.isNull() | race.isin(RACE_UNKNOWN), "Unknown").when(race.isin(RACE_OTHER), "Other").otherwise(race),
         "ethnicity": F.when(ethnicity.contains("Non-Hispanic"), "Non-Hispanic").when(ethnicity.contains("Hispanic/Latino"), "Hispanic").otherwise("Unknown"),
     })
 
@@ -105,9 +110,18 @@ def expit(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 
 
+#: What a task's name holds, in order, and its label.
+CATEGORIES = {"PE": "PE", "mortality": "Mort", "readmission": "Re-ad"}
+HORIZONS = {"12_month": "12 m", "6_month": "6 m", "1_month": "1 m"}
+
+
+def _first_label(c: Column, labels: dict[str, str], other: str) -> Column:
+    return F.coalesce(*(F.when(c.contains(held), label) for held, label in labels.items()), F.lit(other))
+
+
 def task_category(c: Column) -> Column:
-    return F.when(c.contains("PE"), "PE").when(c.contains("mortality"), "Mort").when(c.contains("readmission"), "Re-ad").otherwise("PH")
+    return _first_label(c, CATEGORIES, "PH")
 
 
 def task_horizon(c: Column) -> Column:
-    return F.when(c.contains("12_month"), "12 m").when(c.contains("6_month"), "6 m").when(c.contains("1_month"), "1 m").otherwise("N/A")
+    return _first_label(c, HORIZONS, "N/A")

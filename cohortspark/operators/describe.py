@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import numbered
+from .running import quantiles
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -35,9 +36,9 @@ def distribution_by_split(df: DataFrame, c: str, split: str = "split") -> DataFr
 
 def density_quartile(df: DataFrame, c: str) -> DataFrame:
     """quartile (1 to 4) by the column's exact percentiles, ties in the lower one."""
-    cuts = df.agg(F.expr(f"percentile(`{c}`, array(0.25, 0.5, 0.75))").alias("_q"))
-    x = F.col(c)
-    return df.crossJoin(F.broadcast(cuts)).withColumn("quartile", F.when(x <= F.col("_q")[0], 1).when(x <= F.col("_q")[1], 2).when(x <= F.col("_q")[2], 3).when(x.isNotNull(), 4)).drop("_q")
+    cuts = quantiles(df.select(F.col(f"`{c}`").alias("_x")), [], "_x", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})  # one row
+    x = F.col(f"`{c}`")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("quartile", F.when(x <= F.col("_q1"), 1).when(x <= F.col("_q2"), 2).when(x <= F.col("_q3"), 3).when(x.isNotNull(), 4)).drop("_q1", "_q2", "_q3")
 
 
 def describe_slices(studies: DataFrame, by: list[str]) -> DataFrame:
@@ -52,12 +53,15 @@ def describe_slices(studies: DataFrame, by: list[str]) -> DataFrame:
     known = F.col("tte_days").isNotNull()
     main = rows.groupBy("dim", "level").agg(
         F.count(F.lit(1)).alias("n_studies"), F.count_distinct("person_id").alias("n_patients"), F.avg("y").alias("event_rate"), F.sum("y").cast("long").alias("n_positive"),
-        F.avg("codes").alias("mean_codes"), F.expr("percentile(codes, 0.5)").alias("median_codes"), F.avg("total").alias("mean_total"),
-        (1 - F.avg(F.when(known, F.col("event")))).alias("censoring_rate"), F.expr("percentile(tte_days, 0.5)").alias("median_tte"),
-        F.avg("age").alias("age_mean"), (F.expr("percentile(age, 0.75)") - F.expr("percentile(age, 0.25)")).alias("age_iqr"),
+        F.avg("codes").alias("mean_codes"), F.avg("total").alias("mean_total"),
+        (1 - F.avg(F.when(known, F.col("event")))).alias("censoring_rate"), F.avg("age").alias("age_mean"),
         F.avg((F.coalesce("sex", F.lit("")) == "female").cast("int")).alias("frac_female"), F.avg((F.coalesce("key", F.lit(0)) == 0).cast("int")).alias("key_missing"), F.avg(F.coalesce("oldest", F.lit(False)).cast("int")).alias("frac_oldest"),
     )
-    return main.join(sites, ["dim", "level"])
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in ("codes", "tte_days", "age"))))
+    cuts = quantiles(rows.select("dim", "level", cells.alias("c")).select("dim", "level", "c.m", "c.v"), ["dim", "level", "m"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    of = lambda m, c: F.max(F.when(F.col("m") == m, c))
+    cuts = cuts.groupBy("dim", "level").agg(of("codes", F.col("q2")).alias("median_codes"), of("tte_days", F.col("q2")).alias("median_tte"), of("age", F.col("q3") - F.col("q1")).alias("age_iqr"))
+    return main.join(sites, ["dim", "level"]).join(cuts, ["dim", "level"], "left")
 
 
 def vocab_shares(long: DataFrame, slices: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def matrix_stats(long: DataFrame, n_studies: int, n_features: int) -> DataFrame:
 def summary(studies: DataFrame, long: DataFrame) -> DataFrame:
     """Studies, patients, event rate, share of studies with any measurement, median time to event."""
     measured = studies.join(long.where("value is not null").select("study_id").distinct().withColumn("_m", F.lit(1)), "study_id", "left")
-    return measured.agg(F.count(F.lit(1)).alias("n_studies"), F.count_distinct("person_id").alias("n_patients"), F.avg("y").alias("event_rate"), F.avg(F.coalesce("_m", F.lit(0))).alias("measured"), F.expr("percentile(tte_days, 0.5)").alias("median_tte"))
+    counts = measured.agg(F.count(F.lit(1)).alias("n_studies"), F.count_distinct("person_id").alias("n_patients"), F.avg("y").alias("event_rate"), F.avg(F.coalesce("_m", F.lit(0))).alias("measured"))
+    return counts.crossJoin(quantiles(studies, [], "tte_days", {"median_tte": 0.5}))  # a row each
 
 
 def seed_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import expit, logit
+from ..sources.io import written
+from .running import cumulated, score_part
 
 BY = ["model", "task"]
 
@@ -19,20 +24,22 @@ def score_table(df: DataFrame, by: list[str], weight: Column | None = None) -> D
     return df.where("label is not null and prob is not null").groupBy(*by, "prob").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("label") == 0, w).otherwise(0.0)).alias("neg"))
 
 
+def ranked(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """The score table with pos_before, neg_before (at smaller scores), pos_all and neg_all."""
+    return cumulated(score_table(df, by, weight), by, "prob", ["pos", "neg"], score_part(F.col("prob")))
+
+
 def auroc(df: DataFrame, by: list[str] = BY, weight: Column | None = None) -> DataFrame:
     """Area under the ROC curve, ties averaged; null where there is one class only."""
-    below = Window.partitionBy(*by).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    t = score_table(df, by, weight).withColumn("_b", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     p, n = F.sum("pos"), F.sum("neg")
-    return t.groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)) / (p * n)).alias("auroc"))
+    return ranked(df, by, weight).groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (p * n)).alias("auroc"))
 
 
 def auprc(df: DataFrame, by: list[str] = BY) -> DataFrame:
     """Average precision; null where there is one class only."""
-    above = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    t = score_table(df, by).withColumns({"_tp": F.sum("pos").over(above), "_all": F.sum(F.col("pos") + F.col("neg")).over(above)})
     p, n = F.sum("pos"), F.sum("neg")
-    return t.groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * F.col("_tp") / F.col("_all")) / p).alias("auprc"))
+    tp, fp = F.col("pos_all") - F.col("pos_before"), F.col("neg_all") - F.col("neg_before")
+    return ranked(df, by).groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * tp / (tp + fp)) / p).alias("auprc"))
 
 
 def ece(df: DataFrame, by: list[str] = BY, bins: int = 9) -> DataFrame:
@@ -43,32 +50,125 @@ def ece(df: DataFrame, by: list[str] = BY, bins: int = 9) -> DataFrame:
     return per.groupBy(*by).agg((error / F.sum("_n")).alias("ece"))
 
 
-def replicates(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n bootstrap replicates: a row's weight in each is Poisson(1) from a hash of seed, replicate and key, so that models get
-    the same draws and no rows meet in one place; rows of weight 0 go."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", key), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, upto, p = F.lit(8), [], math.exp(-1)
-    total = 0.0
-    for k in range(8):
-        total += p / math.factorial(k)
-        upto.append(total)
-    for k in reversed(range(8)):
-        weight = F.when(u < upto[k], k).otherwise(weight)
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("weight", weight).where("weight > 0")
-
-
-def bootstrap_auroc(df: DataFrame, key: str, n: int = 1000, seed: int = 0, by: list[str] = BY) -> DataFrame:
-    """AUROC of every replicate."""
-    return auroc(replicates(df, key, n, seed), [*by, "replicate"], F.col("weight").cast("double"))
-
-
-def bootstrap_ci(df: DataFrame, key: str, base: str | None = None, n: int = 1000, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 percentiles of each model's AUROC, or of its difference to a base model on the same draws."""
-    draws = bootstrap_auroc(df, key, n, seed)
-    value = F.col("auroc")
+#: Chances that a Poisson(1) draw is at most 0, 1, ... 7; beyond it is taken as 8.
+_AT_MOST = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
+def poisson_weights(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A row's weight, Poisson(1), in each of n replicates: a mixing of its hash and the replicate's number."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    w = np.zeros(u.shape)
+    for most in _AT_MOST:
+        w += u >= most
+    return w
+
+
+class _Sweep:
+    """Weights of a part's rows, from the highest score down, in all replicates at once: positives p, negatives n, the sum q of
+    scores, the pairs u of a negative below a positive (ties half) and the sum a of positives times the precision at their score.
+    Scores above the part count from the start (p0, n0)."""
+
+    def __init__(self, n: int, start: tuple[np.ndarray, np.ndarray] | None) -> None:
+        self.p0, self.n0 = start or (np.zeros(n), np.zeros(n))
+        self.p, self.n, self.q, self.u, self.a, self.same_p, self.same_n = (np.zeros(n) for _ in range(7))
+        self.score: float | None = None
+
+    def _close(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Scores that are complete, a row each."""
+        p, n = self.p0 + self.p + np.cumsum(pos, 0), self.n0 + self.n + np.cumsum(neg, 0)
+        self.u += (neg * (p - pos / 2)).sum(0)
+        self.a += (pos * p / np.maximum(p + n, 1)).sum(0)
+        self.p += pos.sum(0)
+        self.n += neg.sum(0)
+
+    def add(self, scores: np.ndarray, labels: np.ndarray, w: np.ndarray) -> None:
+        self.q += scores @ w
+        starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+        pos, neg = (np.add.reduceat(w * (labels == y)[:, None], starts, axis=0) for y in (1, 0))
+        if self.score == scores[0]:
+            pos[0] += self.same_p
+            neg[0] += self.same_n
+        else:
+            self._close(self.same_p[None], self.same_n[None])
+        self._close(pos[:-1], neg[:-1])
+        self.same_p, self.same_n, self.score = pos[-1], neg[-1], scores[-1]
+
+    def end(self) -> list[np.ndarray]:
+        self._close(self.same_p[None], self.same_n[None])
+        return [self.p, self.n, self.q, self.u, self.a]
+
+
+def _swept(rows: DataFrame, by: list[str], n: int, starts: DataFrame | None = None) -> DataFrame:
+    """rows (by, _part, _h, label 0/1, prob), maybe with starts (by, _part, p0, n0: arrays): by, _part, replicate and the sums of
+    _Sweep. Rows move once and are multiplied by the replicates only as arrays of 256 rows in their part's task, which reads its
+    part as a stream; what comes out is parts times replicates, however many rows there are."""
+    keys = [*by, "_part"]
+    both = rows.withColumns({"p0": F.lit(None).cast("array<double>"), "n0": F.lit(None).cast("array<double>")})
+    if starts is not None:
+        both = both.unionByName(starts, allowMissingColumns=True)
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_k")
+    filled = (F.coalesce(c, F.lit(0)).alias(c) for c in ("_h", "label", "prob"))  # pandas would make null hashes' column doubles
+    both = both.select(name, *filled, "p0", "n0").repartition("_k").sortWithinPartitions("_k", F.col("p0").isNull(), F.desc("prob"))
+
+    def sweep(batches):
+        key, part = None, None
+        for b in batches:
+            names = b["_k"].to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(b)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if names[lo] != key:
+                    if part is not None:
+                        yield pd.DataFrame({"_k": [key], "s": [part.end()]})
+                    key, part = names[lo], None
+                if b["p0"].iat[lo] is not None:
+                    part, lo = _Sweep(n, (np.array(b["p0"].iat[lo]), np.array(b["n0"].iat[lo]))), lo + 1
+                part = part or _Sweep(n, None)
+                for i in range(lo, hi, 256):
+                    c = b.iloc[i : min(hi, i + 256)]
+                    part.add(c["prob"].to_numpy(float), c["label"].to_numpy(float), poisson_weights(c["_h"].to_numpy(np.int64), n))
+        if part is not None:
+            yield pd.DataFrame({"_k": [key], "s": [part.end()]})
+
+    kinds = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys])
+    out = both.mapInPandas(sweep, "_k string, s array<array<double>>").withColumn("_k", F.from_json("_k", kinds))
+    return out.select("_k.*", F.posexplode(F.arrays_zip(*(F.col("s")[i].alias(c) for i, c in enumerate("pnqua")))).alias("replicate", "s")).select(*keys, "replicate", "s.*")
+
+
+def bootstrap(df: DataFrame, key: str, metric: str = "auroc", n: int = 1000, seed: int = 0, by: list[str] = BY) -> DataFrame:
+    """auroc, auprc or ece (of 9 bins) of n bootstrap replicates: by, replicate, value (null where a replicate has one class only).
+    A row's weight in each is Poisson(1) from a hash of seed, replicate and key, so that models get the same draws, all rows of a
+    key the same weight, and no rows meet in one place. Rows without label or score don't count; empty: empty."""
+    part = F.floor(F.col("prob") * 9).cast("int") if metric == "ece" else score_part(F.col("prob"), 1 / 8)
+    rows = df.where("label is not null and prob is not null").select(*by, part.alias("_part"), F.xxhash64(F.lit(seed), key).alias("_h"), F.col("label").cast("int").alias("label"), F.col("prob").cast("double").alias("prob"))
+    sums = _swept(rows, by, n)
+    p, m = F.sum("p"), F.sum("n")
+    if metric == "ece":
+        error = F.sum(F.when(F.col("_part") < 9, F.abs(F.col("p") - F.col("q"))).otherwise(0.0))
+        return sums.groupBy(*by, "replicate").agg(F.when(p + m > 0, error / (p + m)).alias("value"))
+    above = Window.partitionBy(*by, "replicate").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    sums = sums.withColumns({f"{c}0": F.coalesce(F.sum(c).over(above), F.lit(0.0)) for c in "pn"})
+    if metric == "auroc":
+        return sums.groupBy(*by, "replicate").agg(F.when((p > 0) & (m > 0), F.sum(F.col("u") + F.col("n") * F.col("p0")) / (p * m)).alias("value"))
+    if metric != "auprc":
+        raise ValueError(f"no such metric: {metric}")
+    starts = sums.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct("replicate", "p0", "n0"))).alias("_s"))  # n elements
+    sums = _swept(rows, by, n, starts.select(*by, "_part", F.col("_s.p0").alias("p0"), F.col("_s.n0").alias("n0")))
+    return sums.groupBy(*by, "replicate").agg(F.when((p > 0) & (m > 0), F.sum("a") / p).alias("value"))
+
+
+def bootstrap_ci(df: DataFrame, key: str, base: str | None = None, n: int = 1000, seed: int = 0, metric: str = "auroc") -> DataFrame:
+    """2.5 and 97.5 percentiles of each model's metric over the replicates, or of its difference to a base model on the same draws."""
+    draws, value = bootstrap(df, key, metric, n, seed), F.col("value")
     if base is not None:
-        other = draws.where(F.col("model") == base).select("task", "replicate", F.col("auroc").alias("_base"))
-        draws, value = draws.join(other, ["task", "replicate"]), F.col("auroc") - F.col("_base")
+        draws = written(draws)
+        other = draws.where(F.col("model") == base).select("task", "replicate", F.col("value").alias("_base"))
+        draws, value = draws.join(other, ["task", "replicate"]), F.col("value") - F.col("_base")
     return draws.withColumn("v", value).groupBy(*BY).agg(F.avg("v").alias("mean"), F.expr("percentile(v, 0.025)").alias("low"), F.expr("percentile(v, 0.975)").alias("high"))
 
 
@@ -150,10 +250,8 @@ def sens_spec(df: DataFrame, threshold: float | Column = 0.5, by: list[str] = BY
 
 def roc_curve(df: DataFrame, by: list[str] = BY) -> DataFrame:
     """threshold, fpr and tpr at each distinct score."""
-    above, whole = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    t = score_table(df, by)
-    rate = lambda c: F.sum(c).over(above) / F.when(F.sum(c).over(whole) > 0, F.sum(c).over(whole))
-    return t.select(*by, F.col("prob").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
+    rate = lambda c: (F.col(f"{c}_all") - F.col(f"{c}_before")) / F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_all"))
+    return ranked(df, by).select(*by, F.col("prob").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def youden(df: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -189,11 +287,11 @@ def subgroup_interaction(df: DataFrame, group: str, a: str, b: str, key: str, n:
     """How much more model a loses than b from group false to true: the drops, their difference, its bootstrap interval, and the
     share of replicates in which it isn't above 0."""
     def drops(draws: DataFrame, by: list[str]) -> DataFrame:
-        cell = lambda m, g: F.max(F.when((F.col("model") == m) & (F.col(group) == g), F.col("auroc")))
+        cell = lambda m, g: F.max(F.when((F.col("model") == m) & (F.col(group) == g), F.col("value")))
         return draws.groupBy(*by).agg((cell(a, False) - cell(a, True)).alias("drop_a"), (cell(b, False) - cell(b, True)).alias("drop_b")).withColumn("interaction", F.col("drop_a") - F.col("drop_b"))
 
-    point = drops(auroc(df, ["task", "model", group]), ["task"])
-    boot = drops(bootstrap_auroc(df, key, n, seed, ["task", "model", group]), ["task", "replicate"]).where("interaction is not null")
+    point = drops(auroc(df, ["task", "model", group]).withColumnRenamed("auroc", "value"), ["task"])
+    boot = drops(bootstrap(df, key, "auroc", n, seed, ["task", "model", group]), ["task", "replicate"]).where("interaction is not null")
     ci = boot.groupBy("task").agg(F.expr("percentile(interaction, 0.025)").alias("low"), F.expr("percentile(interaction, 0.975)").alias("high"), F.avg((F.col("interaction") <= 0).cast("int")).alias("p"))
     return point.join(ci, "task")
 
@@ -202,14 +300,13 @@ def paired_auc_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """AUROC of two models on the same rows and a z test of their difference by the jackknife: a row's leave-one-out AUROC comes
     from its placement (the share of the other class on its right side), so nothing is computed anew for each row."""
     def placed(m: str) -> DataFrame:
-        below = Window.partitionBy("task").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
         rows = df.where((F.col("model") == m) & F.col("label").isNotNull())
-        whole = Window.partitionBy("task")
-        t = score_table(rows, ["task"]).withColumns({"_nb": F.coalesce(F.sum("neg").over(below), F.lit(0.0)), "_pb": F.coalesce(F.sum("pos").over(below), F.lit(0.0)), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
-        t = t.withColumns({"wins": F.col("_nb") + F.col("neg") / 2, "losses": F.col("P") - F.col("_pb") - F.col("pos") / 2})
-        t = t.withColumn("sum", F.sum(F.col("pos") * F.col("wins")).over(whole))
+        t = ranked(rows, ["task"]).withColumnsRenamed({"pos_all": "P", "neg_all": "N"})
+        t = t.withColumns({"wins": F.col("neg_before") + F.col("neg") / 2, "losses": F.col("P") - F.col("pos_before") - F.col("pos") / 2})
+        sums = t.groupBy("task").agg(F.sum(F.col("pos") * F.col("wins")).alias("sum"))
+        t = t.select("task", "prob", "wins", "losses", "P", "N").join(sums, "task")
         left = F.when(F.col("label") == 1, (F.col("sum") - F.col("wins")) / ((F.col("P") - 1) * F.col("N"))).otherwise((F.col("sum") - F.col("losses")) / (F.col("P") * (F.col("N") - 1)))
-        return rows.join(t.select("task", "prob", "wins", "losses", "sum", "P", "N"), ["task", "prob"]).select("task", "patient_id", left.alias(f"loo_{m}"), (F.col("sum") / (F.col("P") * F.col("N"))).alias(f"auc_{m}"))
+        return rows.join(t, ["task", "prob"]).select("task", "patient_id", left.alias(f"loo_{m}"), (F.col("sum") / (F.col("P") * F.col("N"))).alias(f"auc_{m}"))
 
     x = placed(a).withColumnsRenamed({f"loo_{a}": "la", f"auc_{a}": "auc_a"}).join(placed(b).withColumnsRenamed({f"loo_{b}": "lb", f"auc_{b}": "auc_b"}), ["task", "patient_id"])
     n = F.count(F.lit(1))
@@ -223,9 +320,8 @@ def margin_test(df: DataFrame, a: str, b: str) -> DataFrame:
     approximation), and the mean margins."""
     wrong = df.where(((F.col("prob") >= 0.5).cast("int") != F.col("label")) & F.col("model").isin(a, b)).withColumn("margin", F.abs(F.col("prob") - 0.5))
     t = wrong.groupBy("margin").agg(F.count(F.when(F.col("model") == a, 1)).alias("na"), F.count(F.when(F.col("model") == b, 1)).alias("nb"))
-    below = Window.orderBy("margin").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_b", F.coalesce(F.sum("nb").over(below), F.lit(0))).withColumn("_t", F.col("na") + F.col("nb"))
-    s = t.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("na") * (F.col("_b") + F.col("nb") / 2)).alias("u"), F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("ties"), (F.sum(F.col("margin") * F.col("na")) / F.sum("na")).alias("mean_a"), (F.sum(F.col("margin") * F.col("nb")) / F.sum("nb")).alias("mean_b"))
+    t = cumulated(t, [], "margin", ["nb"], score_part(F.col("margin"))).withColumn("_t", F.col("na") + F.col("nb"))
+    s = t.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("na") * (F.col("nb_before") + F.col("nb") / 2)).alias("u"), F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("ties"), (F.sum(F.col("margin") * F.col("na")) / F.sum("na")).alias("mean_a"), (F.sum(F.col("margin") * F.col("nb")) / F.sum("nb")).alias("mean_b"))
     n = F.col("n_a") + F.col("n_b")
     sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     return s.select("n_a", "n_b", "mean_a", "mean_b", "u", ((F.col("u") - F.col("n_a") * F.col("n_b") / 2) / sd).alias("z"))

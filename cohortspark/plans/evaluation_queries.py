@@ -132,6 +132,14 @@ def bootstrap_ci(spark, d):
     return E.bootstrap_ci(B.predictions(spark, d), "patient_id")
 
 
+@query()
+def bootstrap_metrics(spark, d):
+    """Intervals of average precision and calibration error."""
+    p = B.predictions(spark, d)
+    one, two = (E.bootstrap_ci(p, "patient_id", metric=m).withColumn("metric", F.lit(m)) for m in ("auprc", "ece"))
+    return one.unionByName(two)
+
+
 @query()
 def bootstrap_difference(spark, d):
     return E.bootstrap_ci(B.predictions(spark, d), "patient_id", base="A")
