@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import expit, logit
 from ..sources.io import written
 from .running import cumulated, score_part
+from .splits import drawn
 
 BY = ["model", "task"]
 
@@ -142,10 +143,10 @@ def _swept(rows: DataFrame, by: list[str], n: int, starts: DataFrame | None = No
 
 def bootstrap(df: DataFrame, key: str, metric: str = "auroc", n: int = 1000, seed: int = 0, by: list[str] = BY) -> DataFrame:
     """auroc, auprc or ece (of 9 bins) of n bootstrap replicates: by, replicate, value (null where a replicate has one class only).
-    A row's weight in each is Poisson(1) from a hash of seed, replicate and key, so that models get the same draws, all rows of a
-    key the same weight, and no rows meet in one place. Rows without label or score don't count; empty: empty."""
+    A row's weight in each is Poisson(1) from a hash of seed, replicate and key (null keys are one), so that models get the same
+    draws, all rows of a key the same weight, and no rows meet in one place. Rows without label or score don't count; empty: empty."""
     part = F.floor(F.col("prob") * 9).cast("int") if metric == "ece" else score_part(F.col("prob"), 1 / 8)
-    rows = df.where("label is not null and prob is not null").select(*by, part.alias("_part"), F.xxhash64(F.lit(seed), key).alias("_h"), F.col("label").cast("int").alias("label"), F.col("prob").cast("double").alias("prob"))
+    rows = df.where("label is not null and prob is not null").select(*by, part.alias("_part"), drawn(key, seed).alias("_h"), F.col("label").cast("int").alias("label"), F.col("prob").cast("double").alias("prob"))
     sums = _swept(rows, by, n)
     p, m = F.sum("p"), F.sum("n")
     if metric == "ece":

@@ -127,28 +127,61 @@ def task_names(spark, d):
     return B.read(spark, d, "customer").select(task.alias("task")).distinct().select("task", scalars.task_category(F.col("task")).alias("category"), scalars.task_horizon(F.col("task")).alias("horizon"))
 
 
-@query()
+def _mixed(z: str, factor: int, shift: int) -> str:
+    """A step of the mixing of hashes in 64 bits, which SQL does in 128."""
+    return f"(xor({z}, {z} >> {shift}) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+
+
+#: The weights of E.poisson_weights and the metrics of every replicate.
+_WEIGHT = " + ".join(f"CAST(u >= CAST('{float(most)!r}' AS DOUBLE) AS INT)" for most in E._AT_MOST)
+_DRAWS = f"""{P}, known AS (SELECT * FROM preds WHERE label IS NOT NULL AND prob IS NOT NULL),
+    z1 AS (SELECT patient_id, r, (CAST('0x' || substr(md5('0|' || patient_id), 1, 12) AS BIGINT)::UHUGEINT + (r + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM (SELECT DISTINCT patient_id FROM known), range(1000) AS x(r)),
+    z2 AS (SELECT patient_id, r, {_mixed("z", 0xBF58476D1CE4E5B9, 30)} AS z FROM z1), z3 AS (SELECT patient_id, r, {_mixed("z", 0x94D049BB133111EB, 27)} AS z FROM z2),
+    draws AS MATERIALIZED (SELECT patient_id, r, CAST({_WEIGHT} AS DOUBLE) AS w FROM (SELECT patient_id, r, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992 AS u FROM z3)),
+    weighed AS MATERIALIZED (SELECT known.*, patient_id % 2 = 0 AS hedged, r, w FROM known JOIN draws USING (patient_id))"""
+
+
+def _boot(metric: str, by: str = "model, task") -> str:
+    if metric == "ece":
+        return f"SELECT {by}, r, sum(CASE WHEN bin < 9 THEN abs(y - p) ELSE 0 END) / nullif(sum(n), 0) AS v FROM (SELECT {by}, r, floor(prob * 9) AS bin, sum(w) AS n, sum(w * label) AS y, sum(w * prob) AS p FROM weighed GROUP BY ALL) GROUP BY ALL"
+    value = "sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg))" if metric == "auroc" else "sum(pos * tp / greatest(al, 1)) / sum(pos)"
+    scores = f"SELECT {by}, r, prob, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM weighed GROUP BY ALL"
+    return f"SELECT {by}, r, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {value} END AS v FROM (SELECT *, sum(neg) OVER (PARTITION BY {by}, r ORDER BY prob) AS upto, sum(pos) OVER d AS tp, sum(pos + neg) OVER d AS al FROM ({scores}) WINDOW d AS (PARTITION BY {by}, r ORDER BY prob DESC)) GROUP BY ALL"
+
+
+_INTERVAL = "round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high"
+
+
+@query(f"SELECT model, task, {_INTERVAL} FROM ({_boot('auroc')}) GROUP BY ALL", _DRAWS)
 def bootstrap_ci(spark, d):
-    return E.bootstrap_ci(B.predictions(spark, d), "patient_id")
+    return rounded(E.bootstrap_ci(B.predictions(spark, d), "patient_id"), "mean", "low", "high")
 
 
-@query()
+@query(f"SELECT model, task, metric, {_INTERVAL} FROM (SELECT *, 'auprc' AS metric FROM ({_boot('auprc')}) UNION ALL SELECT *, 'ece' FROM ({_boot('ece')})) GROUP BY ALL", _DRAWS)
 def bootstrap_metrics(spark, d):
     """Intervals of average precision and calibration error."""
     p = B.predictions(spark, d)
     one, two = (E.bootstrap_ci(p, "patient_id", metric=m).withColumn("metric", F.lit(m)) for m in ("auprc", "ece"))
-    return one.unionByName(two)
+    return rounded(one.unionByName(two), "mean", "low", "high")
 
 
-@query()
+@query(f"SELECT model, task, {_INTERVAL} FROM (SELECT m.model, m.task, m.v - a.v AS v FROM boot m JOIN boot a ON m.task = a.task AND m.r = a.r WHERE a.model = 'A') GROUP BY ALL", f"{_DRAWS}, boot AS MATERIALIZED ({_boot('auroc')})")
 def bootstrap_difference(spark, d):
-    return E.bootstrap_ci(B.predictions(spark, d), "patient_id", base="A")
+    return rounded(E.bootstrap_ci(B.predictions(spark, d), "patient_id", base="A"), "mean", "low", "high")
 
 
-@query()
+def _drops(rows: str, by: str) -> str:
+    cell = lambda m, g: f"max(v) FILTER (WHERE model = '{m}' AND {'' if g else 'NOT '}hedged)"
+    return f"SELECT {by}, {cell('A', 0)} - {cell('A', 1)} AS drop_a, {cell('B', 0)} - {cell('B', 1)} AS drop_b FROM {rows} GROUP BY ALL"
+
+
+_POINT = "SELECT p.model, p.task, p.patient_id % 2 = 0 AS hedged, avg(CASE WHEN p.prob > n.prob THEN 1.0 WHEN p.prob = n.prob THEN 0.5 ELSE 0.0 END) AS v FROM known p JOIN known n ON p.model = n.model AND p.task = n.task AND p.patient_id % 2 = n.patient_id % 2 WHERE p.label = 1 AND n.label = 0 GROUP BY ALL"
+
+
+@query("SELECT task, round(drop_a, 6) AS drop_a, round(drop_b, 6) AS drop_b, round(drop_a - drop_b, 6) AS interaction, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p FROM point JOIN (SELECT task, quantile_cont(drop_a - drop_b, 0.025) AS low, quantile_cont(drop_a - drop_b, 0.975) AS high, avg(CAST(drop_a - drop_b <= 0 AS INT)) AS p FROM boot WHERE drop_a - drop_b IS NOT NULL GROUP BY 1) USING (task)", f"{_DRAWS}, point AS ({_drops(f'({_POINT})', 'task')}), boot AS ({_drops('(' + _boot('auroc', 'model, task, hedged') + ')', 'task, r')})")
 def subgroup_interaction(spark, d):
     p = B.predictions(spark, d).withColumn("hedged", F.col("patient_id") % 2 == 0)
-    return E.subgroup_interaction(p, "hedged", "A", "B", "patient_id")
+    return rounded(E.subgroup_interaction(p, "hedged", "A", "B", "patient_id"), "drop_a", "drop_b", "interaction", "low", "high", "p")
 
 
 @query()

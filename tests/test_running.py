@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import evaluate as E
 from cohortspark.operators.running import cumulated, quantiles, score_part, value_part
+from cohortspark.operators.splits import drawn
 
 SCORES = [0.0, 1e-13, 1e-9, 0.2, 0.2000001, 0.5, 0.5, 0.75, 1 - 1e-9, 1.0]
 
@@ -71,7 +72,7 @@ def test_bootstrap_is_the_metric_of_weighted_rows(spark, metric):
     data = [(m, None if m == "n" else "t", i % 70, r.choice(SCORES + [r.random() for _ in range(5)]), int(r.random() < 0.4)) for m in ("x", "y", "n") for i in range(90)]
     data += [("one", "t", i, 0.1 * i, 1) for i in range(5)] + [("x", "t", None, 0.3, 1), ("x", "t", 5, None, 1), ("x", "t", 6, 0.4, None), ("few", "t", 1, 0.5, 1), ("few", "t", 2, 0.5, 0)]
     df = spark.createDataFrame(data, "model string, task string, patient_id long, prob double, label int").repartition(7).withColumn("_h", F.lit("a clashing column"))
-    kept = df.where("prob is not null and label is not null").withColumn("h", F.xxhash64(F.lit(7), "patient_id")).collect()
+    kept = df.where("prob is not null and label is not null").withColumn("h", F.coalesce(drawn("patient_id", 7), F.lit(0))).collect()
     n = 23
     got = {(row.model, row.task, row.replicate): row.value for row in E.bootstrap(df, "patient_id", metric, n, 7).collect()}
     assert len(got) == n * 5
