@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import numbered
+from ..sources.io import numbered, written
 from .running import quantiles
 
 
@@ -45,8 +45,9 @@ def describe_slices(studies: DataFrame, by: list[str]) -> DataFrame:
     """A row for all studies and for each level of each of `by` (not crossed).
 
     studies: study_id, person_id, y (0/1), codes (distinct), total (counts), tte_days, event, age, sex, site, key (a key feature,
-    null or 0 where missing), oldest (has an event in the widest window).
+    null or 0 where missing), oldest (has an event in the widest window). They are written once, as three aggregations read them.
     """
+    studies = written(studies.select(*dict.fromkeys(["person_id", "y", "codes", "total", "tte_days", "event", "age", "sex", "site", "key", "oldest", *by])))
     levels = F.explode(F.array(F.struct(F.lit("all").alias("dim"), F.lit("all").alias("level")), *(F.struct(F.lit(c).alias("dim"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("level")) for c in by)))
     rows = studies.withColumn("_l", levels).select("_l.dim", "_l.level", *studies.columns)
     sites = rows.groupBy("dim", "level", "site").agg(F.count(F.lit(1)).alias("n")).groupBy("dim", "level").agg(F.count("site").alias("n_sites"), (F.max("n") / F.sum("n")).alias("top_site_share"))

@@ -31,9 +31,15 @@ def ranked(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFr
 
 
 def auroc(df: DataFrame, by: list[str] = BY, weight: Column | None = None) -> DataFrame:
-    """Area under the ROC curve, ties averaged; null where there is one class only."""
-    p, n = F.sum("pos"), F.sum("neg")
-    return ranked(df, by, weight).groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (p * n)).alias("auroc"))
+    """Area under the ROC curve, ties averaged; null where there is one class only. Pairs within a part of the scores are counted
+    there, pairs of parts from the parts' sums, so no task orders a whole group."""
+    inside = Window.partitionBy(*by, "_part").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    below = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    t = score_table(df, by, weight).withColumn("_part", score_part(F.col("prob"))).withColumn("_b", below("neg", inside))
+    parts = t.groupBy(*by, "_part").agg(F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    p, n = F.sum("_p"), F.sum("_n")
+    return parts.withColumn("_b", below("_n", earlier)).groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("_u") + F.col("_p") * F.col("_b")) / (p * n)).alias("auroc"))
 
 
 def auprc(df: DataFrame, by: list[str] = BY) -> DataFrame:
