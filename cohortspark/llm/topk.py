@@ -25,6 +25,16 @@ def longs(x: np.ndarray) -> np.ndarray:
     return np.clip(x, LEAST, MOST).astype(np.int64) if x.dtype == object else x.astype(np.int64)
 
 
+def floors(df: DataFrame, scale: float) -> DataFrame:
+    """floor(scale * x) of every component of `vector`, in double: whole numbers beyond 2**53 stay as they are, since Spark's
+    floor ends at 64 bits."""
+
+    def floor(x: Column) -> Column:
+        return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+    return df.withColumn("vector", F.transform("vector", lambda x: floor(x * scale)))
+
+
 def lists(dim: int, n: int) -> list[slice]:
     """The components of each of the n score lists that a total score is the sum of."""
     ends = [dim * i // n for i in range(n + 1)]
@@ -50,13 +60,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, key: str
     a key the one with the least vector counts; repeated rows are found each. Scores beyond 64 bits become the nearest long.
     """
 
-    def floor(x: Column) -> Column:
-        """In double: whole numbers beyond 2**53 as they are, since Spark's floor ends at 64 bits."""
-        return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
-
-    floors = lambda df: df.withColumn("vector", F.transform("vector", lambda x: floor(x * scale)))
-    rows = floors(usable(vectors, key, vector, zeros=True))
-    asked = floors(one_a_key(usable(queries, key, vector, zeros=True)))
+    rows = floors(usable(vectors, key, vector, zeros=True), scale)
+    asked = floors(one_a_key(usable(queries, key, vector, zeros=True)), scale)
 
     def shard(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return own["vec_id"].to_numpy(np.int64), np.stack(own["vector"].to_numpy())

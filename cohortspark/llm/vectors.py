@@ -16,12 +16,12 @@ from .common import shuffle_partitions
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
-def usable(vectors: DataFrame, key: str, vector: str, zeros: bool) -> DataFrame:
-    """(vec_id, vector: array<double>, dim) of the rows whose vector isn't null or empty and whose components are all finite
+def usable(vectors: DataFrame, key: str, vector: str, zeros: bool, *more: str) -> DataFrame:
+    """(vec_id, vector: array<double>, further columns, dim) of the rows whose vector isn't null or empty and whose components are all finite
     (and, without `zeros`, not all zero). Rows without a key take no part either."""
     v = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    df = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~bad)
+    df = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector"), *more).where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & ~bad)
     if not zeros:
         df = df.where(F.exists("vector", lambda x: x != 0))
     return df.withColumn("dim", F.size("vector"))
