@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
+import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +42,13 @@ TIMES = [
 ]
 # Names, pagers, hours, stopwords, hedges.
 _AFTER_NAME = "UPON|FROM|WITH|WAS|AND|VIA|AS|TO|AT|BY|IN|OF|ON"
-#: One or two whole words before such a word or a mark; or else the word after the title alone.
-NAME_UPPER = rf"\bDR\.*\s+(?:[A-Z'-]+(?:\s+[A-Z'-]+)?(?=\s+(?:{_AFTER_NAME})\b|\s*[@.,;(])|(?!(?:{_AFTER_NAME})\b)[A-Z'-]+\b)"
-NAME_TITLE = r"\bDr\.*\s+[A-Z'][a-z-]+"
+#: A name's word, which may have inner capitals, after initials and particles ("A. B. Jones", "de la Cruz").
+_WORD_UPPER = rf"(?:(?:[A-Z]\.\s*|(?:DE|DEL|DER|DEN|DI|DA|LA|LE|VAN|VON)\s+)*(?!(?:{_AFTER_NAME})\b)[A-Z][A-Z'-]+\b)"
+_WORD_TITLE = r"(?:(?:[A-Z]\.\s*|(?:de|del|der|den|di|da|la|le|van|von|De|Del|La|Le|Van|Von)\s+)*[A-Z][A-Za-z'-]+\b)"
+#: Up to four whole words before such a word or a mark; or else the word after the title alone.
+NAME_UPPER = rf"\bDR\.*\s+(?:{_WORD_UPPER}(?:\s+{_WORD_UPPER}){{0,3}}(?=\s+(?:{_AFTER_NAME})\b|\s*[@.,;()])|{_WORD_UPPER}|(?!(?:{_AFTER_NAME})\b)[A-Z'-]+\b)"
+#: Up to four capitalised words.
+NAME_TITLE = rf"\bDr\.*\s+{_WORD_TITLE}(?:\s+{_WORD_TITLE}){{0,3}}"
 PAGERS, HOURS = [r"PAGER [0-9-]+\b"], [r"[0-9]{3,4}\s*HOURS", r"(?<=AT )[0-9]{3,4}"]
 STOPWORDS = {"may"}
 HEDGES = {
@@ -89,20 +96,43 @@ def hedges(text: Column) -> Column:
     return F.struct((total > 0).alias("is_hedged"), total.alias("match_count"), kinds.alias("categories"))
 
 
+class Names:
+    """A dictionary of names as one automaton, which reads a text once however many names there are."""
+
+    def __init__(self, names: Iterable[str]):
+        self.automaton = ahocorasick.Automaton()
+        for name in names:
+            if name and name.strip():
+                self.automaton.add_word(lowered(name.strip()), len(name.strip()))
+        self.automaton.make_automaton()
+
+    def found(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of all names in any case that stand as whole words, those inside others, too."""
+        if not len(self.automaton):
+            return []
+        word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        spans = ((last + 1 - n, last + 1) for last, n in self.automaton.iter(lowered(text)))
+        return sorted((a, b) for a, b in spans if not (word(a - 1) and word(a)) and not (word(b - 1) and word(b)))
+
+
+def lowered(text: str) -> str:
+    """In lower case, character by character: those that would become several stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 class Tagger:
     """Spans (start, end, kind) of protected information in a text."""
 
-    def __init__(self, names: list[str] = ()):
+    def __init__(self):
         timed = [re.compile(p, re.I) for p in TIMES]
         people = [re.compile(NAME_UPPER), re.compile(NAME_TITLE)]
-        if names:
-            people.append(re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))) + r")\b", re.I))
         upper = lambda ps: [re.compile(p, re.I) for p in ps]
         self.kinds = [("person", people), ("timex", timed), ("pager", upper(PAGERS)), ("hours", upper(HOURS))]
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """In order; overlapping and touching spans of any kinds are one, of the kind that begins first."""
-        found = []
+    def spans(self, text: str, names: list[tuple[int, int]] = ()) -> list[tuple[int, int, str]]:
+        """In order, with those of names found before; overlapping and touching spans of any kinds are one, of the kind that begins first."""
+        found = [(a, b, 0, "person") for a, b in names]
         for rank, (kind, patterns) in enumerate(self.kinds):
             for p in patterns:
                 found += [(m.start(), m.end(), rank, kind) for m in p.finditer(text) if m.end() > m.start() and m[0].lower().strip() not in STOPWORDS]
@@ -117,8 +147,8 @@ class Tagger:
                 s[1] -= 1
         return [tuple(s) for s in out if s[1] > s[0]]
 
-    def replaced(self, text: str) -> str:
-        for start, end, kind in reversed(self.spans(text)):
+    def replaced(self, text: str, names: list[tuple[int, int]] = ()) -> str:
+        for start, end, kind in reversed(self.spans(text, names)):
             shown = re.sub(r"\s+", " ", placeholder(text[start:end], kind)).upper()
             text = text[:start] + shown + text[end:]
         return text
@@ -140,23 +170,66 @@ def placeholder(mention: str, kind: str) -> str:
     return f"<{tag}>{x.strip()}</{tag}>"
 
 
-def phi_spans(c: str, names: list[str] = ()) -> Column:
-    """Spans of protected information as array<struct<start, end, type>>; null text gives null."""
+#: Names of an automaton, which every worker holds; a table with more makes several, which notes pass one after the other.
+MOST_NAMES = 1_000_000
 
-    @F.pandas_udf("array<struct<start: int, end: int, type: string>>")
+
+def dictionary(names: DataFrame, name: str = "name", most: int = MOST_NAMES) -> list[Broadcast]:
+    """The distinct names of a table, in parts of about `most` by their hashes, each broadcast once."""
+    spark = names.sparkSession
+    distinct = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    parts = max(1, -(-distinct.count() // most))
+    part = F.pmod(F.xxhash64("name"), F.lit(parts))
+    return [spark.sparkContext.broadcast(sorted(r.name for r in distinct.where(part == k).collect())) for k in range(parts)]
+
+
+def _automaton(part: Broadcast) -> Names:
+    """That of a dictionary's part, made once in each worker."""
+    if not hasattr(part, "automaton"):
+        part.automaton = Names(part.value)
+    return part.automaton
+
+
+def name_spans(c: str, names: list[Broadcast]) -> Column:
+    """Spans of the names of dictionary() as array<struct<start, end>>, in order; null text gives null."""
+    columns = [_tagged(c, part) for part in names]
+    return columns[0] if len(columns) == 1 else F.array_sort(F.concat(*columns))
+
+
+def _tagged(c: str, part: Broadcast) -> Column:
+    @F.pandas_udf("array<struct<start: int, end: int>>")
     def tag(texts: pd.Series) -> pd.Series:
-        tagger = Tagger(names)
-        return pd.Series([None if t is None else [{"start": a, "end": b, "type": k} for a, b, k in tagger.spans(t)] for t in texts], dtype=object)
+        automaton = _automaton(part)
+        return pd.Series([None if t is None else [{"start": a, "end": b} for a, b in automaton.found(t)] for t in texts], dtype=object)
 
     return tag(F.col(c))
 
 
-def anonymized(c: str, names: list[str] = ()) -> Column:
-    """The text with placeholders for protected information, replaced where it stands, from right to left."""
+def phi_spans(c: str, names: list[Broadcast] = ()) -> Column:
+    """Spans of protected information as array<struct<start, end, type>>; null text gives null. names: of dictionary()."""
+    tagger = Tagger()
+
+    @F.pandas_udf("array<struct<start: int, end: int, type: string>>")
+    def tag(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"start": a, "end": b, "type": k} for a, b, k in tagger.spans(t, pairs(n))] for t, n in zip(texts, known)], dtype=object)
+
+    return tag(F.col(c), _known(c, names))
+
+
+def anonymized(c: str, names: list[Broadcast] = ()) -> Column:
+    """The text with placeholders for protected information, replaced where it stands, from right to left. names: of dictionary()."""
+    tagger = Tagger()
 
     @F.pandas_udf("string")
-    def replace(texts: pd.Series) -> pd.Series:
-        tagger = Tagger(names)
-        return pd.Series([None if t is None else tagger.replaced(t) for t in texts], dtype=object)
+    def replace(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else tagger.replaced(t, pairs(n)) for t, n in zip(texts, known)], dtype=object)
+
+    return replace(F.col(c), _known(c, names))
+
+
+def _known(c: str, names: list[Broadcast]) -> Column:
+    return name_spans(c, names) if names else F.lit(None).cast("array<struct<start: int, end: int>>")
+
 
-    return replace(F.col(c))
+def pairs(spans) -> list[tuple[int, int]]:
+    return [] if spans is None else [(s["start"], s["end"]) for s in spans]

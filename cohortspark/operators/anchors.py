@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FALSE_TOKENS, MINUTES_PER_DAY, SKIPPED_TOKENS, TRUE_TOKENS
+from .running import neighbours
 
 
 def parse_label(c: str) -> Column:
@@ -56,19 +57,19 @@ def horizon_labels(anchors: DataFrame, outcomes: DataFrame, last_seen: DataFrame
     """label for (study_id, person_id, anchor_time): true if an outcome (person_id, event_time) lies in (t, t + horizon], null
     (censored) if the person's last_seen is before t + horizon, else false; t is the anchor less offset_days.
 
-    Only the next outcome after t counts: both are stacked and it is carried back in time, one shuffle on the person and no
-    join, however many pairs a person has.
+    Only the next outcome after t counts: both are stacked and it is carried back in time, no join however many pairs a person
+    has, and a person with very many rows is as many tasks as they have weeks.
     """
-    t = anchors.select("study_id", "person_id", (F.col("anchor_time") - F.expr(f"interval {offset_days} day")).alias("t"))
+    t = anchors.select(F.struct("study_id").alias("_l"), "person_id", (F.col("anchor_time") - F.expr(f"interval {offset_days} day")).cast("timestamp").alias("t"))
     until = F.col("t") + F.expr(f"interval {horizon_days} day")
-    events = outcomes.select(F.lit(None).cast(t.schema["study_id"].dataType).alias("study_id"), "person_id", F.col("event_time").cast("timestamp").alias("t"), F.lit(1).alias("_outcome"))
-    back = Window.partitionBy("person_id").orderBy(F.desc("t"), "_outcome").rowsBetween(Window.unboundedPreceding, 0)  # an outcome at t itself comes later
-    both = t.withColumns({"t": F.col("t").cast("timestamp"), "_outcome": F.lit(0)}).unionByName(events)
-    both = both.withColumn("_next", F.last(F.when(F.col("_outcome") == 1, F.col("t")), ignorenulls=True).over(back)).where("_outcome = 0")
+    events = outcomes.where("person_id is not null").select("person_id", F.col("event_time").cast("timestamp").alias("_next")).distinct().withColumn("_us", F.unix_micros("_next"))
+    # an outcome at t itself isn't after it
+    both = t.withColumn("_us", F.unix_micros("t") + 1).unionByName(events, allowMissingColumns=True)
+    both = neighbours(both, "person_id", "_us", "_next").where("_l is not null")
     seen = last_seen.groupBy("person_id").agg(F.max("last_seen").alias("last_seen"))
-    out = both.withColumn("_next", F.when(F.col("person_id").isNotNull(), F.col("_next"))).join(seen, "person_id", "left")
+    out = both.withColumn("_next", F.when(F.col("person_id").isNotNull(), F.col("_after"))).join(seen, "person_id", "left")
     label = F.when(F.col("_next") <= until, True).when(F.col("last_seen").isNull() | (F.col("last_seen") < until), None).otherwise(False)
-    return out.select("study_id", "person_id", F.col("t").alias("prediction_time"), label.alias("label"))
+    return out.select("_l.study_id", "person_id", F.col("t").alias("prediction_time"), label.alias("label"))
 
 
 def coded_outcomes(events: DataFrame, codes: DataFrame, table: str | None = None) -> DataFrame:

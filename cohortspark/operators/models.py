@@ -4,31 +4,27 @@ from __future__ import annotations
 
 import math
 import warnings
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import written
+from . import boosting
 from .evaluate import auroc
-from .splits import patient_folds
+from .splits import fold_role, own_folds
 
-
-#: Depths, learning rates and numbers of leaves that the surveyed job searches (E15: all 27 combinations; -1: no bound), and its rounds.
-DEPTHS, RATES, LEAVES, ROUNDS = (3, 6, -1), (0.02, 0.1, 0.5), (10, 25, 100), 100
-#: Models of a grid that are fit at once, and rows that a partition of training rows should hold at least: every level of every
-#: tree is a job, whose fixed cost grows with its tasks.
-AT_ONCE, ROWS_A_PARTITION = 8, 50_000
+#: Depths (0: no bound), learning rates and leaves that the surveyed job searches, and its rounds.
+DEPTHS, RATES, LEAVES, ROUNDS = (3, 6, 0), (0.02, 0.1, 0.5), (10, 25, 100), 100
+#: Rows that a partition of training rows should hold at least: every pass is a job, whose fixed cost grows with its tasks.
+ROWS_A_PARTITION = 50_000
 
 
 def tree_grid() -> list[dict]:
-    """The surveyed grid in MLlib's parameters. Its trees have no bound of leaves; the depth that so many leaves need stands for
-    it, and combinations that come to the same depth and rate, of which the deeper bound says nothing, are one point."""
-    depths = sorted({min(d if d > 0 else 30, math.ceil(math.log2(n))) for d in DEPTHS for n in LEAVES})
-    return [{"maxDepth": d, "stepSize": r, "maxIter": ROUNDS} for d in depths for r in RATES]
+    """All 27 combinations of the surveyed grid."""
+    return [{"depth": d, "rate": r, "leaves": n} for d in DEPTHS for r in RATES for n in LEAVES]
 
 
 def _predictions(model, df: DataFrame) -> DataFrame:
@@ -45,33 +41,45 @@ def _auc(df: DataFrame) -> float:
     return row["auroc"] if row is not None and row["auroc"] is not None else float("nan")
 
 
-def train_trees(df: DataFrame, grid: list[dict] | None = None, seed: int = 0) -> tuple[DataFrame, dict, float]:
-    """Boosted trees on train (features: vector, label, split), the grid's best by AUROC on valid: (all rows with prob, its
-    parameters, that AUROC)."""
-    grid = grid or tree_grid()
-    train, valid = _kept(df.where("split = 'train'")), _kept(df.where("split = 'valid'"))
-
-    def fit(params: dict) -> tuple:
-        model = GBTClassifier(seed=seed, **params).fit(train)
-        return model, params, _auc(_predictions(model, valid))
-
-    best = None
-    with ThreadPool(min(AT_ONCE, len(grid))) as pool:
-        for found in pool.imap(fit, grid):
-            if best is None or found[2] > best[2] or best[2] != best[2]:
-                best = found
-    train.unpersist()
-    valid.unpersist()
-    return _predictions(best[0], df), best[1], best[2]
-
-
-def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None = None, seed: int = 0) -> DataFrame:
-    """Out-of-fold predictions: every row once, from the fold in which its patient is tested."""
-    rows, out = written(patient_folds(df.drop("split"), key, k, seed).withColumnRenamed("role", "split")), None
-    for fold in range(k):
-        test = train_trees(rows.where(F.col("fold") == fold), grid, seed)[0].where("split = 'test'")
-        out = test if out is None else out.unionByName(test)
-    return out
+def _searched(df: DataFrame, roles: list[Column], grid: list[dict], rounds: int) -> tuple[DataFrame, list[tuple[dict, float]]]:
+    """(df with prob: an array with what the best model of each set of roles says; those models' points of the grid and AUROC on
+    the set's valid rows). Of equal points the first. All models are trained in the same passes over df."""
+    kept = written(df.withColumn("_row", F.monotonically_increasing_id()))
+    used = lambda r: F.lpad(F.when(F.col("label").isNull(), boosting.TEST).otherwise(r).cast("string"), 2, "0")
+    rows = kept.select("_row", F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label"), F.unhex(F.concat(*map(used, roles))).alias("_roles"), vector_to_array("features").alias("x"))
+    rows, width = boosting.binned(rows.coalesce(max(1, math.ceil(rows.count() / ROWS_A_PARTITION))), "x")
+    models = [boosting.Model(s, p["depth"], p["rate"], p["leaves"]) for s in range(len(roles)) for p in grid]
+    state = boosting.boost(rows, width, models, rounds)
+    said = written(boosting.probabilities(state, df.sparkSession))
+    state.unpersist()
+    each = said.select("label", "roles", F.posexplode("probs").alias("model", "prob")).where(F.get("roles", F.expr(f"model div {len(grid)}")) == boosting.VALID)
+    scores = {r.model: r.auroc for r in auroc(each, ["model"]).collect()}
+    first = [max(range(s * len(grid), (s + 1) * len(grid)), key=lambda m: (-1.0 if scores.get(m) is None else scores[m], -m)) for s in range(len(roles))]
+    best = F.array(*(F.element_at("probs", m + 1) for m in first))
+    found = kept.join(said.select("_row", best.alias("prob")), "_row").drop("_row")
+    return found, [(grid[m % len(grid)], float("nan") if scores.get(m) is None else scores[m]) for m in first]
+
+
+def _role(split: Column) -> Column:
+    return F.when(split == "train", boosting.TRAIN).when(split == "valid", boosting.VALID).otherwise(boosting.TEST)
+
+
+def train_trees(df: DataFrame, grid: list[dict] | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, dict, float]:
+    """Boosted trees on train (features: vector, label 0/1, split), the grid's best by AUROC on valid: (all rows with prob, its
+    point, that AUROC). grid: points of depth (levels; 0: no bound), rate and leaves, which both bound a tree that grows best
+    leaf first. Rows without a label train nothing and are predicted; without any train rows all are 0.5; empty: empty."""
+    found, ((point, score),) = _searched(df, [_role(F.col("split"))], grid or tree_grid(), rounds)
+    return found.withColumn("prob", F.element_at("prob", 1)), point, score
+
+
+def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None = None, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """Out-of-fold predictions: every row once, from the fold in which its patient is tested, with the point that is best on the
+    next fold. The models of all folds and points grow in the same passes. Rows without a key train in all folds and have no
+    prediction."""
+    rows = own_folds(df.drop("split"), key, k, seed)
+    roles = [fold_role(F.col("fold"), F.lit(f), k) for f in range(k)]
+    found, _ = _searched(rows, [_role(r) for r in roles], grid or tree_grid(), rounds)
+    return found.where("fold is not null").withColumn("split", F.lit("test")).withColumn("prob", F.get("prob", F.col("fold")))
 
 
 def linear_probe(df: DataFrame, grid: list[float] | None = None) -> tuple[DataFrame, float, float]:

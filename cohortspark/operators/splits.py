@@ -57,12 +57,22 @@ def stratified_group_split(df: DataFrame, group: str, stratum: str, fractions: d
     return df.drop("split").join(ranked.select(group, split.alias("split")), group)
 
 
+def own_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """df with the fold in which its patient is tested. Patients in hash order go to folds by turns, so folds differ by one
+    patient at most; rows without a key have none."""
+    own = ranked_keys(df, key, seed).select(key, (F.col("place") % k).cast("int").alias("fold"))
+    return df.join(own, key, "left")
+
+
+def fold_role(own: Column, fold: Column, k: int) -> Column:
+    """test for the rows of the fold's patients, valid for the next fold's, else train."""
+    return F.when(own == fold, "test").when(own == (fold + 1) % k, "valid").otherwise("train")
+
+
 def patient_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """A row for each row and fold: test for the rows of the fold's patients, valid for the next fold's, else train. Patients in
-    hash order go to folds by turns, so folds differ by one patient at most; rows without a key are train in all."""
-    own = ranked_keys(df, key, seed).select(key, (F.col("place") % k).cast("int").alias("_own"))
-    role = F.when(F.col("_own") == F.col("fold"), "test").when(F.col("_own") == (F.col("fold") + 1) % k, "valid").otherwise("train")
-    return df.join(own, key, "left").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", role).drop("_own")
+    """A row for each row and fold, with its role there; rows without a key are train in all."""
+    rows = own_folds(df, key, k, seed).withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return rows.withColumn("role", fold_role(F.col("_own"), F.col("fold"), k)).drop("_own")
 
 
 def hash_split(df: DataFrame, key: str, cuts: dict[str, int], seed: int) -> DataFrame:

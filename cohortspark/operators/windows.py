@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import neighbours
+
 #: Windows above this are joined by person alone.
 LONG_DAYS = 1500
 
@@ -52,46 +54,68 @@ def window_overrides(df: DataFrame, codes: DataFrame | None, domains: DataFrame
     return df.drop("_domain_min", "_domain_max", "_code_min", "_code_max")
 
 
+#: Days are counted from so long before 1970 that none is negative, and all are below 2 ** LEVELS.
+DAY_ZERO, LEVELS = 1 << 21, 23
+
+
+def dyadic_cover(first: str, last: str) -> Column:
+    """The days first..last (longs, from DAY_ZERO) as array<struct<level, at>>: at most two ranges of each level l, of the days
+    at * 2**l up to (at + 1) * 2**l - 1, which are disjoint and together are just these days. None if last is before first."""
+    a, b = f"shiftright({first} + shiftleft(1L, l) - 1, l)", f"shiftright({last} + 1, l)"
+    pieces = f"array(if({a} < {b} and {a} % 2 = 1, struct(l as level, {a} as at), null), if({a} < {b} and {b} % 2 = 1, struct(l as level, {b} - 1 as at), null))"
+    return F.expr(f"filter(flatten(transform(sequence(0, {LEVELS}), l -> {pieces})), p -> p is not null)")
+
+
 def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Each anchor with the interval (interval_id, person_id, start_date, end_date; a null end is open) of its person that holds
-    its day, the latest start of several (then the largest id); anchors without one go."""
-    day = F.to_date("anchor_time")
-    met = anchors.join(intervals, "person_id").where((F.to_date("start_date") <= day) & (F.col("end_date").isNull() | (F.to_date("end_date") >= day)))
-    latest = Window.partitionBy("study_id").orderBy(F.desc("start_date"), F.desc("interval_id"))
-    return met.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    """Each anchor (one row a study) with the interval (interval_id, person_id, start_date, end_date; a null end is open) of its
+    person that holds its day, the latest start of several (then the largest id); anchors without one go.
+
+    An interval is cut into dyadic ranges of days, a day lies in one range of each level, and person and range are the key, so
+    anchors and intervals meet only where one holds the other. Of a range's intervals only the latest is kept, before the join,
+    so an anchor meets at most one row a level, however many intervals its person has or leaves open.
+    """
+    day = lambda c: F.unix_date(F.to_date(c)) + DAY_ZERO
+    names = ["start_date", "interval_id", *(c for c in intervals.columns if c not in ("person_id", "start_date", "interval_id"))]
+    last = F.coalesce(day("end_date"), F.lit((1 << LEVELS) - 1))
+    ranges = intervals.where("person_id is not null and start_date is not null").select("person_id", F.struct(*names).alias("_i"), day("start_date").cast("long").alias("_first"), last.cast("long").alias("_last"))
+    ranges = ranges.select("person_id", "_i", F.explode(dyadic_cover("_first", "_last")).alias("_r")).groupBy("person_id", "_r.level", "_r.at").agg(F.max("_i").alias("_i"))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("_day").cast("long"), level).alias("at")))
+    asks = anchors.select("study_id", "person_id", day("anchor_time").alias("_day")).select("study_id", "person_id", F.inline(levels))
+    best = asks.join(ranges, ["person_id", "level", "at"]).groupBy("study_id", "person_id").agg(F.max("_i").alias("_i"))
+    return anchors.join(best, ["study_id", "person_id"]).select(*anchors.columns, *(F.col(f"_i.{c}").alias(c) for c in names))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, tolerance_days: float) -> DataFrame:
     """Each left row (left_id, by, left_time) with the nearest right row (right_id, by, right_time) of the same key within the
     tolerance, ties to the earlier time and the smaller id; unmatched left rows stay with nulls.
 
-    Both are stacked, and the last right row is carried forward and the next one backward in time: one shuffle on the key, no
-    join, however many pairs the key has.
+    Both are stacked, and the last right row is carried forward and the next one backward in time: no join, however many pairs
+    the key has, and a key with very many rows is as many tasks as it has weeks.
     """
     rest = [c for c in left.columns if c not in (by, "left_time")]
-    none = F.lit(None).cast(f"struct<time: {right.schema['right_time'].dataType.simpleString()}, id: {right.schema[right_id].dataType.simpleString()}>")
-    rows = right.select(by, F.col("right_time").alias("_t"), F.lit(0).alias("_left"), F.struct(F.col("right_time").alias("time"), F.col(right_id).alias("id")).alias("_r"))
-    asks = left.select(by, F.col("left_time").alias("_t"), F.lit(1).alias("_left"), none.alias("_r"), F.struct(*rest).alias("_l"))
-    both = rows.withColumn("_l", F.lit(None).cast(asks.schema["_l"].dataType)).unionByName(asks)
-    order = Window.partitionBy(by)
-    # of rows with equal times the one with the smallest id comes last
-    before = F.last("_r", ignorenulls=True).over(order.orderBy("_t", "_left", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("_r", ignorenulls=True).over(order.orderBy(F.desc("_t"), "_left", F.desc("_r.id")).rowsBetween(Window.unboundedPreceding, 0))
-    gap = lambda c: F.when(F.abs(F.unix_micros(F.col(f"{c}.time")) - F.unix_micros("_t")) <= int(tolerance_days * 86_400_000_000), F.abs(F.unix_micros(F.col(f"{c}.time")) - F.unix_micros("_t")))
-    met = both.withColumns({"_b": before, "_a": after}).where("_left = 1").withColumns({"_gb": gap("_b"), "_ga": gap("_a")})
-    best = F.when(F.col("_gb").isNotNull() & (F.col("_ga").isNull() | (F.col("_gb") <= F.col("_ga"))), F.col("_b")).when(F.col("_ga").isNotNull(), F.col("_a"))
+    rows = right.where(F.col(by).isNotNull()).groupBy(by, F.col("right_time").alias("_t")).agg(F.min(right_id).alias("_v"))
+    asks = left.select(by, F.col("left_time").alias("_t"), F.struct(*rest).alias("_l"))
+    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
+    both = both.withColumn("_v", F.when(F.col("_l").isNull(), F.struct(F.col("_t").alias("time"), F.col("_v").alias("id"))))
+    met = neighbours(both, by, "_us", "_v").where("_l is not null")
+    gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.time").cast("timestamp")) - F.col("_us"))
+    near = lambda c: F.when(gap(c) <= int(tolerance_days * 86_400_000_000), gap(c))
+    met = met.withColumns({"_gb": near("_before"), "_ga": near("_after")})
+    best = F.when(F.col("_gb").isNotNull() & (F.col("_ga").isNull() | (F.col("_gb") <= F.col("_ga"))), F.col("_before")).when(F.col("_ga").isNotNull(), F.col("_after"))
     met = met.withColumn("_best", F.when(F.col(by).isNotNull(), best))
     columns = {by: F.col(by), "left_time": F.col("_t"), **{c: F.col(f"_l.{c}") for c in rest}}
     return met.select(*(columns[c].alias(c) for c in left.columns), F.col("_best.time").alias("right_time"), F.col("_best.id").alias(right_id))
 
 
 def asof_backward(labels: DataFrame, values: DataFrame, by: str, value: str) -> DataFrame:
-    """Each label row (by, label_id, time) with the latest value (by, time, value) at or before it; null if there is none.
+    """Each label row (by, label_id, time) with the latest value (by, time, value) at or before it; null if there is none (a null
+    value is none).
 
-    Both are stacked and the last value is carried forward in time order: one shuffle on the key, no join, however many pairs
-    the key has. At the same time the value comes first; of several values then the largest.
+    Both are stacked and the last value is carried forward in time order: no join, however many pairs the key has, and a key
+    with very many rows is as many tasks as it has weeks. Of several values at a time the largest counts.
     """
-    n = Window.partitionBy(by).orderBy("time", F.col("_is_label"), "_v").rowsBetween(Window.unboundedPreceding, 0)
-    kind = labels.schema["label_id"].dataType
-    stacked = values.select(by, "time", F.lit(0).alias("_is_label"), F.col(value).alias("_v"), F.lit(None).cast(kind).alias("label_id")).unionByName(labels.select(by, "time", F.lit(1).alias("_is_label"), F.lit(None).cast(values.schema[value].dataType).alias("_v"), "label_id"))
-    return stacked.withColumn(value, F.last("_v", ignorenulls=True).over(n)).where("_is_label = 1").select("label_id", by, "time", value)
+    rows = values.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, "time").agg(F.max(value).alias("_v"))
+    asks = labels.select(by, "time", F.struct("label_id").alias("_l"))
+    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("_us", F.unix_micros(F.col("time").cast("timestamp")))
+    met = neighbours(both, by, "_us", "_v").where("_l is not null")
+    return met.select("_l.label_id", by, "time", F.when(F.col(by).isNotNull(), F.col("_before")).alias(value))

@@ -52,13 +52,11 @@ def window_overrides(spark, d):
     return W.window_overrides(rows, codes, domains, (1, 30)).select("study_id", "event_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
-@query("SELECT study_id, interval_id, CAST(anchor_date - start_date AS BIGINT) AS days_in FROM (SELECT a.study_id, v.interval_id, a.anchor_date, v.start_date, row_number() OVER (PARTITION BY a.study_id ORDER BY v.start_date DESC, v.interval_id DESC) AS r FROM anchors a JOIN visits v USING (person_id) WHERE v.interval_id <> a.study_id AND v.start_date <= a.anchor_date AND (v.end_date IS NULL OR v.end_date >= a.anchor_date)) WHERE r = 1", f"{B.ANCHORS}, {B.VISITS}")
+@query("SELECT study_id, interval_id, CAST(day - start_date AS BIGINT) AS days_in FROM (SELECT a.study_id, v.interval_id, a.anchor_date + 20 AS day, v.start_date, row_number() OVER (PARTITION BY a.study_id ORDER BY v.start_date DESC, v.interval_id DESC) AS r FROM anchors a JOIN visits v ON v.person_id = a.person_id AND v.start_date <= a.anchor_date + 20 AND (v.end_date IS NULL OR v.end_date >= a.anchor_date + 20)) WHERE r = 1", f"{B.ANCHORS}, {B.VISITS}")
 def encompassing_visit(spark, d):
-    anchors, visits = B.anchors(spark, d), B.visits(spark, d)
-    # a study's own order isn't one of its visits: each study is a person of its own with the visits that count for it
-    others = anchors.join(visits, "person_id").where("interval_id <> study_id")
-    others = others.select("interval_id", F.struct("person_id", "study_id").alias("person_id"), "start_date", "end_date")
-    found = W.encompassing_interval(anchors.withColumn("person_id", F.struct("person_id", "study_id")), others)
+    """The visit that each study's person is in 20 days after it."""
+    anchors = B.anchors(spark, d).withColumn("anchor_time", F.col("anchor_time") + F.expr("interval 20 days"))
+    found = W.encompassing_interval(anchors, B.visits(spark, d))
     return found.select("study_id", "interval_id", F.datediff(F.to_date("anchor_time"), "start_date").cast("long").alias("days_in"))
 
 
@@ -375,6 +373,27 @@ def phi_spans(spark, d):
     return B.notes(spark, d).select("note_id", text.alias("note")).withColumn("spans", notes.phi_spans("note")).select("note_id", "spans")
 
 
+def _with_patient(spark, d):
+    """Notes that name a customer at the end."""
+    n = B.read(spark, d, "customer").count()
+    notes_ = B.notes(spark, d).withColumn("c_custkey", F.col("note_id") % n + 1)
+    return notes_.join(B.read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "left").select("note_id", "c_name", F.concat("note", F.lit(" seen with "), F.lower(F.coalesce("c_name", F.lit("nobody"))), F.lit(" today")).alias("note"))
+
+
+@query("SELECT note_id, length(note) + 11 AS start, length(note) + 11 + length(c_name) AS \"end\" FROM (SELECT *, note_id % (SELECT count(*) FROM customer) + 1 AS k FROM notes) JOIN customer ON c_custkey = k", B.NOTES)
+def name_spans(spark, d):
+    """Names of a table wherever a note has one: none but the one at the end."""
+    names = notes.dictionary(B.read(spark, d, "customer").select(F.col("c_name").alias("name")))
+    spans = _with_patient(spark, d).select("note_id", F.explode(notes.name_spans("note", names)).alias("s"))
+    return spans.select("note_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query()
+def anonymized_with_names(spark, d):
+    names = notes.dictionary(B.read(spark, d, "customer").select(F.col("c_name").alias("name")))
+    return _with_patient(spark, d).select("note_id", notes.anonymized("note", names).alias("note"))
+
+
 @query()
 def anonymized_notes(spark, d):
     text = F.concat("note", F.lit(" seen 1/"), (F.col("note_id") % 28 + 1).cast("string"), F.lit("/2010 by Dr. Miller"))

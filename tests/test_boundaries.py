@@ -209,7 +209,7 @@ def test_sections(spark):
     ("", ""),
 ])
 def test_anonymized(text, want):
-    assert notes.Tagger(["Smith"]).replaced(text) == want
+    assert notes.Tagger().replaced(text, notes.Names(["Smith"]).found(text)) == want
 
 
 def test_same_for_one_and_many_partitions(spark, events, anchors):

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,67 @@ def test_fusion_over_subsets_and_paired_delta(spark):
     x = E.paired_delta(wide, "A", "B").first()
     assert x.n == 2 and abs(x["mean"] - 0.2) < 1e-9 and abs(x.high - (0.2 + 12.7062 * 0.1414214 / 2**0.5)) < 1e-3
     assert E.paired_delta(wide.where("task = 'a'"), "A", "B").first().low is None
+
+
+def test_names_of_every_form():
+    """Whole words, inner capitals, initials, particles and up to four words are replaced."""
+    cases = {
+        "Seen by Dr. McDonald today": "Seen by <PERSON>DR. LAST_NAME</PERSON> today",
+        "by Dr. Mary Smith on call": "by <PERSON>DR. FIRST_NAME LAST_NAME</PERSON> on call",
+        "PER DR. MARY ANN SMITH, MD": "PER <PERSON>DR. FIRST_NAME LAST_NAME</PERSON>, MD",
+        "WITH DR. DE LA CRUZ": "WITH <PERSON>DR. FIRST_NAME LAST_NAME</PERSON>",
+        "TO DR. A. B. JONES AT NOON": "TO <PERSON>DR. FIRST_NAME LAST_NAME</PERSON> AT NOON",
+        "Dr. J. van der Berg-O'Neil wrote": "<PERSON>DR. FIRST_NAME LAST_NAME</PERSON> wrote",
+        "DR. SMITH AND DR. LEE.": "<PERSON>DR. LAST_NAME</PERSON> AND <PERSON>DR. LAST_NAME</PERSON>.",
+        "Drain in place. drs. of": "Drain in place. drs. of",
+    }
+    for text, want in cases.items():
+        assert notes.Tagger().replaced(text) == want
+        for word in ("McDonald", "Mary", "MARY", "ANN", "SMITH", "CRUZ", "JONES", "LEE", "Berg", "Neil"):
+            assert word not in notes.Tagger().replaced(text)
+
+
+def brute_names(text, names):
+    """Every place where a name stands as whole words, by trying all."""
+    low, out = notes.lowered(text), set()
+    for name in names:
+        n, at = notes.lowered(name.strip()), -1
+        while n and (at := low.find(n, at + 1)) >= 0:
+            word = lambda i: 0 <= i < len(text) and bool(re.match(r"\w", text[i]))
+            if not (word(at - 1) and word(at)) and not (word(at + len(n)) and word(at + len(n) - 1)):
+                out.add((at, at + len(n)))
+    return sorted(out)
+
+
+def test_name_dictionary(spark):
+    r = random.Random(6)
+    syllables = ["an", "na", "lee", "O'", "-", " ", "é", "İ", "ß", "1", "_"]
+    names = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(200)] + [None, "", " "]
+    texts = ["".join(r.choice(syllables + [" ", ". "]) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, ""]
+    table = spark.createDataFrame([(n,) for n in names * 2], "name string")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, note string")
+    known = [n for n in names if n]
+    for most in (1_000_000, 40):
+        parts = notes.dictionary(table, most=most)
+        assert (len(parts) == 1) == (most > 1000)
+        got = {x.i: x.s for x in df.select("i", notes.name_spans("note", parts).alias("s")).collect()}
+        for i, t in enumerate(texts):
+            want = None if t is None else brute_names(t, known)
+            assert (None if got[i] is None else sorted({(s.start, s.end) for s in got[i]})) == want
+    clean = {x.i: x.t for x in df.select("i", notes.anonymized("note", parts).alias("t")).collect()}
+    assert clean[60] is None and clean[61] == ""
+    assert notes.dictionary(table.limit(0))[0].value == []
+
+
+def test_time_does_not_grow_with_names():
+    import time
+
+    text = "the quick brown fox saw ann lee. " * 70
+    took = []
+    for n in (200, 200_000):
+        names = notes.Names(["ann lee", *(f"name{i} surname" for i in range(n))])
+        began = time.perf_counter()
+        for _ in range(20):
+            assert len(names.found(text)) == 70
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.05

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import evaluate as E
-from cohortspark.operators.running import cumulated, quantiles, score_part, value_part
+from cohortspark.operators import windows as W
+from cohortspark.operators.running import cumulated, neighbours, quantiles, score_part, value_part
 from cohortspark.operators.splits import drawn
 
 SCORES = [0.0, 1e-13, 1e-9, 0.2, 0.2000001, 0.5, 0.5, 0.75, 1 - 1e-9, 1.0]
@@ -95,3 +96,59 @@ def test_metric_names(spark):
     df = spark.createDataFrame([("x", "t", 1, 0.5, 1)], "model string, task string, patient_id long, prob double, label int")
     with pytest.raises(ValueError):
         E.bootstrap(df, "patient_id", "f1", 5)
+
+
+def test_neighbours(spark):
+    r = random.Random(8)
+    data = [(r.choice(["a", None, "b"]), k, r.choice([None, f"v{k}"])) for k in r.sample(range(-3000, 3000), 400)]
+    data += [(g, k, None) for g, k, _ in data[:50]]
+    out = neighbours(spark.createDataFrame(data, "g string, k long, v string").repartition(4), "g", "k", "v", 500).collect()
+    assert len(out) == len(data)
+    for row in out:
+        mine = sorted((k, v) for g, k, v in data if g == row.g and v is not None)
+        assert row._before == next((v for k, v in reversed(mine) if k <= row.k), None)
+        assert row._after == next((v for k, v in mine if k >= row.k), None)
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    """Rows of one key are cut into parts, of which no task has many, and the answer is that of a plain scan."""
+    df = spark.range(40_000).selectExpr("7L as g", "id * 3600000000L as k", "if(id % 10 = 0, id, null) as v")
+    rows = neighbours(df, "g", "k", "v")
+    sizes = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 20_000
+    assert rows.where("_before is null or _before <> (k div 36000000000) * 10").isEmpty()
+
+
+def test_dyadic_cover(spark):
+    r = random.Random(9)
+    pairs = [(0, 0), (5, 4), (0, (1 << W.LEVELS) - 1), (3, 3)] + [tuple(sorted(r.randrange(1 << 12) for _ in range(2))) for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", W.dyadic_cover("a", "b").alias("c"))
+    for row in df.collect():
+        assert len(row.c) <= 2 * W.LEVELS
+        spans = sorted((p["at"] << p.level, ((p["at"] + 1) << p.level) - 1) for p in row.c)
+        if row.b < row.a:
+            assert not spans
+            continue
+        assert spans[0][0] == row.a and spans[-1][1] == row.b and all(x[1] + 1 == y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_intervals_of_a_hot_person(spark):
+    """As all pairs tell, with open ends, ties, and rows that grow with anchors and intervals, not with their product."""
+    import datetime as dt
+
+    r = random.Random(10)
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(n)
+    visits = [(i, r.choice([1, 1, 1, 2, None]), day(a), r.choice([day(a + r.randint(-3, 90)), None])) for i, a in enumerate(r.choices(range(600), k=400))]
+    anchors = [(i, r.choice([1, 2, 3, None]), dt.datetime(2000, 1, 1, 12) + dt.timedelta(r.randint(-5, 700))) for i in range(300)]
+    a = spark.createDataFrame(anchors, "study_id long, person_id long, anchor_time timestamp")
+    v = spark.createDataFrame(visits, "interval_id long, person_id long, start_date date, end_date date")
+    found = W.encompassing_interval(a, v)
+    assert found.columns == ["study_id", "person_id", "anchor_time", "start_date", "interval_id", "end_date"]
+    got = {x.study_id: x.interval_id for x in found.collect()}
+    want = {}
+    for s, p, t in anchors:
+        fit = [(b, i) for i, q, b, e in visits if p is not None and p == q and b <= t.date() and (e is None or e >= t.date())]
+        if fit:
+            want[s] = max(fit)[1]
+    assert got == want
+    assert W.encompassing_interval(a.limit(0), v).isEmpty() and W.encompassing_interval(a, v.limit(0)).isEmpty()

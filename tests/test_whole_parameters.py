@@ -36,35 +36,12 @@ def test_replicates(monkeypatch, spark, sf):
 
 
 def test_grids(monkeypatch, spark, sf):
-    tried = []
-
-    class Tree:
-        def __init__(self, seed, **params):
-            tried.append(params)
-
-        def fit(self, train):
-            return None
-
-    assert called(monkeypatch, spark, sf, M, "train_trees", Q.train_trees)["grid"] is None
+    tree = called(monkeypatch, spark, sf, M, "train_trees", Q.train_trees)
+    assert tree["grid"] is None and tree["rounds"] == 100
     monkeypatch.undo()
     cv = called(monkeypatch, spark, sf, M, "train_trees_cv", Q.train_trees_cv)
-    assert cv["grid"] is None and cv["k"] == 5
+    assert cv["grid"] is None and cv["k"] == 5 and cv["rounds"] == 100
     monkeypatch.undo()
     assert called(monkeypatch, spark, sf, M, "linear_probe", Q.linear_probe)["grid"] is None
     monkeypatch.undo()
-
-    monkeypatch.setattr(M, "GBTClassifier", Tree)
-    monkeypatch.setattr(M, "_predictions", lambda model, df: df)
-    monkeypatch.setattr(M, "_auc", lambda df: 0.5)
-    _, best, _ = M.train_trees(spark.createDataFrame([(0, "train"), (1, "valid")], "label int, split string"))
-    assert {(p["maxDepth"], p["stepSize"], p["maxIter"]) for p in tried} == {(d, r, 100) for d in (3, 4, 5, 6, 7) for r in (0.02, 0.1, 0.5)}
-    assert best == {"maxDepth": 3, "stepSize": 0.02, "maxIter": 100}  # the first of equals, in whatever order they end
-
-
-def test_trees_over_folds_predict_every_row_once(spark, sf):
-    grid = [{"maxDepth": 2, "stepSize": 0.1, "maxIter": 3}, {"maxDepth": 3, "stepSize": 0.5, "maxIter": 2}]
-    df = Q._features(spark, sf)
-    rows, best, auc = M.train_trees(df, grid)
-    assert best in grid and 0 <= auc <= 1 and rows.count() == df.count() and rows.where("prob is null or prob < 0 or prob > 1").isEmpty()
-    out = M.train_trees_cv(df, "patient_id", 3, grid)
-    assert out.count() == df.count() == out.select("patient_id").distinct().count()
+    assert {(p["depth"], p["rate"], p["leaves"]) for p in M.tree_grid()} == {(d, r, n) for d in (3, 6, 0) for r in (0.02, 0.1, 0.5) for n in (10, 25, 100)}
