@@ -655,12 +655,13 @@ def deduplicated(docs: DataFrame, width: int = 3, percent: int = 90, cell: int =
     found = joined_documents(docs, width, percent, cell, **limits)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = found.where("root is not null").groupBy("root").agg(F.min(order).alias("d"), F.count(F.lit(1)).alias("rows"))
-    kept = checkpointed(first.select(F.col("d.doc_id").alias("__kept_id"), F.col("d.text_hash").alias("__kept_hash"), F.col("rows").alias("__rows")))
-    empty = checkpointed(found.where("root is null").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64("text") == F.col("__kept_hash"))
+    kept_id, kept_hash, rows = (unused(docs, c) for c in ("__kept_id", "__kept_hash", "__rows"))
+    kept = checkpointed(first.select(F.col("d.doc_id").alias(kept_id), F.col("d.text_hash").alias(kept_hash), F.col("rows").alias(rows)))
+    empty = checkpointed(found.where("root is null").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_hash))
     wordless = docs.join(empty, same, "left_semi")
-    sole = docs.join(kept.where("__rows = 1"), same, "left_semi")
-    several = docs.join(kept.where("__rows > 1"), same, "left_semi")
+    sole = docs.join(kept.where(F.col(rows) == 1), same, "left_semi")
+    several = docs.join(kept.where(F.col(rows) > 1), same, "left_semi")
     rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
     place = unused(docs, "__place")
     order = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)])

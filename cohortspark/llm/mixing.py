@@ -65,8 +65,8 @@ def apportion(df: DataFrame, group: list[str], key: list[str], weight: str, seat
 
 
 def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(placed documents, blocks) of a mix of documents (doc_id, source, size: words, mark: a hash of the text, by which
-    documents of equal id and size are ordered).
+    """(placed documents, blocks) of a mix of documents (doc_id, source, size: words, mark: a hash of the text, copy: from 0
+    among documents of equal id, size and mark).
 
     A document lies at words [start, start + size) of its source's shard, in the order of a seeded hash. A shard's words are
     cut into blocks of equal length, at most `block` words; its integer quota of blocks comes from two rounds of Sainte-Laguë,
@@ -74,14 +74,14 @@ def plan_mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHT
     seeded order once more. blocks: _source, _shard, block, block_start, block_end, times, before (words taken before it), taken_all.
 
     A source has as many shards as it needs for `shard` words each (65,536 at most), so no task orders more than a shard's
-    documents and blocks, however large the source. Only tables of sources meet in one task.
+    documents and blocks, however large the source and however often a document is repeated. Only tables of sources meet in one task.
     """
     docs = docs.withColumn("_source", text_key("source"))
     sources = docs.groupBy("_source", "source").agg(F.sum("size").alias("words"))
     sources = checkpointed(source_targets(sources, weights, share, most).withColumn("_shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("words") / shard))).cast("long")))
     placed = docs.join(small(sources.select("_source", F.col("words").alias("source_size"), "target", "rate", "_shards")), "_source")
-    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("_shards"))).drop("_shards")
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size", "mark")
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "mark", "copy"), F.col("_shards"))).drop("_shards")
+    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "mark", "copy"), "doc_id", "size", "mark", "copy")
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     cells = placed.groupBy("_source", "_shard", "rate").agg(F.sum("size").alias("_words")).where("_words > 0")
@@ -119,7 +119,9 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     A document's taken words are what the shard's blocks take up to its end less what they take up to its start, so only the
     block at its start is looked up; no document meets all of its blocks.
     """
-    slim = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    slim = saved(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")  # repeats are counted before they move
+    slim = slim.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows")
     placed, blocks = plan_mix(slim, **options)
     cell = Window.partitionBy("_source", "_shard").orderBy("start")
     full = placed.where("size > 0").withColumn("block", block_at("start")).join(blocks, ["_source", "_shard", "block"])
@@ -131,16 +133,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return full.select(*out).unionByName(none.select(*out))
 
 
+def numbered_copies(rows: DataFrame, same: list[str]) -> DataFrame:
+    """rows (with `row`, a number that is written) with copy, from 0 among the rows equal in `same`. They are ranked in the parts
+    that they were written in, whose counts make the offsets, so no task ranks all of very many copies."""
+    rows = rows.withColumns({"_same": F.struct(*same), "_part": F.shiftright("row", 33)})
+    counts = rows.groupBy("_same", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_same").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    counts = counts.select("_same", "_part", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_same", "_part").orderBy("row")) - 1
+    return rows.join(counts, ["_same", "_part"]).withColumn("copy", F.col("_before") + rank).drop("_same", "_part", "_before")
+
+
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents (doc_id, text, source, and whatever columns stand beside them) with the taken words.
 
     A document taken nowhere goes. Where its blocks are taken unequally often, the n-th copy holds the words that are taken
     at least n times, with the white space after them; a document taken whole keeps its text as it is. `text` is replaced,
-    n_chars is counted anew if there is one, and the other columns stay. Copies are rows with the same doc_id.
+    n_chars is counted anew if there is one, and the other columns stay, whatever their names. Copies are rows with the same
+    doc_id. Null texts have no words, null is a source of its own, repeated rows are documents of their own, and an empty table
+    gives none.
     """
     row = F.monotonically_increasing_id()  # fixed by writing it
-    docs = saved(docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), row.alias("row")), "mix-texts")
-    slim = docs.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "mark", "row")
+    docs = saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), row.alias("row")), "mix-texts")
+    slim = numbered_copies(docs.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size", "mark", "row"), ["doc_id", "source", "size", "mark"])
     placed, blocks = plan_mix(slim, **options)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(block_at("start"), block_at("(start + size - 1)"))))
     pieces = pieces.join(blocks, ["_source", "_shard", "block"])

@@ -59,7 +59,7 @@ def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, tie: list[st
 
     No global sort: cells are counted, the at most 2**(bits * dims) cells are ordered along the curve, and inside a cell
     rows are dealt over `buckets` by a hash of `tie`, so a cell with a third of all rows is ranked by thousands of tasks.
-    Rows equal in all of `tie` share a bucket; they are interchangeable, and their order is whatever the sort leaves.
+    Rows equal in all of `tie` share a bucket, so give repeated rows a number in it.
     An empty table gives an empty one.
     """
     keys = [*dims, "_bucket"]
@@ -91,9 +91,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
 
     Returns doc_id, size (UTF-8 bytes + 8), text_crc32 (null text: that of no bytes), the quantised dims lang_level,
     source_level and length_level, curve, shard, slot. One pass over the texts; only these columns are shuffled. Null and
-    repeated doc_ids are rows of their own; other columns are ignored; an empty table gives none.
+    repeated doc_ids are rows of their own, repeated rows are dealt over the buckets; other columns are ignored; an empty table gives none.
     """
-    return hilbert_shards(saved(quantised(docs), "shard-rows"), DIMS, n_shards, ["doc_id", "text_crc32", "size"])
+    rows = quantised(docs)
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))  # repeats are counted before they move
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    return hilbert_shards(saved(rows, "shard-rows"), DIMS, n_shards, ["doc_id", "text_crc32", "size", "copy"]).drop("copy")
 
 
 def shard_ranges(assigned: DataFrame, dims: list[str]) -> DataFrame:
