@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 from .anchors import parse_label
 
 
@@ -167,24 +169,28 @@ def link_greedy(reports: DataFrame, orders: DataFrame, max_days: int = 10) -> Da
     patient, at most max_days before the report: reports in order of time and id, each takes the nearest order that none has
     taken (ties: the earlier, then the smaller id). report_id, order_id, delta_days.
 
-    Each choice depends on the ones before, so a patient's rows go through one loop, and only those that can be linked at all.
+    That order and choice put all pairs in one order, and a pair is taken if none before it shares its report or order. So in
+    rounds every pair that is the first of both its report and its order is taken, and what shares either with it goes, until
+    none is left: as the loop would, with a patient of any size. Pairs meet in buckets of days. A report_id that repeats for a
+    patient is linked once; rows with a null id, patient or time aren't linked; empty: none.
     """
-    import pandas as pd
-
-    days = F.datediff("report_time", "order_time")
-    pairs = reports.select("patient", "report_id", "report_time").join(orders.select("patient", "order_id", "order_time"), "patient").withColumn("delta_days", days.cast("long")).where(F.col("delta_days").between(0, max_days))
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["report_time", "report_id", "delta_days", "order_time", "order_id"])
-        taken, done, out = set(), set(), []
-        for r in rows.itertuples():
-            if r.report_id not in done and r.order_id not in taken:
-                taken.add(r.order_id)
-                done.add(r.report_id)
-                out.append((r.report_id, r.order_id, r.delta_days))
-        return pd.DataFrame(out, columns=["report_id", "order_id", "delta_days"])
-
-    return pairs.groupBy("patient").applyInPandas(link, "report_id long, order_id long, delta_days long")
+    width = max_days + 1
+    day = lambda c: F.unix_date(F.to_date(c))
+    bucket = F.floor(day("report_time") / width)
+    asks = reports.select("patient", "report_id", "report_time", F.explode(F.array(bucket - 1, bucket)).alias("_bucket"))
+    offers = orders.select("patient", "order_id", "order_time", F.floor(day("order_time") / width).alias("_bucket"))
+    pairs = asks.join(offers, ["patient", "_bucket"]).withColumn("delta_days", F.datediff("report_time", "order_time").cast("long")).where(F.col("delta_days").between(0, max_days))
+    pairs = pairs.where("report_id is not null and order_id is not null").select("patient", "report_id", "order_id", F.struct("report_time", "report_id", "delta_days", "order_time", "order_id").alias("place"))
+    pairs, links = written(pairs), None
+    while not pairs.isEmpty():
+        of_report, of_order = (pairs.groupBy("patient", c).agg(F.min("place").alias("place")) for c in ("report_id", "order_id"))
+        both = written(of_report.join(of_order, ["patient", "place"]))
+        links = both if links is None else links.unionByName(both)
+        for c in ("report_id", "order_id"):
+            pairs = pairs.join(both.select("patient", c), ["patient", c], "left_anti")
+        pairs = written(pairs)
+    links = pairs if links is None else links
+    return links.select("report_id", "order_id", "place.delta_days")
 
 
 def exclude_contaminated(df: DataFrame, key: str, train_elsewhere: DataFrame, test_elsewhere: DataFrame, split: str = "split") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -191,39 +192,95 @@ def subsets(models: list[str]) -> list[tuple[str, ...]]:
     return [c for n in range(2, len(models) + 1) for c in itertools.combinations(models, n)]
 
 
-def fuse(validation: DataFrame, test: DataFrame, models: list[str], max_iter: int = 100) -> DataFrame:
-    """Late fusion: an unpenalised logistic regression on the models' validation logits, applied to test; equal weights where it
-    doesn't come to finite coefficients or the labels have one class. Returns test's patient_id, label and prob."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    def wide(df: DataFrame) -> DataFrame:
-        cells = [F.max(F.when(F.col("model") == m, logit(F.col("prob")))).alias(f"_m{i}") for i, m in enumerate(models)]
-        return df.groupBy("patient_id").agg(F.max("label").alias("label"), *cells).dropna()
-
-    fit, apply = wide(validation), wide(test)
-    names = [f"_m{i}" for i in range(len(models))]
-    weights, bias = [1 / len(models)] * len(models), 0.0
-    if fit.select("label").distinct().count() == 2:
-        model = LogisticRegression(regParam=0.0, maxIter=max_iter, standardization=False).fit(VectorAssembler(inputCols=names, outputCol="features").transform(fit))
-        if all(map(math.isfinite, [*model.coefficients, model.intercept])):
-            weights, bias = [float(w) for w in model.coefficients], float(model.intercept)
-    total = F.lit(bias)
-    for w, c in zip(weights, names):
-        total = total + F.lit(w) * F.col(c)
-    return apply.select("patient_id", "label", expit(total).alias("prob"))
+def logits(df: DataFrame, models: list[str]) -> DataFrame:
+    """(task, patient_id, label, x: the logits of the models in order, null where one says nothing)."""
+    cells = [F.max(F.when(F.col("model") == m, logit(F.col("prob")))) for m in models]
+    return df.groupBy("task", "patient_id").agg(F.max("label").alias("label"), F.array(*cells).alias("x"))
+
+
+def of_subsets(wide: DataFrame, sets: list[tuple[int, ...]], models: list[str]) -> DataFrame:
+    """wide (task, patient_id, label, x) for each set of models: model (A+B), set (its number), x with 0 for the others; rows that a
+    model of the set says nothing about go."""
+    each = [F.struct(F.lit("+".join(models[i] for i in s)).alias("model"), F.lit(k).alias("set"), F.array(*(F.col("x")[i] if i in s else F.lit(0.0) for i in range(len(models)))).alias("x")) for k, s in enumerate(sets)]
+    rows = wide.select("task", "patient_id", "label", F.explode(F.array(*each)).alias("e")).select("task", "patient_id", "label", "e.*")
+    return rows.where(~F.exists("x", lambda v: v.isNull()))
+
+
+#: Newton steps at most, and the mean of the likelihood equations at which they end.
+STEPS, CLOSE = 40, 1e-10
+
+
+def weighed(rows: DataFrame, weights: dict[tuple, Sequence[float]]) -> DataFrame:
+    """rows (task, set) with _w, their weights; null where there are none."""
+    schema = T.StructType([T.StructField("_task", rows.schema["task"].dataType), T.StructField("_set", T.IntegerType()), T.StructField("_w", T.ArrayType(T.DoubleType()))])
+    table = rows.sparkSession.createDataFrame([(*k, [float(v) for v in w]) for k, w in weights.items()], schema)  # a row a task and set
+    return rows.join(F.broadcast(table), F.col("task").eqNullSafe(F.col("_task")) & (F.col("set") == F.col("_set")), "left")
+
+
+def weighted(x: str | Column) -> Column:
+    return F.aggregate(F.zip_with(x, "_w", lambda a, w: a * w), F.lit(0.0), lambda total, v: total + v)
+
+
+def fused_weights(rows: DataFrame, sets: list[tuple[int, ...]], width: int) -> dict[tuple, list[float]]:
+    """(task, set): intercept and weights of the logistic regression of label on x, for all of them at once.
+
+    A step is one aggregation for all tasks and sets, which gives the likelihood, its gradient and its curvature; tables of tasks
+    times sets, a few numbers each, are all that reaches the driver. A step that lowers a likelihood is halved. Equal weights
+    stand where the labels have one class or the equations aren't met in STEPS steps (as the classes can be parted).
+    """
+    n = width + 1
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    rows = written(rows.select("task", "set", F.col("label").cast("double").alias("label"), F.concat(F.array(F.lit(1.0)), "x").alias("x")))
+    groups = {(r["task"], r["set"]): (r.n, r.p) for r in rows.groupBy("task", "set").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+    at = {k: np.zeros(n) for k, (count, p) in groups.items() if 0 < p < count}
+    step, best = {k: np.zeros(n) for k in at}, dict.fromkeys(at, -math.inf)
+    done: dict[tuple, list[float]] = {}
+    for _ in range(STEPS):
+        if not at:
+            break
+        met = weighed(rows, {k: at[k] + step[k] for k in at}).where("_w is not null").select("task", "set", "label", "x", weighted("x").alias("z"))
+        met = met.withColumn("p", expit(F.col("z")))
+        fit = F.col("label") * F.col("z") - F.greatest(F.col("z"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("z")))
+        sums = [F.sum((F.col("label") - F.col("p")) * F.col("x")[i]).alias(f"g{i}") for i in range(n)] + [F.sum(F.col("p") * (1 - F.col("p")) * F.col("x")[i] * F.col("x")[j]).alias(f"h{i}_{j}") for i, j in pairs]
+        for r in met.groupBy("task", "set").agg(F.sum(fit).alias("fit"), *sums).collect():
+            k = (r["task"], r["set"])
+            if not r.fit >= best[k] - 1e-9 * abs(r.fit):
+                step[k] = step[k] / 2
+                continue
+            at[k], best[k] = at[k] + step[k], r.fit
+            used = [0, *(i + 1 for i in sets[k[1]])]
+            g = np.array([r[f"g{i}"] for i in used])
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in used] for i in used])
+            if np.abs(g).max() <= CLOSE * groups[k][0]:
+                done[k] = [float(v) for v in at.pop(k)]
+                continue
+            step[k] = np.zeros(n)
+            step[k][used] = np.linalg.lstsq(h, g, rcond=None)[0]
+    return {k: done.get(k) or [0.0, *(1 / len(sets[k[1]]) if i in sets[k[1]] else 0.0 for i in range(width))] for k in groups}
+
+
+def fuse_sets(validation: DataFrame, test: DataFrame, models: list[str], sets: list[tuple[int, ...]]) -> DataFrame:
+    """Late fusion for each task and set of models: an unpenalised logistic regression on the models' validation logits, applied to
+    test: model, task, patient_id, label, prob. A task without validation rows has equal weights."""
+    fits = of_subsets(logits(validation, models), sets, models).where("label is not null")
+    rows = of_subsets(logits(test, models), sets, models)
+    equal = F.element_at(F.array(*(F.array(F.lit(0.0), *(F.lit(1 / len(s) if i in s else 0.0) for i in range(len(models)))) for s in sets)), F.col("set") + 1)
+    rows = weighed(rows, fused_weights(fits, sets, len(models))).withColumn("_w", F.coalesce("_w", equal))
+    return rows.select("model", "task", "patient_id", "label", expit(weighted(F.concat(F.array(F.lit(1.0)), "x"))).alias("prob"))
+
+
+def fuse(validation: DataFrame, test: DataFrame, models: list[str]) -> DataFrame:
+    """Late fusion of the models of one task; equal weights where the labels have one class or the classes can be parted. Returns
+    test's patient_id, label and prob."""
+    one = lambda df: df.withColumn("task", F.lit(""))
+    return fuse_sets(one(validation), one(test), models, [tuple(range(len(models)))]).select("patient_id", "label", "prob")
 
 
 def fuse_subsets(validation: DataFrame, test: DataFrame, models: list[str]) -> DataFrame:
-    """fuse over all sets of two and more models, for each task: predictions of models named after their sets (A+B). Tasks and
-    sets are few and looped over."""
-    out = None
-    for task in sorted(r[0] for r in test.select("task").where("task is not null").distinct().collect()):
-        for chosen in subsets(models):
-            one = fuse(validation.where(F.col("task") == task), test.where(F.col("task") == task), list(chosen))
-            one = one.select(F.lit("+".join(chosen)).alias("model"), F.lit(task).alias("task"), "patient_id", "label", "prob")
-            out = one if out is None else out.unionByName(one)
-    return test.select("model", "task", "patient_id", "label", "prob").limit(0) if out is None else out
+    """fuse over all sets of two and more models, for each task: predictions of models named after their sets (A+B). All tasks and
+    sets are fit in the same jobs."""
+    place = {m: i for i, m in enumerate(models)}
+    return fuse_sets(validation.where("task is not null"), test.where("task is not null"), models, [tuple(place[m] for m in s) for s in subsets(models)])
 
 
 def best_models(metrics: DataFrame, metric: str, singles: list[str], lower: bool = False) -> DataFrame:
@@ -324,14 +381,29 @@ def paired_auc_test(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def margin_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mann-Whitney U that wrong predictions of a lie farther from 0.5 than those of b: U, z with tie correction (normal
-    approximation), and the mean margins."""
+    approximation), p (of that hypothesis, with the correction for continuity), and the mean margins."""
     wrong = df.where(((F.col("prob") >= 0.5).cast("int") != F.col("label")) & F.col("model").isin(a, b)).withColumn("margin", F.abs(F.col("prob") - 0.5))
     t = wrong.groupBy("margin").agg(F.count(F.when(F.col("model") == a, 1)).alias("na"), F.count(F.when(F.col("model") == b, 1)).alias("nb"))
     t = cumulated(t, [], "margin", ["nb"], score_part(F.col("margin"))).withColumn("_t", F.col("na") + F.col("nb"))
     s = t.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("na") * (F.col("nb_before") + F.col("nb") / 2)).alias("u"), F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("ties"), (F.sum(F.col("margin") * F.col("na")) / F.sum("na")).alias("mean_a"), (F.sum(F.col("margin") * F.col("nb")) / F.sum("nb")).alias("mean_b"))
     n = F.col("n_a") + F.col("n_b")
     sd = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return s.select("n_a", "n_b", "mean_a", "mean_b", "u", ((F.col("u") - F.col("n_a") * F.col("n_b") / 2) / sd).alias("z"))
+    return s.select("n_a", "n_b", "mean_a", "mean_b", "u", ((F.col("u") - F.col("n_a") * F.col("n_b") / 2) / sd).alias("z"), above((F.col("u") - F.col("n_a") * F.col("n_b") / 2 - 0.5) / sd).alias("p"))
+
+
+#: A polynomial for the complementary error function, whose relative error is below 1.2e-7 everywhere.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def above(z: Column) -> Column:
+    """The probability that a standard normal number is greater than z."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    power = F.lit(0.0)
+    for c in reversed(ERFC):
+        power = power * t + c
+    tail = t * F.exp(power - x * x) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def prevalence_shift(df: DataFrame, prevalence: float, threshold: float = 0.5, by: list[str] = BY) -> DataFrame:

@@ -222,7 +222,8 @@ def drop_conflicts(spark, d):
     return K.drop_conflicts(o, "o_custkey", ["o_orderstatus"]).join(two, "o_custkey", "left_anti").select("o_orderkey")
 
 
-@query()
+@query("SELECT w.report_id, w.order_id, e.delta_days FROM (SELECT patient, unnest(rs) AS report_id, unnest(os) AS order_id FROM (SELECT patient, arg_max(rs, k) AS rs, arg_max(os, k) AS os FROM walk GROUP BY patient)) w JOIN edges e USING (patient, report_id, order_id)", """RECURSIVE edges AS (SELECT r.user_id AS patient, r.event_id AS report_id, o.event_id AS order_id, date_diff('day', CAST(o.ts AS DATE), CAST(r.ts AS DATE)) AS delta_days, row_number() OVER (PARTITION BY r.user_id ORDER BY r.ts, r.event_id, date_diff('day', CAST(o.ts AS DATE), CAST(r.ts AS DATE)), o.ts, o.event_id) AS k FROM events r JOIN events o USING (user_id) WHERE r.event_type = 'signup' AND o.event_type = 'purchase' AND date_diff('day', CAST(o.ts AS DATE), CAST(r.ts AS DATE)) BETWEEN 0 AND 10),
+walk AS (SELECT DISTINCT patient, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS rs, CAST([] AS BIGINT[]) AS os FROM edges UNION ALL SELECT e.patient, e.k, CASE WHEN list_contains(rs, e.report_id) OR list_contains(os, e.order_id) THEN rs ELSE list_append(rs, e.report_id) END, CASE WHEN list_contains(rs, e.report_id) OR list_contains(os, e.order_id) THEN os ELSE list_append(os, e.order_id) END FROM walk w JOIN edges e ON e.patient = w.patient AND e.k = w.k + 1)""")
 def link_greedy(spark, d):
     e = B.events(spark, d)
     reports = e.where("event_type = 'signup'").select(F.col("event_id").alias("report_id"), F.col("user_id").alias("patient"), F.col("ts").alias("report_time"))

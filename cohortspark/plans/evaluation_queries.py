@@ -88,9 +88,9 @@ def prevalence_shift(spark, d):
     return rounded(E.prevalence_shift(B.predictions(spark, d), 0.2, 0.1), "ppv", "npv", "ppv_shifted", "npv_shifted")
 
 
-@query("SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(u, 6) AS u, round((u - n_a * n_b / 2.0) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))), 6) AS z FROM ties, (SELECT (SELECT count(*) FROM wrong WHERE model = 'A') AS n_a, (SELECT count(*) FROM wrong WHERE model = 'B') AS n_b, (SELECT avg(margin) FROM wrong WHERE model = 'A') AS mean_a, (SELECT avg(margin) FROM wrong WHERE model = 'B') AS mean_b, (SELECT sum(CASE WHEN a.margin > b.margin THEN 1.0 WHEN a.margin = b.margin THEN 0.5 ELSE 0 END) FROM wrong a JOIN wrong b ON a.model = 'A' AND b.model = 'B') AS u)", f"{P}, wrong AS (SELECT model, abs(prob - 0.5) AS margin FROM preds WHERE CAST(prob >= 0.5 AS INT) <> label), ties AS (SELECT sum(pow(t, 3) - t) AS t FROM (SELECT count(*) AS t FROM wrong GROUP BY margin))")
+@query("SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(u, 6) AS u, round((u - n_a * n_b / 2.0) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))), 6) AS z, round(0.5 - zc / 6000 / sqrt(2 * pi()) * (SELECT sum(CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(zc * i / 6000, 2) / 2)) FROM range(6001) AS x(i)) / 3, 5) AS p FROM (SELECT *, (u - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - t / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS zc FROM ties, (SELECT (SELECT count(*) FROM wrong WHERE model = 'A') AS n_a, (SELECT count(*) FROM wrong WHERE model = 'B') AS n_b, (SELECT avg(margin) FROM wrong WHERE model = 'A') AS mean_a, (SELECT avg(margin) FROM wrong WHERE model = 'B') AS mean_b, (SELECT sum(CASE WHEN a.margin > b.margin THEN 1.0 WHEN a.margin = b.margin THEN 0.5 ELSE 0 END) FROM wrong a JOIN wrong b ON a.model = 'A' AND b.model = 'B') AS u))", f"{P}, wrong AS (SELECT model, abs(prob - 0.5) AS margin FROM preds WHERE CAST(prob >= 0.5 AS INT) <> label), ties AS (SELECT sum(pow(t, 3) - t) AS t FROM (SELECT count(*) AS t FROM wrong GROUP BY margin))")
 def margin_test(spark, d):
-    return rounded(E.margin_test(B.predictions(spark, d), "A", "B"), "mean_a", "mean_b", "u", "z")
+    return rounded(rounded(E.margin_test(B.predictions(spark, d), "A", "B"), "mean_a", "mean_b", "u", "z"), "p", digits=5)
 
 
 _PLACED = f"{P}, s AS (SELECT *, sum(label) OVER (PARTITION BY model, task) AS np, sum(1 - label) OVER (PARTITION BY model, task) AS nn, sum(1 - label) OVER x AS nle, sum(label) OVER x AS ple, sum(1 - label) OVER e AS neq, sum(label) OVER e AS peq FROM preds WHERE label IS NOT NULL WINDOW x AS (PARTITION BY model, task ORDER BY prob RANGE UNBOUNDED PRECEDING), e AS (PARTITION BY model, task, prob)), w AS (SELECT *, nle - neq / 2.0 AS wins, np - ple + peq / 2.0 AS losses FROM s), t AS (SELECT *, sum(label * wins) OVER (PARTITION BY model, task) AS total FROM w), loo AS (SELECT model, task, patient_id, total / (np * nn) AS auc, CASE WHEN label = 1 THEN (total - wins) / ((np - 1) * nn) ELSE (total - losses) / (np * (nn - 1)) END AS l FROM t)"
@@ -184,14 +184,30 @@ def subgroup_interaction(spark, d):
     return rounded(E.subgroup_interaction(p, "hedged", "A", "B", "patient_id"), "drop_a", "drop_b", "interaction", "low", "high", "p")
 
 
-@query()
-def late_fusion(spark, d):
+def _three(spark, d):
     p = B.predictions(spark, d)
     c = p.where("model = 'A'").withColumns({"model": F.lit("C"), "prob": (F.col("patient_id") * 104729 % 997) / 997.0})
-    p = p.unionByName(c)
+    return p.unionByName(c)
+
+
+@query()
+def late_fusion(spark, d):
+    p = _three(spark, d)
     return E.fuse_subsets(p.where("patient_id % 2 = 0"), p.where("patient_id % 2 = 1"), ["A", "B", "C"])
 
 
+@query("SELECT task, model, term, n, 0.0 AS gradient FROM (SELECT task, count(DISTINCT patient_id) AS n FROM preds WHERE patient_id % 2 = 0 AND label IS NOT NULL GROUP BY task), (VALUES ('A+B', ['1', 'A', 'B']), ('A+C', ['1', 'A', 'C']), ('B+C', ['1', 'B', 'C']), ('A+B+C', ['1', 'A', 'B', 'C'])) AS m(model, terms), unnest(terms) AS t(term)", P)
+def fusion_equations(spark, d):
+    """The likelihood equations of every fusion at its solution: sums of (label - prob) times each term are 0."""
+    p = _three(spark, d).where("patient_id % 2 = 0")
+    own = E.logits(p, ["A", "B", "C"]).select("task", "patient_id", "x")
+    rows = E.fuse_subsets(p, p, ["A", "B", "C"]).where("label is not null").join(own, ["task", "patient_id"])
+    terms = F.array(F.struct(F.lit("1").alias("term"), F.lit(1.0).alias("v")), *(F.struct(F.lit(m).alias("term"), F.col("x")[i].alias("v")) for i, m in enumerate("ABC")))
+    rows = rows.select("task", "model", "label", "prob", F.explode(terms).alias("t")).where(F.col("t.term").isin("1") | F.col("model").contains(F.col("t.term")))
+    sums = rows.groupBy("task", "model", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") - F.col("prob")) * F.col("t.v")).alias("gradient"))
+    return rounded(sums, "gradient", digits=4)
+
+
 def _features(spark, d):
     docs = B.read(spark, d, "documents").join(B.read(spark, d, "labels"), "doc_id")
     words = F.size(F.split("text", " "))
