@@ -206,8 +206,9 @@ def of_subsets(wide: DataFrame, sets: list[tuple[int, ...]], models: list[str])
     return rows.where(~F.exists("x", lambda v: v.isNull()))
 
 
-#: Newton steps at most, and the mean of the likelihood equations at which they end.
-STEPS, CLOSE = 40, 1e-10
+#: Newton steps at most, the mean of the likelihood equations at which they end, and the mean variance of labels below which
+#: the classes are parted: then larger weights are always likelier.
+STEPS, CLOSE, PARTED = 40, 1e-10, 1e-8
 
 
 def weighed(rows: DataFrame, weights: dict[tuple, Sequence[float]]) -> DataFrame:
@@ -252,7 +253,9 @@ def fused_weights(rows: DataFrame, sets: list[tuple[int, ...]], width: int) -> d
             g = np.array([r[f"g{i}"] for i in used])
             h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in used] for i in used])
             if np.abs(g).max() <= CLOSE * groups[k][0]:
-                done[k] = [float(v) for v in at.pop(k)]
+                ended = at.pop(k)
+                if h[0, 0] > PARTED * groups[k][0]:
+                    done[k] = [float(v) for v in ended]
                 continue
             step[k] = np.zeros(n)
             step[k][used] = np.linalg.lstsq(h, g, rcond=None)[0]

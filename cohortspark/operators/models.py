@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import written
-from . import boosting
+from . import boosting, logistic
 from .evaluate import auroc
 from .splits import fold_role, own_folds
 
@@ -31,11 +31,6 @@ def _predictions(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("prob", vector_to_array("probability")[1])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df cached in no more partitions than its rows are worth."""
-    return df.coalesce(max(1, math.ceil(df.count() / ROWS_A_PARTITION))).cache()
-
-
 def _auc(df: DataFrame) -> float:
     row = auroc(df.withColumn("_all", F.lit(1)), ["_all"]).first()
     return row["auroc"] if row is not None and row["auroc"] is not None else float("nan")
@@ -82,22 +77,26 @@ def train_trees_cv(df: DataFrame, key: str, k: int = 5, grid: list[dict] | None
     return found.where("fold is not null").withColumn("split", F.lit("test")).withColumn("prob", F.get("prob", F.col("fold")))
 
 
+#: The surveyed strengths: 20 from 10 to 1e-5, and none.
+STRENGTHS = (*(10.0 ** (1 - 6 * i / 19) for i in range(20)), 0.0)
+
+
 def linear_probe(df: DataFrame, grid: list[float] | None = None) -> tuple[DataFrame, float, float]:
-    """Logistic regression with the L2 strength that has the best AUROC on valid; warns if that is an end of the grid, which
-    without one is the surveyed grid: 20 strengths from 10 to 1e-5 and none."""
-    grid = grid or [10.0 ** (1 - 6 * i / 19) for i in range(20)] + [0.0]
-    train, valid = _kept(df.where("split = 'train'")), _kept(df.where("split = 'valid'"))
-    best = None
-    for l2 in grid:
-        model = LogisticRegression(regParam=l2, standardization=False).fit(train)
-        score = _auc(_predictions(model, valid))
-        if best is None or score > best[2]:
-            best = (model, l2, score)
-    train.unpersist()
-    valid.unpersist()
-    if best[1] in (grid[0], grid[-1]):
-        warnings.warn(f"the best L2 strength, {best[1]}, is an end of the grid", stacklevel=2)
-    return _predictions(best[0], df), best[1], best[2]
+    """Logistic regression of train with the L2 strength that has the best AUROC on valid (the first of equals): (all rows with
+    prob, that strength, that AUROC); warns if it is an end of the grid, by default STRENGTHS. All strengths are fit and scored in
+    the same passes. Rows without a label train nothing; without train rows all are 0.5; empty: empty."""
+    grid = list(grid or STRENGTHS)
+    kept = written(df)
+    weights = logistic.path(kept.where("split = 'train'"), grid)
+    if not weights.shape[1]:
+        return kept.withColumn("prob", F.lit(0.5)), grid[0], float("nan")
+    said = logistic.probabilities(kept, weights)
+    each = said.where("split = 'valid'").select("label", F.posexplode("probs").alias("k", "prob"))
+    scores = {r.k: r.auroc for r in auroc(each, ["k"]).collect() if r.auroc is not None}
+    best = max(range(len(grid)), key=lambda k: (scores.get(k, -1.0), -k))
+    if best in (0, len(grid) - 1):
+        warnings.warn(f"the best L2 strength, {grid[best]}, is an end of the grid", stacklevel=2)
+    return said.withColumn("prob", F.element_at("probs", best + 1)).drop("probs"), grid[best], scores.get(best, float("nan"))
 
 
 def quality_probe(df: DataFrame) -> tuple[DataFrame, float]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import evaluate as E
+from ..operators import logistic
 from ..operators import models as M
 from ..operators import series as S
 from . import bindings as B
@@ -230,6 +231,20 @@ def linear_probe(spark, d):
     return M.linear_probe(_features(spark, d))[0].select("patient_id", "split", "label", "prob")
 
 
+@query("SELECT CAST(k AS INT) AS k, term, n, 0.0 AS gradient FROM range(21) AS x(k), (VALUES (0), (1), (2)) AS t(term), (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 < 3 AND quality IS NOT NULL)")
+def probe_gradients(spark, d):
+    """The gradient of every strength's objective at its solution, which is 0: (strength, feature or 2: the intercept)."""
+    df = _features(spark, d).where("split = 'train' and label is not null")
+    weights = logistic.path(df, list(M.STRENGTHS))
+    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    said = logistic.probabilities(df, weights).select("label", x.alias("x"), F.posexplode("probs").alias("k", "p"))
+    said = said.select("k", "label", "p", F.posexplode("x").alias("term", "v"))
+    sums = said.groupBy("k", "term").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("label")) * F.col("v")).alias("mean"))
+    pull = [(k, j, float(s * weights[k, j])) for k, s in enumerate(M.STRENGTHS) for j in range(2)]
+    out = sums.join(F.broadcast(spark.createDataFrame(pull, "k int, term int, pull double")), ["k", "term"], "left")
+    return rounded(out.select("k", "term", "n", (F.col("mean") + F.coalesce("pull", F.lit(0.0))).alias("gradient")), "gradient")
+
+
 @query()
 def quality_probe(spark, d):
     """Over mean-pooled vectors: every vector's components as slices of a scan of its own block of ids."""
