@@ -24,13 +24,24 @@ def expand_ancestors(df: DataFrame, edges: DataFrame, max_level: int) -> DataFra
     return df.join(near.select(F.col("descendant").alias("concept_id"), "ancestor", "level"), "concept_id")
 
 
+#: Days of a word of a day bitmap.
+WORD_DAYS = 63
+
+
 def ancestor_features(events: DataFrame, anchors: DataFrame, edges: DataFrame, max_days: int, max_level: int, least: int, most: int) -> DataFrame:
     """Distinct event days of each ancestor in the window, for ancestors that at least `least` studies have, the `most` with the
-    best coverage of these (ties by id). Rows are cut to distinct days before the edges multiply them and once more after;
-    that table serves coverage and counts."""
-    days = window_join(events.select("person_id", "concept_id", "event_time"), anchors, max_days).select("study_id", "concept_id", "days_before").distinct()
-    days = expand_ancestors(days, edges, max_level).select("study_id", "ancestor", "days_before").distinct()
-    counts = days.groupBy("study_id", "ancestor").agg(F.count(F.lit(1)).alias("n_days"), F.min("days_before").alias("days_since"))
+    best coverage of these (ties by id): study_id, ancestor, n_days, days_since.
+
+    A study's days with a concept are bits of numbers, one for each 63 days of the window that has any; the hierarchy takes the
+    bits up and ors them, so no row stands for a day, and all aggregations are of numbers. That table serves coverage and counts.
+    """
+    rows = window_join(events.select("person_id", "concept_id", "event_time"), anchors.select("study_id", "person_id", "anchor_time"), max_days)
+    bit = F.expr(f"shiftleft(1L, (days_before - 1) % {WORD_DAYS})")
+    own = rows.groupBy("study_id", "concept_id", F.expr(f"(days_before - 1) div {WORD_DAYS}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    near = edges.where(F.col("level").between(1, max_level)).select(F.col("descendant").alias("concept_id"), "ancestor")
+    up = own.join(near, "concept_id").groupBy("study_id", "ancestor", "word").agg(F.bit_or("bits").alias("bits"))
+    first = F.expr(f"word * {WORD_DAYS} + 1 + bit_count((bits & -bits) - 1)")
+    counts = up.groupBy("study_id", "ancestor").agg(F.sum(F.bit_count("bits")).alias("n_days"), F.min(first).alias("days_since"))
     counts = written(counts)  # both passes read it
     kept = counts.groupBy("ancestor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).orderBy(F.desc("_n"), "ancestor").limit(most)
     return counts.join(kept.select("ancestor"), "ancestor", "left_semi")

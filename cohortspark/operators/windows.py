@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .running import neighbours
 
-#: Windows above this are joined by person alone.
+#: Days of a bucket at most, if the window has not more than 32 such.
 LONG_DAYS = 1500
 
 
@@ -24,11 +24,11 @@ def window_join(events: DataFrame, anchors: DataFrame, max_days: int, cap_col: s
 
     Days are cut into buckets of bucket_days, each anchor is repeated for those it reaches, and the bucket is a second join key:
     a partner is met in exactly one bucket, few rows meet in vain, and a person with very many rows is many keys. Without
-    bucket_days they are as long as the window, at least a month; windows of more than LONG_DAYS, which hold most of a person's
-    events anyway, have none (nor does bucket_days=0).
+    bucket_days they are as long as the window, but at least a month and at most LONG_DAYS or a 32nd of the window.
+    bucket_days=0: none.
     """
-    if bucket_days is None and max_days <= LONG_DAYS:
-        bucket_days = max(30, max_days)
+    if bucket_days is None:
+        bucket_days = max(30, min(max_days, max(LONG_DAYS, max_days // 32)))
     reach = F.lit(max_days) if cap_col is None else F.least(F.lit(max_days), F.col(cap_col))
     keys = ["person_id"]
     if bucket_days:

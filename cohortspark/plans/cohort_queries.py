@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -516,8 +515,7 @@ def failure_rate(spark, d):
 
 
 def _folder(spark) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-sinks-")
-    return f"{where}/sinks-{spark.sql('SELECT uuid()').first()[0]}"
+    return f"{io.shared_folder(spark)}/sinks-{spark.sql('SELECT uuid()').first()[0]}"
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")

@@ -152,3 +152,55 @@ def test_intervals_of_a_hot_person(spark):
             want[s] = max(fit)[1]
     assert got == want
     assert W.encompassing_interval(a.limit(0), v).isEmpty() and W.encompassing_interval(a, v.limit(0)).isEmpty()
+
+
+def test_histories_of_a_hot_person(spark):
+    """Counts before each anchor day as all pairs tell; rows made are those of the result."""
+    import datetime as dt
+
+    from cohortspark.operators import features as X
+
+    r = random.Random(11)
+    time = lambda: dt.datetime(2000, 1, 1) + dt.timedelta(hours=r.randint(0, 24 * 300))
+    events = [(r.choice([1, 1, 1, 2, None]), r.choice([10, 11, 12, None]), r.choice([time(), time(), None])) for _ in range(600)]
+    anchors = [(i, r.choice([1, 1, 2, 3, None]), r.choice([time(), time(), None])) for i in range(60)]
+    edges = [(10, 90), (11, 90), (11, 12), (10, 91)]
+    e = spark.createDataFrame(events, "person_id long, concept_id long, event_time timestamp")
+    a = spark.createDataFrame(anchors, "study_id long, person_id long, anchor_time timestamp")
+    g = spark.createDataFrame(edges, "descendant long, ancestor long")
+    persons = spark.createDataFrame([(1, dt.date(1950, 1, 1))], "person_id long, birth_time date")
+    got = {(x.study_id, x.concept_id): x.value for x in X.history_features(e, a, g, persons).where("feature = 'count'").collect()}
+    want = {}
+    for s, p, t in anchors:
+        for q, c, u in events:
+            if None not in (p, q, t, u) and p == q and u.date() < t.date():
+                for k in [c, *(up for down, up in edges if down == c)]:
+                    want[s, k] = want.get((s, k), 0) + 1
+    assert got == want and len(want) > 100
+
+
+def test_day_bits(spark):
+    """Distinct days and the nearest one of every ancestor, over windows of several words."""
+    import datetime as dt
+
+    from cohortspark.operators import concepts as C
+
+    r = random.Random(12)
+    day = lambda n: dt.datetime(2000, 1, 1, 5) + dt.timedelta(n)
+    events = [(r.choice([1, 2]), r.choice([10, 11, 12]), day(r.randint(0, 400))) for _ in range(500)]
+    anchors = [(i, r.choice([1, 2, 3]), day(r.randint(100, 401))) for i in range(20)]
+    edges = [(10, 90, 1), (11, 90, 1), (11, 91, 2), (12, 92, 3)]
+    e = spark.createDataFrame(events, "person_id long, concept_id long, event_time timestamp")
+    a = spark.createDataFrame(anchors, "study_id long, person_id long, anchor_time timestamp")
+    g = spark.createDataFrame(edges, "descendant long, ancestor long, level int")
+    for most in (1, 63, 64, 300):
+        got = {(x.study_id, x.ancestor): (x.n_days, x.days_since) for x in C.ancestor_features(e, a, g, most, 2, 1, 10).collect()}
+        days = {}
+        for s, p, t in anchors:
+            for q, c, u in events:
+                n = (t.date() - u.date()).days
+                if p == q and 1 <= n <= most:
+                    for down, up, level in edges:
+                        if down == c and level <= 2:
+                            days.setdefault((s, up), set()).add(n)
+        assert got == {k: (len(v), min(v)) for k, v in days.items()}
