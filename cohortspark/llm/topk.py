@@ -57,7 +57,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, key: str
 
     Rows whose vector is null or empty or holds null or non-finite components take no part on either side, nor do rows
     without a key; vectors of different lengths don't meet. A query doesn't find rows with its own key. Of queries that share
-    a key the one with the least vector counts; repeated rows are found each. Scores beyond 64 bits become the nearest long.
+    a key the one with the least vector counts; repeated rows are found each. Scores beyond 64 bits become the nearest long. An
+    empty table gives none, and other columns are ignored.
     """
 
     rows = floors(usable(vectors, key, vector, zeros=True), scale)

@@ -83,3 +83,21 @@ def test_blocks_meet_all_shards(spark, rows):
     met = vectors.meet(df, df.where("vec_id % 50 = 0"), lambda r, q: pd.DataFrame({"n": [len(r) * len(q)]}), "n long", 200, 7)
     a, b = df.where("dim = 24").count(), df.where("vec_id % 50 = 0 and dim = 24").count()
     assert sum(r.n for r in met.collect()) == a * b + 2
+
+
+def test_recall_and_share_on_the_given_vectors(spark):
+    """At least nine of ten of the nearest are found, from less than half of the vectors."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    own = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.embedding is not None]
+    ids, x = np.array([i for i, _ in own]), np.stack([v for _, v in own])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.flatnonzero(ids % 50 == 0)
+    cosines = unit[asked] @ unit.T
+    cosines[np.arange(len(asked)), asked] = -2
+    want = {int(ids[q]): set(ids[np.lexsort((ids, -cosines[k]))[:5]].tolist()) for k, q in enumerate(asked)}
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(want[q] & got[q]) for q in want) / sum(map(len, want.values())) >= 0.9
+    found = ann.CollisionIndex(x).search(x[asked], 5, [np.array([q]) for q in asked])
+    assert np.mean([len(places) for places, _ in found]) / len(x) < 0.5
