@@ -56,9 +56,10 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) ->
 WEEK = 7 * 86_400_000_000
 
 
-def neighbours(rows: DataFrame, by: str, key: str, value: str, width: int = WEEK) -> DataFrame:
+def neighbours(rows: DataFrame, by: str, key: str, value: str, width: int = WEEK, own: bool = True) -> DataFrame:
     """rows with _before, the last value that isn't null at or before the row's key (a long) among the rows of the same `by`, and
-    _after, the first at or after it. No two rows of a `by` with a value have the same key.
+    _after, the first at or after it; without `own` before and after it (and no two rows of a `by` have the same key). No two
+    rows of a `by` with a value have the same key.
 
     Keys are cut into parts of `width`. The last and first value of each part are carried on over the parts, a row a part, and go
     to the part's rows as a row at its ends, so a task orders a part, not a `by`.
@@ -70,6 +71,6 @@ def neighbours(rows: DataFrame, by: str, key: str, value: str, width: int = WEEK
     heads = parts.select(by, "_part", F.last("_end_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_end_last"), F.first("_end_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_end_first"))
     both = rows.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)), allowMissingColumns=True)
     inside, valued = Window.partitionBy(by, "_part"), F.col(value).isNull()  # at equal keys the row with the value comes first
-    upto = lambda end, order: F.last(F.when(F.col("_head") == 1, F.col(end)).otherwise(F.col(value)), True).over(inside.orderBy(F.desc("_head"), order, valued).rowsBetween(Window.unboundedPreceding, 0))
+    upto = lambda end, order: F.last(F.when(F.col("_head") == 1, F.col(end)).otherwise(F.col(value)), True).over(inside.orderBy(F.desc("_head"), order, valued).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
     both = both.withColumns({"_before": upto("_end_last", F.asc(key)), "_after": upto("_end_first", F.desc(key))})
     return both.where("_head = 0").drop("_head", "_part", "_end_last", "_end_first")

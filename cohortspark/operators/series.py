@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import numbered
+from .running import cumulated, neighbours
 
 
 def build_series(slices: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -24,25 +25,50 @@ def series_report(slices: DataFrame, meta: DataFrame) -> DataFrame:
     return slices.select("scan").distinct().join(have, "scan", "left").agg(F.count("_m").alias("written"), F.count(F.when(F.col("_m").isNull(), 1)).alias("skipped"))
 
 
+#: Slice numbers of a chunk of a scan.
+CHUNK = 256
+
+
 def contextualize(slices: DataFrame) -> DataFrame:
-    """Each vector with its difference to the one before and to the one after; zeros at the ends."""
-    w = Window.partitionBy("scan").orderBy("slice_idx")
+    """Each vector (scan, slice_idx: one row each, vector) with its difference to the one before and to the one after; zeros at the
+    ends. A scan is cut into chunks, to which the vectors at their borders are carried, so no task orders a long scan."""
     minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     zero = F.transform("vector", lambda x: x * 0)
-    before, after = F.lag("vector").over(w), F.lead("vector").over(w)
-    df = slices.withColumns({"_b": before, "_a": after})
-    return df.withColumn("vector", F.concat("vector", F.coalesce(minus("vector", "_b"), zero), F.coalesce(minus("vector", "_a"), zero))).drop("_a", "_b")
+    rows = slices.withColumn("_key", F.col("slice_idx").cast("long"))
+    met = neighbours(rows, "scan", "_key", "vector", CHUNK, own=False)
+    return met.select(*(F.concat("vector", F.coalesce(minus("vector", "_before"), zero), F.coalesce(minus("vector", "_after"), zero)).alias(c) if c == "vector" else F.col(f"`{c}`") for c in slices.columns))
+
+
+def ranked(slices: DataFrame) -> DataFrame:
+    """slices (scan, slice_idx: one row each) with _i, the place in the scan from 0, and _n, the scan's slices, counted in chunks."""
+    found = cumulated(slices.withColumns({"_key": F.col("slice_idx").cast("long"), "_one": F.lit(1)}), ["scan"], "_key", ["_one"], F.expr(f"_key div {CHUNK}"))
+    return found.withColumns({"_i": F.coalesce("_one_before", F.lit(0)), "_n": F.col("_one_all")}).select(*(F.col(f"`{c}`") for c in slices.columns), "_i", "_n")
 
 
 def add_position(slices: DataFrame, thickness: str | None = None) -> DataFrame:
     """position: index times thickness over the larger of the last such value and 1, or index / (n - 1)."""
-    w = Window.partitionBy("scan")
-    i = F.row_number().over(w.orderBy("slice_idx")) - 1
-    df = slices.withColumns({"_i": i, "_n": F.count(F.lit(1)).over(w)})
+    df = ranked(slices)
     at = F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)) if thickness is None else F.col(thickness) * F.col("_i") / F.greatest(F.col(thickness) * (F.col("_n") - 1), F.lit(1.0))
     return df.withColumn("position", at.cast("double")).drop("_i", "_n")
 
 
+def fix_slices(slices: DataFrame, n: int, strategy: str = "fix", seed: int = 0) -> DataFrame:
+    """Series (scan, vectors, mask) of exactly n from slices: the middle n, or a seeded choice in order, of longer scans; shorter ones
+    are padded with zero vectors. mask: 1 for vectors of the scan. Places are found before anything is collected, so no more
+    than n vectors of a scan meet."""
+    rows = ranked(slices)
+    if strategy == "fix":
+        start = F.greatest(F.lit(0), F.expr(f"(_n - {n}) div 2"))
+        rows = rows.where((F.col("_i") >= start) & (F.col("_i") < start + n))
+    else:
+        drawn = rows.withColumns({"_h": F.xxhash64(F.lit(seed), "scan", "_i"), "_two": F.lit(1)})
+        rows = cumulated(drawn, ["scan"], "_h", ["_two"], F.shiftright("_h", 54)).where(F.coalesce("_two_before", F.lit(0)) < n)
+    kept = rows.groupBy("scan").agg(F.sort_array(F.collect_list(F.struct("_i", "vector"))).alias("s")).select("scan", F.col("s.vector").alias("vectors"))
+    pad = F.greatest(F.lit(0), F.lit(n) - F.size("vectors"))
+    zero = F.transform(F.element_at("vectors", 1), lambda x: x * 0)
+    return kept.select("scan", F.concat("vectors", F.array_repeat(zero, pad)).alias("vectors"), F.concat(F.array_repeat(F.lit(1), F.size("vectors")), F.array_repeat(F.lit(0), pad)).alias("mask"))
+
+
 def fix_length(series: DataFrame, n: int, strategy: str = "fix", seed: int = 0) -> DataFrame:
     """Series (scan, vectors) of exactly n: the middle n, or a seeded choice in order, of longer ones; shorter ones are padded
     with zero vectors. mask: 1 for vectors of the scan."""
@@ -61,7 +87,7 @@ def fix_length(series: DataFrame, n: int, strategy: str = "fix", seed: int = 0)
 
 def first_slices(slices: DataFrame, n: int) -> DataFrame:
     """The first n rows of each scan."""
-    return slices.withColumn("_r", F.row_number().over(Window.partitionBy("scan").orderBy("slice_idx"))).where(F.col("_r") <= n).drop("_r")
+    return ranked(slices).where(F.col("_i") < n).drop("_i", "_n")
 
 
 def pool(slices: DataFrame, how: str = "mean") -> DataFrame:

@@ -266,12 +266,21 @@ def readmission_labels(spark, d):
     return A.readmission_labels(B.anchors(spark, d), visits, m.select("person_id", F.col("event_time").alias("last_seen")), 30).select("study_id", "label")
 
 
-@query("SELECT scan, slice_idx, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))), 5) AS own, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))) - coalesce(lag(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE)))) OVER w, list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE)))), 5) AS before, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE))) - coalesce(lead(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE)))) OVER w, list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE)))), 5) AS after FROM slices WINDOW w AS (PARTITION BY scan ORDER BY slice_idx)", B.SLICES)
+_DIMS = "dims AS (SELECT scan, slice_idx, vec_id, unnest(range(64)) AS dim, CAST(unnest(vector) AS DOUBLE) AS x FROM slices)"
+
+
+@query("SELECT scan, slice_idx, dim, round(x, 6) AS own, round(x - coalesce(lag(x) OVER w, x), 6) AS before, round(x - coalesce(lead(x) OVER w, x), 6) AS after FROM dims WINDOW w AS (PARTITION BY scan, dim ORDER BY slice_idx)", f"{B.SLICES}, {_DIMS}")
 def contextualize(spark, d):
     s = B.slices(spark, d).withColumn("vector", F.transform("vector", lambda x: x.cast("double")))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    df = S.contextualize(s).select("scan", F.col("slice_idx").cast("long").alias("slice_idx"), *(total(F.slice("vector", 1 + 64 * i, 64)).alias(n) for i, n in enumerate(("own", "before", "after"))))
-    return rounded(df, "own", "before", "after", digits=5)
+    parts = F.arrays_zip(*(F.slice("vector", 1 + 64 * i, 64).alias(n) for i, n in enumerate(("own", "before", "after"))))
+    df = S.contextualize(s).select("scan", F.col("slice_idx").cast("long").alias("slice_idx"), F.posexplode(parts).alias("dim", "p"))
+    return rounded(df.select("scan", "slice_idx", F.col("dim").cast("long").alias("dim"), "p.own", "p.before", "p.after"), "own", "before", "after")
+
+
+@query("SELECT scan, slice_idx, round(slice_idx / CAST(greatest(count(*) OVER (PARTITION BY scan) - 1, 1) AS DOUBLE), 6) AS position FROM slices", B.SLICES)
+def relative_positions(spark, d):
+    df = S.add_position(B.slices(spark, d))
+    return rounded(df.select("scan", F.col("slice_idx").cast("long").alias("slice_idx"), "position"), "position")
 
 
 @query("SELECT scan, slice_idx, round(1.5 * slice_idx / greatest(1.5 * (count(*) OVER (PARTITION BY scan) - 1), 1.0), 6) AS position FROM slices", B.SLICES)
@@ -280,11 +289,26 @@ def slice_positions(spark, d):
     return rounded(df.select("scan", F.col("slice_idx").cast("long").alias("slice_idx"), "position"), "position")
 
 
-@query("SELECT scan, CAST(sum(CASE WHEN n <= 45 OR (slice_idx >= (n - 45) // 2 AND slice_idx < (n - 45) // 2 + 45) THEN vec_id END) AS BIGINT) AS ids, least(45, max(n)) AS real_slices, 45 AS length FROM (SELECT *, count(*) OVER (PARTITION BY scan) AS n FROM slices) GROUP BY scan", B.SLICES)
+def _placed(df):
+    """A row for each place, dimension and value of a series."""
+    each = df.select("scan", F.posexplode(F.arrays_zip("vectors", "mask")).alias("place", "v"))
+    each = each.select("scan", F.col("place").cast("long").alias("place"), F.col("v.mask").alias("real"), F.posexplode("v.vectors").alias("dim", "value"))
+    return rounded(each.withColumn("dim", F.col("dim").cast("long")), "value")
+
+
+@query("SELECT scan, place, CAST(real AS INT) AS real, dim, round(CASE real WHEN 1 THEN x ELSE 0 END, 6) AS value FROM (SELECT s.scan, p.place, CASE WHEN p.place < n THEN 1 ELSE 0 END AS real, greatest(0, (n - 45) // 2) + p.place AS i FROM (SELECT scan, count(*) AS n FROM slices GROUP BY scan) s, range(45) AS p(place)) JOIN (SELECT dim FROM range(64) AS r(dim)) ON TRUE LEFT JOIN dims USING (scan, dim) WHERE dims.slice_idx = i OR (real = 0 AND dims.slice_idx = 0)", f"{B.SLICES}, {_DIMS}")
 def fix_length(spark, d):
-    s = B.slices(spark, d).withColumn("vector", F.array(F.col("vec_id").cast("double")))
-    f = S.fix_length(S.build_series(s), 45)
-    return f.select("scan", F.aggregate("vectors", F.lit(0.0), lambda a, v: a + v[0]).cast("long").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("real_slices"), F.size("vectors").alias("length"))
+    return _placed(S.fix_slices(B.slices(spark, d), 45))
+
+
+@query("SELECT scan, least(45, count(*)) AS chosen, 45 AS length, TRUE AS in_order FROM slices GROUP BY scan", B.SLICES)
+def fix_length_random(spark, d):
+    """What holds for any seeded choice: so many of the scan's own slices, each once, in their order."""
+    s = B.slices(spark, d)
+    fixed = S.fix_slices(s.withColumn("vector", F.array(F.col("slice_idx").cast("double"))), 45, "random", 3)
+    chosen = F.transform(F.slice("vectors", 1, F.aggregate("mask", F.lit(0), lambda a, x: a + x)), lambda v: v[0])
+    in_order = chosen == F.array_sort(F.array_distinct(F.filter(chosen, lambda x: x.isNotNull())))
+    return fixed.select("scan", F.size(chosen).cast("long").alias("chosen"), F.size("vectors").alias("length"), in_order.alias("in_order"))
 
 
 def _pool_sql(f: str) -> str:
@@ -309,13 +333,19 @@ def drop_zero_series(spark, d):
     return S.drop_zero_series(s, bad).groupBy("scan").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT scan, count(*) AS n_slices, list_sum(list_transform(list(vec_id ORDER BY slice_idx), lambda x, i: x * i)) AS ordered FROM slices WHERE scan <> '2' GROUP BY scan", B.SLICES)
+@query("SELECT scan, slice_idx AS place, dim, round(x, 6) AS value, n_slices FROM dims JOIN (SELECT scan, count(*) AS n_slices FROM slices GROUP BY scan) USING (scan) WHERE scan <> '2'", f"{B.SLICES}, {_DIMS}")
 def build_series(spark, d):
-    s = B.slices(spark, d).withColumn("vector", F.array(F.col("vec_id").cast("double")))
-    meta = s.where("scan <> '2'").select("scan")
-    df = S.build_series(s, meta)
-    places = F.aggregate(F.transform("vectors", lambda v, i: v[0] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return df.select("scan", F.col("n_slices").cast("long").alias("n_slices"), places.cast("long").alias("ordered"))
+    s = B.slices(spark, d)
+    df = S.build_series(s, s.where("scan <> '2'").select("scan"))
+    each = df.select("scan", F.col("n_slices").cast("long").alias("n_slices"), F.posexplode("vectors").alias("place", "v"))
+    each = each.select("scan", F.col("place").cast("long").alias("place"), "n_slices", F.posexplode("v").alias("dim", "value"))
+    return rounded(each.withColumn("dim", F.col("dim").cast("long")), "value")
+
+
+@query("SELECT count(DISTINCT scan) FILTER (WHERE scan <> '2') AS written, count(DISTINCT scan) FILTER (WHERE scan = '2') AS skipped FROM slices", B.SLICES)
+def series_report(spark, d):
+    s = B.slices(spark, d)
+    return S.series_report(s, s.where("scan <> '2'").select("scan"))
 
 
 @query("SELECT scan, vec_id FROM slices WHERE slice_idx < 5", B.SLICES)
