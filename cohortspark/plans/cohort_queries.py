@@ -125,19 +125,20 @@ def patient_features(spark, d):
     return K.patient_features(long, 7).select("feature", "value")
 
 
-@query("SELECT patient_id, model FROM preds WHERE task = 'quality' AND patient_id % 10 = 9 AND patient_id % 3 = 0 AND patient_id IN (SELECT doc_id FROM labels WHERE toxic = 0)", B.PREDICTIONS)
+@query("SELECT patient_id, task, model FROM preds WHERE patient_id % 10 = 9 AND patient_id % 3 = 0 AND patient_id IN (SELECT doc_id FROM labels WHERE toxic = 0)", B.PREDICTIONS)
 def eval_subset(spark, d):
-    p = B.predictions(spark, d).where("task = 'quality'")
+    p = B.predictions(spark, d)
     ids = p.select("patient_id").distinct()
     splits = ids.withColumn("split", F.when(F.col("patient_id") % 10 == 9, "test").otherwise("train"))
     sick = B.read(spark, d, "labels").where("toxic = 0").select(F.col("doc_id").alias("patient_id"))
-    return K.eval_subset(p, splits, ids.where("patient_id % 3 = 0"), sick, "test").select("patient_id", "model")
+    return K.eval_subset(p, splits, ids.where("patient_id % 3 = 0"), sick, "test").select("patient_id", "task", "model")
 
 
-@query("SELECT count(*) FILTER (WHERE k) AS kept, count(*) FILTER (WHERE NOT k) AS removed FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS k FROM customer)")
+@query("SELECT c_custkey, kept, removed FROM (SELECT c_custkey, k, count(*) FILTER (WHERE k) OVER () AS kept, count(*) FILTER (WHERE NOT k) OVER () AS removed FROM (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS k FROM customer)) WHERE k")
 def require_series(spark, d):
     have = B.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return K.require_series(B.read(spark, d, "customer"), have, "c_custkey")[1]
+    kept, report = K.require_series(B.read(spark, d, "customer"), have, "c_custkey")
+    return kept.select("c_custkey").crossJoin(F.broadcast(report))  # one row
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'none') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
@@ -462,23 +463,22 @@ def label_checks(spark, d):
     return Q.label_checks(df, 0.33).select(F.col("check").alias("check_"), "status")
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE o_orderkey IS NULL) AS VARCHAR) AS strays, CAST(count(*) FILTER (WHERE l_orderkey IS NULL) AS VARCHAR) AS empty FROM (SELECT DISTINCT l_orderkey FROM lineitem) FULL JOIN orders ON l_orderkey = o_orderkey")
+_CHECK = "CASE WHEN n = 0 THEN 'PASS' ELSE bad END AS status, CAST(n AS VARCHAR) AS detail"
+
+
+@query(f"SELECT \"check\", {_CHECK} FROM (SELECT 'values are finite' AS \"check\", 'FAIL' AS bad, count(*) FILTER (WHERE isnan(l_quantity) OR isinf(l_quantity)) AS n FROM lineitem UNION ALL SELECT 'rows belong to the cohort', 'FAIL', count(*) FILTER (WHERE o_orderkey IS NULL) FROM keys UNION ALL SELECT 'studies have features', 'WARN', count(*) FILTER (WHERE l_orderkey IS NULL) FROM keys UNION ALL SELECT 'splits are known', 'FAIL', count(*) FILTER (WHERE coalesce(split, '') NOT IN ('train', 'valid', 'test')) FROM anchors UNION ALL SELECT 'no patient in several splits', 'FAIL', count(*) FROM (SELECT person_id FROM anchors GROUP BY 1 HAVING count(DISTINCT split) > 1))", f"{B.ANCHORS}, keys AS (SELECT * FROM (SELECT DISTINCT l_orderkey FROM lineitem) FULL JOIN orders ON l_orderkey = o_orderkey)")
 def matrix_checks(spark, d):
     long = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("study_id"), F.col("l_quantity").alias("value"))
-    r = Q.matrix_checks(long, _cohort(spark, d))
-    cell = lambda n: F.max(F.when(F.col("check") == n, F.col("detail")))
-    return r.agg(cell("rows belong to the cohort").alias("strays"), cell("studies have features").alias("empty"))
+    return Q.matrix_checks(long, B.anchors(spark, d))
 
 
-@query("SELECT count(*) FILTER (WHERE n > 1) AS leaks, avg(CAST(m AS DOUBLE)) AS matched FROM (SELECT vec_id, vec_id % 5 <> 0 AS m, 1 AS n FROM embeddings)")
+@query("SELECT \"check\", CASE WHEN holds THEN 'PASS' ELSE bad END AS status, detail FROM (SELECT 'key types agree' AS \"check\", TRUE AS holds, 'FAIL' AS bad, '' AS detail UNION ALL SELECT 'all images matched', avg(CAST(vec_id % 5 <> 0 AS DOUBLE)) = 1, 'WARN', CAST(round(avg(CAST(vec_id % 5 <> 0 AS DOUBLE)), 4) AS VARCHAR) FROM embeddings UNION ALL SELECT 'no missing splits', count(*) FILTER (WHERE vec_id % 5 = 0) = 0, 'FAIL', CAST(count(*) FILTER (WHERE vec_id % 5 = 0) AS VARCHAR) FROM embeddings UNION ALL SELECT 'no patient in several splits', TRUE, 'FAIL', '0' UNION ALL SELECT 'both classes in every split', count(*) FILTER (WHERE k < 2) = 0, 'WARN', CAST(count(*) FILTER (WHERE k < 2) AS VARCHAR) FROM (SELECT vec_id % 3 = 0 AS s, count(DISTINCT vec_id % 2) AS k FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1))")
 def split_replay(spark, d):
     e = B.read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("scan"), "vec_id")
     mapping = e.where("vec_id % 5 <> 0").select("scan", F.col("vec_id").alias("study_id"), F.col("vec_id").alias("person_id"))
     labels = e.select(F.col("vec_id").alias("study_id"), (F.col("vec_id") % 2).alias("label"))
     splits = e.select(F.col("vec_id").alias("study_id"), F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train").alias("split"))
-    r = Q.split_replay(e.select("scan"), mapping, labels, splits)
-    cell = lambda n: F.max(F.when(F.col("check") == n, F.col("detail")))
-    return r.agg(cell("no patient in several splits").cast("long").alias("leaks"), cell("all images matched").cast("double").alias("matched"))
+    return Q.split_replay(e.select("scan"), mapping, labels, splits)
 
 
 @query("SELECT split, count(*) AS n, round(avg(CAST(o_orderstatus = 'F' AS INT)), 6) AS prevalence FROM orders JOIN anchors ON study_id = o_orderkey GROUP BY 1", B.ANCHORS)
@@ -549,11 +549,12 @@ def read_delimited(spark, d):
     return io.read_delimited(spark, path, "id string, status string, price double").select(F.col("id").cast("long").alias("id"), "status", "price")
 
 
-@query("SELECT count(*) AS attempts, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS failures, count(*) FILTER (WHERE o_orderkey % 10 = 0) / CAST(count(*) AS DOUBLE) AS rate FROM orders")
+@query("SELECT o_orderkey AS id, attempts, failures, failures / CAST(attempts AS DOUBLE) AS rate FROM orders, (SELECT count(*) AS attempts, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS failures FROM orders) WHERE o_orderkey % 10 <> 0")
 def read_tolerant(spark, d):
     path = f"{_folder(spark)}/t.csv"
     B.read(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, "bad").otherwise(F.col("o_orderkey").cast("string")).alias("id")).write.option("header", True).csv(path)
-    return io.read_tolerant(spark, path, "id long")[1]
+    kept, report = io.read_tolerant(spark, path, "id long")
+    return kept.select("id").crossJoin(F.broadcast(report))  # one row
 
 
 @query("SELECT person_id, concept_id AS measurement_concept_id, value AS value_as_number FROM measurement WHERE concept_id IN (3, 7, 11)", B.MEASUREMENT)

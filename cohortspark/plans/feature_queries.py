@@ -19,13 +19,17 @@ _LAST = "first(value ORDER BY days_before, event_time DESC, event_id, value)"
 
 
 def _lab_sql(windows=WINDOWS, within="days_before BETWEEN 1 AND {w}", src="met") -> str:
-    one = "SELECT study_id, 'labs' AS \"group\", vocabulary, code, {w} AS window_days, arg AS agg, v AS value FROM (SELECT study_id, vocabulary, code, " + _LAST + " AS l, min(value) AS mi, max(value) AS ma, avg(value) AS av, count(*) AS n, min(days_before) AS ds FROM " + src + " WHERE " + within + " GROUP BY ALL), LATERAL (VALUES ('last', l), ('min', mi), ('max', ma), ('mean', av), ('n', n), ('days_since', ds)) AS t(arg, v)"
+    one = "SELECT study_id, 'labs' AS \"group\", vocabulary, code, {w} AS window_days, arg AS agg, v AS value, CAST(mrd AS VARCHAR) AS most_recent_date FROM (SELECT study_id, vocabulary, code, max(event_date) AS mrd, " + _LAST + " AS l, min(value) AS mi, max(value) AS ma, avg(value) AS av, count(*) AS n, min(days_before) AS ds FROM " + src + " WHERE " + within + " GROUP BY ALL), LATERAL (VALUES ('last', l), ('min', mi), ('max', ma), ('mean', av), ('n', n), ('days_since', ds)) AS t(arg, v)"
     return " UNION ALL ".join(one.format(w=w) for w in windows)
 
 
-@query(f"SELECT study_id, \"group\", vocabulary, code, agg, window_days, round(value, 6) AS value FROM ({_lab_sql()})", B.MET)
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("most_recent_date", F.col("most_recent_date").cast("string"))
+
+
+@query(f"SELECT study_id, \"group\", vocabulary, code, agg, window_days, round(value, 6) AS value, most_recent_date FROM ({_lab_sql()})", B.MET)
 def lab_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(X.lab_features(B.measurements(spark, d), B.anchors(spark, d), WINDOWS).drop("most_recent_date"), "value")
+    return _dated(rounded(X.lab_features(B.measurements(spark, d), B.anchors(spark, d), WINDOWS), "value"))
 
 
 @query("SELECT study_id, event_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND 30", B.MET)
@@ -60,9 +64,9 @@ def encompassing_visit(spark, d):
     return found.select("study_id", "interval_id", F.datediff(F.to_date("anchor_time"), "start_date").cast("long").alias("days_in"))
 
 
-@query("SELECT study_id, \"group\", vocabulary, code, agg, window_days, round(value, 6) AS value FROM (SELECT study_id, 'events' AS \"group\", vocabulary, code, 'n_days' AS agg, w AS window_days, count(DISTINCT days_before) AS value FROM met, (VALUES (7), (30), (365)) AS t(w) WHERE days_before BETWEEN 1 AND w GROUP BY ALL)", B.MET)
+@query("SELECT study_id, \"group\", vocabulary, code, agg, window_days, round(value, 6) AS value, most_recent_date FROM (SELECT study_id, 'events' AS \"group\", vocabulary, code, 'n_days' AS agg, w AS window_days, count(DISTINCT days_before) AS value, CAST(max(event_date) AS VARCHAR) AS most_recent_date FROM met, (VALUES (7), (30), (365)) AS t(w) WHERE days_before BETWEEN 1 AND w GROUP BY ALL)", B.MET)
 def count_features(spark, d):
-    return X.count_features(B.measurements(spark, d), B.anchors(spark, d), WINDOWS).drop("most_recent_date")
+    return _dated(X.count_features(B.measurements(spark, d), B.anchors(spark, d), WINDOWS))
 
 
 def _los_sql(end: str) -> str:
@@ -154,15 +158,15 @@ def drop_all_missing(spark, d):
     return X.drop_all_missing(rows.withColumn("value", F.when(F.col("feature") != "Brand#7", F.col("value")))).select("study_id", "feature", "value")
 
 
-@query("SELECT DISTINCT 'labs:' || vocabulary || '/' || code || '_mean_30d' AS feature, 'labs' AS \"group\", vocabulary, code, 'mean' AS agg, 30 AS window_days FROM met WHERE days_before BETWEEN 1 AND 30", B.MET)
+@query("SELECT DISTINCT 'labs:' || vocabulary || '/' || code || '_' || agg || '_30d' AS feature, 'labs' AS \"group\", vocabulary, code, agg, 30 AS window_days FROM met, (VALUES ('last'), ('min'), ('max'), ('mean'), ('n'), ('days_since')) AS a(agg) WHERE days_before BETWEEN 1 AND 30", B.MET)
 def feature_names(spark, d):
-    long = X.lab_features(B.measurements(spark, d), B.anchors(spark, d), (30,)).where("agg = 'mean'")
+    long = X.lab_features(B.measurements(spark, d), B.anchors(spark, d), (30,))
     return X.parse_feature_name(long.select(X.feature_name().alias("feature")).distinct())
 
 
-@query("SELECT f AS feature, coalesce('labs:' || n || ' [' || v || '/' || c || ']_max_30d', f) AS readable FROM (SELECT DISTINCT vocabulary AS v, code AS c, 'labs:' || vocabulary || '/' || code || '_max_30d' AS f FROM met WHERE days_before BETWEEN 1 AND 30) LEFT JOIN (SELECT p_type, p_brand, CASE WHEN length(min(p_name)) <= 60 THEN min(p_name) ELSE substr(min(p_name), 1, 57) || '…' END AS n FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1, 2) ON p_type = v AND p_brand = c", B.MET)
+@query("SELECT f AS feature, coalesce('labs:' || n || ' [' || v || '/' || c || ']_' || agg || '_30d', f) AS readable FROM (SELECT DISTINCT vocabulary AS v, code AS c, agg, 'labs:' || vocabulary || '/' || code || '_' || agg || '_30d' AS f FROM met, (VALUES ('last'), ('min'), ('max'), ('mean'), ('n'), ('days_since')) AS a(agg) WHERE days_before BETWEEN 1 AND 30) LEFT JOIN (SELECT p_type, p_brand, CASE WHEN length(min(p_name)) <= 60 THEN min(p_name) ELSE substr(min(p_name), 1, 57) || '…' END AS n FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1, 2) ON p_type = v AND p_brand = c", B.MET)
 def readable_names(spark, d):
-    long = X.lab_features(B.measurements(spark, d), B.anchors(spark, d), (30,)).where("agg = 'max'").select(X.feature_name().alias("feature")).distinct()
+    long = X.lab_features(B.measurements(spark, d), B.anchors(spark, d), (30,)).select(X.feature_name().alias("feature")).distinct()
     concepts = B.concepts(spark, d).where("code <> 'Brand#3'").groupBy("vocabulary", "code").agg(F.min("name").alias("name"))
     return X.readable_name(long, concepts).select("feature", "readable")
 
@@ -191,10 +195,10 @@ def to_long(spark, d):
     return X.to_long(_demo(spark, d).select("study_id", "sex_unknown", "is_female"))
 
 
-@query("SELECT study_id, code, vocabulary, CAST(max(event_date) AS VARCHAR) AS record_date FROM met WHERE days_before BETWEEN 1 AND 30 GROUP BY ALL", B.MET)
+@query("SELECT study_id, code, vocabulary, agg, CAST(max(event_date) AS VARCHAR) AS record_date FROM met, (VALUES ('last'), ('min'), ('max'), ('mean'), ('n'), ('days_since')) AS a(agg) WHERE days_before BETWEEN 1 AND 30 GROUP BY ALL", B.MET)
 def record_dates(spark, d):
     long = X.lab_features(B.measurements(spark, d), B.anchors(spark, d), (30,))
-    return X.record_dates(long, B.anchors(spark, d)).where("agg = 'min'").select("study_id", "code", "vocabulary", F.col("record_date").cast("string").alias("record_date"))
+    return X.record_dates(long, B.anchors(spark, d)).select("study_id", "code", "vocabulary", "agg", F.col("record_date").cast("string").alias("record_date"))
 
 
 @query("SELECT study_id, concept_id, CAST(days_before AS BIGINT) AS days_before, 'labs' AS \"table\", value FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0 UNION ALL SELECT a.study_id, p_partkey, date_diff('day', CAST(l_shipdate AS DATE), anchor_date), 'drugs', CAST(NULL AS DOUBLE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN anchors a ON person_id = o_custkey WHERE p_partkey <> 0 AND l_returnflag = 'R' AND date_diff('day', CAST(l_shipdate AS DATE), anchor_date) BETWEEN 1 AND 30", B.MET)
@@ -325,12 +329,12 @@ def max_pool(spark, d):
     return rounded(S.pool(B.slices(spark, d), "max"), "value").withColumn("dim", F.col("dim").cast("long"))
 
 
-@query("SELECT scan, count(*) AS n FROM slices WHERE scan NOT IN ('3', '5') GROUP BY scan", B.SLICES)
+@query("SELECT scan, slice_idx, vec_id FROM slices WHERE scan NOT IN ('3', '5')", B.SLICES)
 def drop_zero_series(spark, d):
     zero = F.concat(F.transform(F.slice("vector", 1, 63), lambda x: x * 0), F.slice("vector", 64, 1))
     s = B.slices(spark, d).withColumn("vector", F.when(F.col("scan") == "3", zero).otherwise(F.col("vector")))
     bad = spark.sql("SELECT '5' AS scan")
-    return S.drop_zero_series(s, bad).groupBy("scan").agg(F.count(F.lit(1)).alias("n"))
+    return S.drop_zero_series(s, bad).select("scan", F.col("slice_idx").cast("long").alias("slice_idx"), "vec_id")
 
 
 @query("SELECT scan, slice_idx AS place, dim, round(x, 6) AS value, n_slices FROM dims JOIN (SELECT scan, count(*) AS n_slices FROM slices GROUP BY scan) USING (scan) WHERE scan <> '2'", f"{B.SLICES}, {_DIMS}")
