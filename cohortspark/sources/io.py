@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -74,17 +75,24 @@ def spec_key(spec: dict | str) -> str:
 
 
 def cached(spark: SparkSession, folder: str, spec: dict | str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """What build() gives, kept as Parquet under the key of its spec, with the spec beside it; built anew only on refresh."""
-    path = f"{folder}/{spec_key(spec)}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if refresh or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/_SUCCESS")):
-        build().write.mode("overwrite").parquet(f"{path}/data")
-        _write_json(spark, spec, f"{path}/spec")
-    return spark.read.parquet(f"{path}/data")
+    """What build() gives, kept as Parquet under the key of its spec, with the spec beside it; built anew only on refresh.
 
+    A version is a folder of its own, named by its time, and counts once it is whole; the latest is read. So a refresh leaves
+    what others are reading, and a build that fails leaves the version before it.
+    """
+    path, jvm = f"{folder}/{spec_key(spec)}", spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [] if refresh else [str(x.getPath().getName()) for x in fs.globStatus(jvm.Path(f"{path}/v-*")) or []]
+    whole = [v for v in sorted(found) if fs.exists(jvm.Path(f"{path}/{v}/_SUCCESS"))]
+    if not whole:
+        whole = [f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"]
+        _write_json(spark, spec, f"{path}/spec", "ignore")
+        build().write.parquet(f"{path}/{whole[0]}")
+    return spark.read.parquet(f"{path}/{whole[-1]}")
 
-def _write_json(spark: SparkSession, value, path: str) -> None:
-    spark.range(1, numPartitions=1).select(F.lit(json.dumps(value, sort_keys=True, default=str)).alias("value")).write.mode("overwrite").text(path)
+
+def _write_json(spark: SparkSession, value, path: str, mode: str = "overwrite") -> None:
+    spark.range(1, numPartitions=1).select(F.lit(json.dumps(value, sort_keys=True, default=str)).alias("value")).write.mode(mode).text(path)
 
 
 def export_matrix(long: DataFrame, studies: DataFrame, spec: dict, folder: str, drop_all_missing: bool = False) -> None:
@@ -154,9 +162,7 @@ def validate_source(df: DataFrame, required: list[str]) -> DataFrame:
 def fuse_sparse(long: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(study_id, indices, values, size, label; the layout): for each study the values (null as 0, left out) at the features'
     places and, after them, 1 for every observed one. The layout (feature, place) is in order of names."""
-    from pyspark.sql import Window
-
-    layout = long.select("feature").distinct().withColumn("place", F.row_number().over(Window.orderBy("feature")) - 1)  # a row a feature
+    layout = numbered(long.select("feature").distinct(), [F.col("feature")], "place").withColumn("place", F.col("place").cast("int"))
     n = layout.count()
     cells = long.where("value is not null").join(layout, "feature")
     rows = cells.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("c"))

@@ -15,6 +15,7 @@ from cohortspark.operators import quality as Q
 from cohortspark.operators import series as S
 from cohortspark.operators import splits as P
 from cohortspark.operators import windows as W
+from cohortspark.sources import io
 
 DAY = dt.datetime(2020, 5, 20, 10)
 
@@ -242,3 +243,17 @@ def test_tables_and_csv(spark, tmp_path):
         spark.sql(f"DROP TABLE IF EXISTS {name}_c")
     assert sorted(r.id for r in io.read_delimited(spark, str(tmp_path / "c"), "id string, x double").collect()) == ["007", "008"]
     assert io.spec_key({"a": 1, "b": 2}) == io.spec_key({"b": 2, "a": 1}) != io.spec_key({"a": 1})
+
+
+def test_a_refresh_leaves_what_others_read(spark, tmp_path):
+    folder = f"file://{tmp_path}/cache"
+    made = []
+    build = lambda n: lambda: made.append(n) or spark.range(n).toDF("x")
+    first = io.cached(spark, folder, {"a": 1}, build(3))
+    assert io.cached(spark, folder, {"a": 1}, build(9)).count() == 3 and made == [3]
+    assert io.cached(spark, folder, {"a": 1}, build(5), refresh=True).count() == 5
+    assert first.count() == 3 and io.cached(spark, folder, {"a": 1}, build(9)).count() == 5
+    assert io.cached(spark, folder, {"a": 2}, build(2)).count() == 2
+    with pytest.raises(ZeroDivisionError):
+        io.cached(spark, folder, {"a": 1}, lambda: 1 / 0, refresh=True)
+    assert io.cached(spark, folder, {"a": 1}, build(9)).count() == 5 and made == [3, 5, 2]
