@@ -15,7 +15,7 @@ from .topk import floors, longs, whole
 from .vectors import meet, one_a_key, usable
 
 #: Rows of a leaf and children of an inner node.
-LEAF, FAN = 96, 16
+LEAF, FAN = 256, 16
 
 
 class Windows:
@@ -33,16 +33,26 @@ class Windows:
         return np.where(gains, top, -np.inf).max(1, initial=-np.inf)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for i in np.flatnonzero((scores >= np.maximum(self.low, self.kth).min()) & (scores <= self.high.max())):
-            entry = (int(scores[i]), -int(ids[i]))
-            for w in np.flatnonzero((entry[0] >= self.low) & (entry[0] <= self.high) & (entry[0] >= self.kth)):
-                best = self.best[w]
+        least = np.maximum(self.low, self.kth)
+        fits = (scores >= least.min()) & (scores <= self.high.max())
+        if not fits.any():
+            return
+        scores, ids = scores[fits], ids[fits]
+        met = range(len(self.best)) if len(scores) > self.k else np.flatnonzero(((scores >= least[:, None]) & (scores <= self.high[:, None])).any(1))
+        for w in met:
+            own, best = (scores >= least[w]) & (scores <= self.high[w]), self.best[w]
+            some, keys = scores[own], ids[own]
+            if len(some) > self.k:  # no more than these and their ties can stay
+                top = some >= np.sort(some)[-self.k]
+                some, keys = some[top], keys[top]
+            for score, key in zip(some, keys):
+                entry = (int(score), -int(key))
                 if len(best) < self.k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
                     heapq.heapreplace(best, entry)
-                if len(best) == self.k:
-                    self.kth[w] = best[0][0]
+            if len(best) == self.k:
+                self.kth[w] = best[0][0]
 
 
 class PackedTree:
