@@ -197,7 +197,7 @@ def late_fusion(spark, d):
     return E.fuse_subsets(p.where("patient_id % 2 = 0"), p.where("patient_id % 2 = 1"), ["A", "B", "C"])
 
 
-@query("SELECT task, model, term, n, 0.0 AS gradient FROM (SELECT task, count(DISTINCT patient_id) AS n FROM preds WHERE patient_id % 2 = 0 AND label IS NOT NULL GROUP BY task), (VALUES ('A+B', ['1', 'A', 'B']), ('A+C', ['1', 'A', 'C']), ('B+C', ['1', 'B', 'C']), ('A+B+C', ['1', 'A', 'B', 'C'])) AS m(model, terms), unnest(terms) AS t(term)", P)
+@query("SELECT task, model, term, n, CAST(0 AS DOUBLE) AS gradient FROM (SELECT task, count(DISTINCT patient_id) AS n FROM preds WHERE patient_id % 2 = 0 AND label IS NOT NULL GROUP BY task), (VALUES ('A+B', ['1', 'A', 'B']), ('A+C', ['1', 'A', 'C']), ('B+C', ['1', 'B', 'C']), ('A+B+C', ['1', 'A', 'B', 'C'])) AS m(model, terms), unnest(terms) AS t(term)", P)
 def fusion_equations(spark, d):
     """The likelihood equations of every fusion at its solution: sums of (label - prob) times each term are 0."""
     p = _three(spark, d).where("patient_id % 2 = 0")
@@ -231,7 +231,7 @@ def linear_probe(spark, d):
     return M.linear_probe(_features(spark, d))[0].select("patient_id", "split", "label", "prob")
 
 
-@query("SELECT CAST(k AS INT) AS k, term, n, 0.0 AS gradient FROM range(21) AS x(k), (VALUES (0), (1), (2)) AS t(term), (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 < 3 AND quality IS NOT NULL)")
+@query("SELECT CAST(k AS INT) AS k, term, n, CAST(0 AS DOUBLE) AS gradient FROM range(21) AS x(k), (VALUES (0), (1), (2)) AS t(term), (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 < 3 AND quality IS NOT NULL)")
 def probe_gradients(spark, d):
     """The gradient of every strength's objective at its solution, which is 0: (strength, feature or 2: the intercept)."""
     df = _features(spark, d).where("split = 'train' and label is not null")
