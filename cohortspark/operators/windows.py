@@ -54,16 +54,16 @@ def window_overrides(df: DataFrame, codes: DataFrame | None, domains: DataFrame
     return df.drop("_domain_min", "_domain_max", "_code_min", "_code_max")
 
 
-#: Days are counted from so long before 1970 that none is negative, and all are below 2 ** LEVELS.
-DAY_ZERO, LEVELS = 1 << 21, 23
+#: Numbers of days below 2 ** LEVELS hold all dates.
+LEVELS = 23
 
 
-def dyadic_cover(first: str, last: str) -> Column:
-    """The days first..last (longs, from DAY_ZERO) as array<struct<level, at>>: at most two ranges of each level l, of the days
+def dyadic_cover(first: str, last: str, levels: int = LEVELS) -> Column:
+    """The days first..last (longs below 2 ** levels) as array<struct<level, at>>: at most two ranges of each level l, of the days
     at * 2**l up to (at + 1) * 2**l - 1, which are disjoint and together are just these days. None if last is before first."""
     a, b = f"shiftright({first} + shiftleft(1L, l) - 1, l)", f"shiftright({last} + 1, l)"
     pieces = f"array(if({a} < {b} and {a} % 2 = 1, struct(l as level, {a} as at), null), if({a} < {b} and {b} % 2 = 1, struct(l as level, {b} - 1 as at), null))"
-    return F.expr(f"filter(flatten(transform(sequence(0, {LEVELS}), l -> {pieces})), p -> p is not null)")
+    return F.expr(f"filter(flatten(transform(sequence(0, {levels}), l -> {pieces})), p -> p is not null)")
 
 
 def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -74,13 +74,16 @@ def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame
     anchors and intervals meet only where one holds the other. Of a range's intervals only the latest is kept, before the join,
     so an anchor meets at most one row a level, however many intervals its person has or leaves open.
     """
-    day = lambda c: F.unix_date(F.to_date(c)) + DAY_ZERO
+    day = lambda c: F.unix_date(F.to_date(c))
     names = ["start_date", "interval_id", *(c for c in intervals.columns if c not in ("person_id", "start_date", "interval_id"))]
-    last = F.coalesce(day("end_date"), F.lit((1 << LEVELS) - 1))
-    ranges = intervals.where("person_id is not null and start_date is not null").select("person_id", F.struct(*names).alias("_i"), day("start_date").cast("long").alias("_first"), last.cast("long").alias("_last"))
-    ranges = ranges.select("person_id", "_i", F.explode(dyadic_cover("_first", "_last")).alias("_r")).groupBy("person_id", "_r.level", "_r.at").agg(F.max("_i").alias("_i"))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("_day").cast("long"), level).alias("at")))
-    asks = anchors.select("study_id", "person_id", day("anchor_time").alias("_day")).select("study_id", "person_id", F.inline(levels))
+    low, high = anchors.agg(F.min(day("anchor_time")), F.max(day("anchor_time"))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    levels = (high - low + 1).bit_length()  # of the days that anchors have; the rest of an interval meets none
+    first, last = F.greatest(day("start_date"), F.lit(low)) - low, F.least(F.coalesce(day("end_date"), F.lit(high)), F.lit(high)) - low
+    ranges = intervals.where("person_id is not null and start_date is not null").select("person_id", F.struct(*names).alias("_i"), first.cast("long").alias("_first"), last.cast("long").alias("_last"))
+    ranges = ranges.select("person_id", "_i", F.explode(dyadic_cover("_first", "_last", levels)).alias("_r")).groupBy("person_id", "_r.level", "_r.at").agg(F.max("_i").alias("_i"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("_day").cast("long"), level).alias("at")))
+    asks = anchors.select("study_id", "person_id", (day("anchor_time") - low).alias("_day")).select("study_id", "person_id", F.inline(own))
     best = asks.join(ranges, ["person_id", "level", "at"]).groupBy("study_id", "person_id").agg(F.max("_i").alias("_i"))
     return anchors.join(best, ["study_id", "person_id"]).select(*anchors.columns, *(F.col(f"_i.{c}").alias(c) for c in names))
 
