@@ -72,7 +72,8 @@ def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame
 
     An interval is cut into dyadic ranges of days, a day lies in one range of each level, and person and range are the key, so
     anchors and intervals meet only where one holds the other. Of a range's intervals only the latest is kept, before the join,
-    so an anchor meets at most one row a level, however many intervals its person has or leaves open.
+    so an anchor meets at most one row a level, however many intervals its person has or leaves open. Both joins are shuffled:
+    Spark takes an anchor's rows of all levels for as large as its one row in the file, and would broadcast them.
     """
     day = lambda c: F.unix_date(F.to_date(c))
     names = ["start_date", "interval_id", *(c for c in intervals.columns if c not in ("person_id", "start_date", "interval_id"))]
@@ -84,8 +85,8 @@ def encompassing_interval(anchors: DataFrame, intervals: DataFrame) -> DataFrame
     ranges = ranges.select("person_id", "_i", F.explode(dyadic_cover("_first", "_last", levels)).alias("_r")).groupBy("person_id", "_r.level", "_r.at").agg(F.max("_i").alias("_i"))
     own = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("_day").cast("long"), level).alias("at")))
     asks = anchors.select("study_id", "person_id", (day("anchor_time") - low).alias("_day")).select("study_id", "person_id", F.inline(own))
-    best = asks.join(ranges, ["person_id", "level", "at"]).groupBy("study_id", "person_id").agg(F.max("_i").alias("_i"))
-    return anchors.join(best, ["study_id", "person_id"]).select(*anchors.columns, *(F.col(f"_i.{c}").alias(c) for c in names))
+    best = asks.join(ranges.hint("merge"), ["person_id", "level", "at"]).groupBy("study_id", "person_id").agg(F.max("_i").alias("_i"))
+    return anchors.join(best.hint("merge"), ["study_id", "person_id"]).select(*anchors.columns, *(F.col(f"_i.{c}").alias(c) for c in names))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, tolerance_days: float) -> DataFrame:
