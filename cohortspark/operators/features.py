@@ -216,9 +216,11 @@ def to_long(wide: DataFrame, id_col: str = "study_id") -> DataFrame:
 
 
 def record_dates(long: DataFrame, anchors: DataFrame) -> DataFrame:
-    """long with record_date: for labs the anchor less days_since of the same code and window, for counts the latest day."""
-    since = long.where("group = 'labs' and agg = 'days_since'").select("study_id", "vocabulary", "code", "window_days", F.col("value").cast("int").alias("_since"))
-    out = long.join(since, ["study_id", "vocabulary", "code", "window_days"], "left").join(anchors.select("study_id", "anchor_time"), "study_id")
+    """long with record_date: for labs the anchor less days_since of the same code and window, for counts the latest day. Rows of a
+    code and window are still together from their aggregation, so the window moves none and long is made once."""
+    since = F.max(F.when((F.col("group") == "labs") & (F.col("agg") == "days_since"), F.col("value").cast("int")))
+    out = long.withColumn("_since", since.over(Window.partitionBy("study_id", "vocabulary", "code", "window_days")))
+    out = out.join(anchors.select("study_id", "anchor_time"), "study_id")
     date = F.when(F.col("group") == "labs", F.date_sub(F.to_date("anchor_time"), F.col("_since"))).otherwise(F.col("most_recent_date"))
     return out.withColumn("record_date", date).drop("_since", "anchor_time")
 

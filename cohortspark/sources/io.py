@@ -96,15 +96,18 @@ def _write_json(spark: SparkSession, value, path: str, mode: str = "overwrite")
 
 
 def export_matrix(long: DataFrame, studies: DataFrame, spec: dict, folder: str, drop_all_missing: bool = False) -> None:
-    """A feature table (study_id, feature, value) as datasets X, mask, meta (study_id, y, tte_days, event), features and spec."""
-    features = long.groupBy("feature").agg(F.count("value").alias("n_observed"))
+    """A feature table (study_id, feature, value) as datasets X, mask, meta (study_id, y, tte_days, event), features and spec. The
+    table is made once: what is written serves the other datasets."""
+    cells = long.select("study_id", "feature", "value")
     if drop_all_missing:
-        features = features.where("n_observed > 0")
-        long = long.join(features.select("feature"), "feature", "left_semi")
-    long.select("study_id", "feature", "value").write.mode("overwrite").parquet(f"{folder}/X")
-    long.select("study_id", "feature", F.col("value").isNotNull().cast("byte").alias("observed")).write.mode("overwrite").parquet(f"{folder}/mask")
+        cells = written(cells)
+        features = cells.groupBy("feature").agg(F.count("value").alias("n_observed")).where("n_observed > 0")
+        cells = cells.join(features.select("feature"), "feature", "left_semi").select("study_id", "feature", "value")
+    cells.write.mode("overwrite").parquet(f"{folder}/X")
+    stored = long.sparkSession.read.schema(cells.schema).parquet(f"{folder}/X")
+    stored.select("study_id", "feature", F.col("value").isNotNull().cast("byte").alias("observed")).write.mode("overwrite").parquet(f"{folder}/mask")
     studies.write.mode("overwrite").parquet(f"{folder}/meta")
-    features.write.mode("overwrite").parquet(f"{folder}/features")
+    stored.groupBy("feature").agg(F.count("value").alias("n_observed")).write.mode("overwrite").parquet(f"{folder}/features")
     _write_json(long.sparkSession, spec, f"{folder}/spec")
 
 
@@ -120,8 +123,10 @@ def export_timeline(timeline: DataFrame, path: str) -> None:
 
 
 def write_events(events: DataFrame, path: str) -> None:
+    """As Parquet, and from that as CSV: the events are made once."""
     events.write.mode("overwrite").parquet(f"{path}/parquet")
-    events.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    stored = events.sparkSession.read.schema(events.schema).parquet(f"{path}/parquet")
+    stored.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
 def write_by_split(df: DataFrame, path: str, split: str = "split") -> None:
@@ -161,7 +166,8 @@ def validate_source(df: DataFrame, required: list[str]) -> DataFrame:
 
 def fuse_sparse(long: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(study_id, indices, values, size, label; the layout): for each study the values (null as 0, left out) at the features'
-    places and, after them, 1 for every observed one. The layout (feature, place) is in order of names."""
+    places and, after them, 1 for every observed one. The layout (feature, place) is in order of names. long is made once."""
+    long = written(long.select("study_id", "feature", "value"))
     layout = numbered(long.select("feature").distinct(), [F.col("feature")], "place").withColumn("place", F.col("place").cast("int"))
     n = layout.count()
     cells = long.where("value is not null").join(layout, "feature")
