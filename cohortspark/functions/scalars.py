@@ -79,15 +79,25 @@ def severity_inputs(anchors: DataFrame, events: DataFrame, cancer: list, lung: l
     """The score's inputs for each study: whether a code of either set ever occurred up to two days after the anchor, the last
     value of each vital in (t - 10 days, t + 2 days] (ties: the larger), and the age from the first event (year: 365 days).
 
-    events: person_id, code, event_time, value.
+    events: person_id, code, event_time, value. What ever occurred is told by a person's first events, a row a person; only vitals
+    meet the anchors one by one, those of the window.
     """
+    from ..operators.windows import window_join  # which needs this module
+
     until, since = F.col("anchor_time") + F.expr("interval 2 day"), F.col("anchor_time") - F.expr("interval 10 day")
-    rows = anchors.select("study_id", "person_id", "anchor_time").join(events.select("person_id", "code", "event_time", "value"), "person_id", "left").where(F.col("event_time").isNull() | (F.col("event_time") <= until))
-    last = [F.max_by("value", F.when(F.col("code").isin(codes) & (F.col("event_time") > since) & F.col("value").isNotNull(), F.struct("event_time", "value"))).alias(name) for name, codes in vitals.items()]
-    ever = lambda codes: F.coalesce(F.max(F.col("code").isin(codes)), F.lit(False))
-    days = F.floor((F.unix_seconds(F.first(until).cast("timestamp")) - F.unix_seconds(F.min("event_time").cast("timestamp"))) / 86400)
-    out = rows.groupBy("study_id").agg(ever(cancer).alias("cancer"), ever(lung).alias("lung"), (days / 365).alias("age"), *last)
-    return anchors.select("study_id").join(out, "study_id", "left").withColumns({"cancer": F.coalesce("cancer", F.lit(False)), "lung": F.coalesce("lung", F.lit(False))})
+    sets, time = {"cancer": F.col("code").isin(cancer), "lung": F.col("code").isin(lung)}, F.col("event_time")
+    firsts = [f for name, c in sets.items() for f in (F.min(F.when(c, time)).alias(f"_{name}"), F.max(c & time.isNull()).alias(f"_{name}_undated"))]
+    persons = events.groupBy("person_id").agg(F.min("event_time").alias("_first"), *firsts)
+    ever = lambda name: F.coalesce(F.col(f"_{name}") <= until, F.lit(False)) | F.coalesce(f"_{name}_undated", F.lit(False))
+    days = F.floor((F.unix_seconds(until.cast("timestamp")) - F.unix_seconds(F.when(F.col("_first") <= until, F.col("_first")).cast("timestamp"))) / 86400)
+    out = anchors.select("study_id", "person_id", "anchor_time").join(persons, "person_id", "left").select("study_id", ever("cancer").alias("cancer"), ever("lung").alias("lung"), (days / 365).alias("age"))
+    if not vitals:
+        return out
+    wanted = events.select("person_id", "code", "event_time", "value").where(F.col("code").isin([c for codes in vitals.values() for c in codes]) & F.col("value").isNotNull())
+    around = anchors.select("study_id", "person_id", F.col("anchor_time").alias("_anchor"), (F.col("anchor_time") + F.expr("interval 3 day")).alias("anchor_time"))
+    near = window_join(wanted, around, 14).drop("anchor_time").withColumnRenamed("_anchor", "anchor_time").where((time <= until) & (time > since))
+    last = [F.max(F.when(F.col("code").isin(codes), F.struct("event_time", "value"))).getField("value").alias(name) for name, codes in vitals.items()]
+    return out.join(near.groupBy("study_id").agg(*last), "study_id", "left")
 
 
 def missing_inputs(inputs: DataFrame) -> DataFrame:

@@ -15,3 +15,27 @@ def test_encompassing_interval_broadcasts_no_anchors(spark):
     found = W.encompassing_interval(anchors, visits)
     assert "Broadcast" not in plan(found)
     assert {r.study_id for r in found.collect()} == set(range(2, 50))
+
+
+def test_severity_inputs_meet_a_person_once(spark):
+    """Against plain Python, with undated events; a person's events are summed up before they meet the anchors."""
+    import datetime as dt
+    import random
+
+    from cohortspark.functions import scalars
+
+    r, day = random.Random(2), lambda x: dt.datetime(2020, 1, 1) + dt.timedelta(days=x)
+    studies = [(i, r.randint(0, 6) if i % 9 else None, day(r.randint(0, 80) / 2)) for i in range(60)]
+    rows = [(r.randint(0, 5), r.choice("clvwx"), day(r.randint(0, 90) / 2) if i % 8 else None, r.choice([None, 1.0, 2.0, 3.0])) for i in range(40)]
+    anchors = spark.createDataFrame(studies, "study_id int, person_id int, anchor_time timestamp_ntz")
+    events = spark.createDataFrame(rows, "person_id int, code string, event_time timestamp_ntz, value double")
+    df = scalars.severity_inputs(anchors, events, ["c"], ["l"], {"v": ["v", "x"], "w": ["w"]})
+    assert "keys=[person_id" in plan(df)
+    for got in df.collect():
+        _, person, at = studies[got.study_id]
+        until, since = at + dt.timedelta(days=2), at - dt.timedelta(days=10)
+        own = [x for x in rows if x[0] == person and (x[2] is None or x[2] <= until)]
+        last = lambda codes: max(((x[2], x[3]) for x in own if x[1] in codes and x[2] and x[2] > since and x[3] is not None), default=(0, None))[1]
+        first = min((x[2] for x in own if x[2]), default=None)
+        assert (got.cancer, got.lung, got.v, got.w) == (any(x[1] == "c" for x in own), any(x[1] == "l" for x in own), last("vx"), last("w"))
+        assert got.age == (None if first is None else (until - first).days / 365)
