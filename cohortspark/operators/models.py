@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 
 from pyspark.ml.classification import LogisticRegression
@@ -18,9 +17,6 @@ from .splits import fold_role, own_folds
 
 #: Depths (0: no bound), learning rates and leaves that the surveyed job searches, and its rounds.
 DEPTHS, RATES, LEAVES, ROUNDS = (3, 6, 0), (0.02, 0.1, 0.5), (10, 25, 100), 100
-#: Rows that a partition of training rows should hold at least: every pass is a job, whose fixed cost grows with its tasks.
-ROWS_A_PARTITION = 50_000
-
 
 def tree_grid() -> list[dict]:
     """All 27 combinations of the surveyed grid."""
@@ -42,16 +38,20 @@ def _searched(df: DataFrame, roles: list[Column], grid: list[dict], rounds: int)
     kept = written(df.withColumn("_row", F.monotonically_increasing_id()))
     used = lambda r: F.lpad(F.when(F.col("label").isNull(), boosting.TEST).otherwise(r).cast("string"), 2, "0")
     rows = kept.select("_row", F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label"), F.unhex(F.concat(*map(used, roles))).alias("_roles"), vector_to_array("features").alias("x"))
-    rows, width = boosting.binned(rows.coalesce(max(1, math.ceil(rows.count() / ROWS_A_PARTITION))), "x")
+    rows, width = boosting.binned(rows, "x")
+    rows = written(rows)
     models = [boosting.Model(s, p["depth"], p["rate"], p["leaves"]) for s in range(len(roles)) for p in grid]
     state = boosting.boost(rows, width, models, rounds)
     said = written(boosting.probabilities(state, df.sparkSession))
     state.unpersist()
-    each = said.select("label", "roles", F.posexplode("probs").alias("model", "prob")).where(F.get("roles", F.expr(f"model div {len(grid)}")) == boosting.VALID)
+    own = F.array_compact(F.array(*(F.when(F.substring("_roles", s + 1, 1) == F.lit(bytes([boosting.VALID])), s) for s in range(len(roles)))))
+    each = rows.select("label", "_bins", F.explode(own).alias("_set")).join(said, "_bins")
+    each = each.select("label", "_set", F.posexplode(F.slice("probs", F.col("_set") * len(grid) + 1, len(grid))).alias("_point", "prob"))
+    each = each.select("label", (F.col("_set") * len(grid) + F.col("_point")).alias("model"), "prob")
     scores = {r.model: r.auroc for r in auroc(each, ["model"]).collect()}
     first = [max(range(s * len(grid), (s + 1) * len(grid)), key=lambda m: (-1.0 if scores.get(m) is None else scores[m], -m)) for s in range(len(roles))]
     best = F.array(*(F.element_at("probs", m + 1) for m in first))
-    found = kept.join(said.select("_row", best.alias("prob")), "_row").drop("_row")
+    found = kept.join(rows.select("_row", "_bins").join(said.select("_bins", best.alias("prob")), "_bins").drop("_bins"), "_row").drop("_row")
     return found, [(grid[m % len(grid)], float("nan") if scores.get(m) is None else scores[m]) for m in first]
 
 

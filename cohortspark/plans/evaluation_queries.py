@@ -210,9 +210,10 @@ def fusion_equations(spark, d):
 
 
 def _features(spark, d):
-    docs = B.read(spark, d, "documents").join(B.read(spark, d, "labels"), "doc_id")
-    words = F.size(F.split("text", " "))
-    df = docs.select(F.col("doc_id").alias("patient_id"), F.col("quality").cast("double").alias("label"), F.log1p(F.col("n_chars").cast("double")).alias("a"), (F.length("text") / words).alias("b"), F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "valid").otherwise("test").alias("split"))
+    words = F.size(F.split("text", " "))  # numbers are made of the texts before these would be shuffled
+    docs = B.read(spark, d, "documents").select("doc_id", F.log1p(F.col("n_chars").cast("double")).alias("a"), (F.length("text") / words).alias("b"))
+    docs = docs.join(B.read(spark, d, "labels"), "doc_id")
+    df = docs.select(F.col("doc_id").alias("patient_id"), F.col("quality").cast("double").alias("label"), "a", "b", F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "valid").otherwise("test").alias("split"))
     return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).drop("a", "b")
 
 

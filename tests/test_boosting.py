@@ -146,3 +146,24 @@ def test_passes_do_not_grow_with_models(spark, table, monkeypatch):
     one = len(calls)
     M.train_trees_cv(df, "patient_id", 4, [dict(POINTS[1], rate=x) for x in (0.1, 0.2, 0.3)], rounds=2)
     assert len(calls) - one <= one
+
+
+def test_few_cells_need_no_pass(spark, table, monkeypatch):
+    """Rows with the same bins are one cell; up to AT_ONCE of them no job is a pass, and beyond passes find the same."""
+    df, _, _ = table
+    df = df.unionByName(df)  # every cell has two rows at least
+    with monkeypatch.context() as m:
+        m.setattr(B, "best_splits", lambda *a: pytest.fail("a pass"))
+        alone, point, score = M.train_trees(df, POINTS[:2], rounds=3)
+        got = [(r.patient_id, r.prob) for r in alone.orderBy("patient_id").collect()]
+    monkeypatch.setattr(B, "AT_ONCE", 0)
+    together, point_, score_ = M.train_trees(df, POINTS[:2], rounds=3)
+    want = [(r.patient_id, r.prob) for r in together.orderBy("patient_id").collect()]
+    assert len(got) == 840 and [k for k, _ in got] == [k for k, _ in want] and np.allclose([p for _, p in got], [p for _, p in want], atol=1e-9)
+    assert point == point_ and score == pytest.approx(score_)
+
+
+def test_cells_hold_all_train_rows(spark):
+    rows = spark.createDataFrame([(float(i % 2), bytearray([i % 3, 0]), bytearray([i % 2, 2])) for i in range(600)], "label double, _bins binary, _roles binary")
+    got = {bytes(r._bins): (r.n, r.positive) for r in B.cells(rows, 2).collect()}
+    assert got == {bytes([k, 0]): ([100.0, 0.0], [0.0, 0.0]) for k in range(3)}
