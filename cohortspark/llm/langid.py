@@ -15,8 +15,6 @@ from .common import text_batches
 
 #: Bins of hashed n-grams.
 BINS = 1 << 15
-#: Documents of each language that the likelihoods are counted from, about: the bound of the sample.
-PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 
 #: Letters are Unicode's category L; a word character may also be a number such as one half, which isn't one.
@@ -109,20 +107,11 @@ class MixtureModel:
         return [(self.languages[chosen[i]], float(share[i])) for i in np.argsort(-share, kind="stable")]
 
 
-def sampled(rows: DataFrame, group: str, most: int, seed: int = 3) -> DataFrame:
-    """About `most` rows of each value of `group` (few values, as of a label): those whose id has a small seeded hash."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    if not sizes:
-        return rows.limit(0)
-    fraction = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))))
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < fraction[F.col(group)] * 1_000_000)
-
-
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> MixtureModel:
-    """Likelihoods from about per_language documents of each label (doc_id, text, label; null texts and labels don't count):
-    the only part that sees a sample. Tasks count their rows; only sums of n-gram bins by language leave them."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    rows = sampled(text_batches(rows), "label", per_language).select("label", "text")
+def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> MixtureModel:
+    """Likelihoods from all documents with a label (doc_id, text, label; null texts and labels don't count). Tasks count their
+    rows; only sums of n-gram bins by language leave them."""
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    rows = text_batches(rows).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
-from .langid import sampled
+from ..operators.running import cumulated, value_part
+from .common import removed, small, text_batches, written
 
-#: Labelled rows of each class that the classifier is fit on, about: the bound of the sample.
+#: Labelled rows of each class, about, that the driver fits a first model to; where there are more, all rows refine it.
 PER_CLASS = 2000
+#: Passes of all labelled rows, and rows of a task that takes steps by itself.
+PASSES, ROWS_A_TASK = 2, 8192
 #: Rows of the embedding table, its dimensions, filters of each width, and bytes of the word beginnings hashed beside words.
 SLOTS, DIMENSIONS, WIDTHS, FILTERS, BEGINNINGS = 1 << 18, 8, (1, 2, 3), 8, (4, 5, 6, 7)
 #: Bins of words by which the language of a text is told.
@@ -101,6 +103,41 @@ class ConvolutionalClassifier:
     language_likelihood: np.ndarray | None = None  # bin x language, logarithms
     thresholds: np.ndarray | None = None
     constant: float | None = None  # where the labels had one class only
+    memory: dict | None = None  # sums of squared gradients, for more steps
+
+    def parameters(self) -> np.ndarray:
+        """All weights and then, beside them, the sums of their squared gradients: (row, 16). Rows of the table come first."""
+        names = ["out", *(f"{k}{w}" for w in WIDTHS for k in "wb"), "out_bias"]
+        weights = [self.out, *(x[w] for w in WIDTHS for x in (self.filters, self.bias)), np.array([self.out_bias])]
+        past = [np.broadcast_to(self.memory.get(n, 1e-8), np.shape(w)) for n, w in zip(names, weights)]
+        flat = [np.concatenate([np.ravel(x) for x in part]) for part in (weights, past)]
+        rest = np.zeros((-(-len(flat[0]) // DIMENSIONS), 2 * DIMENSIONS))
+        for k, x in enumerate(flat):
+            rest[:, k * DIMENSIONS : (k + 1) * DIMENSIONS] = np.pad(x, (0, -len(x) % DIMENSIONS)).reshape(-1, DIMENSIONS)
+        table = np.concatenate([self.table, self.memory.get("table", np.full_like(self.table, 1e-8))], 1)
+        return np.concatenate([table, rest.astype(np.float64)])
+
+    def of_parameters(self, p: np.ndarray) -> ConvolutionalClassifier:
+        """This classifier with other `parameters`."""
+        size, out = len(self.table), replace(self, filters={}, bias={}, memory={})
+        out.table, out.memory["table"] = p[:size, :DIMENSIONS].astype(np.float32), p[:size, DIMENSIONS:].astype(np.float32)
+        weights, past = (np.ravel(p[size:, k * DIMENSIONS : (k + 1) * DIMENSIONS]) for k in (0, 1))
+        at = 0
+
+        def taken(name: str, like: np.ndarray) -> np.ndarray:
+            nonlocal at
+            end = at + np.size(like)
+            out.memory[name] = past[at:end].reshape(np.shape(like))
+            found = weights[at:end].reshape(np.shape(like)).astype(np.float32)
+            at = end
+            return found
+
+        out.out = taken("out", self.out)
+        for w in WIDTHS:
+            out.filters[w], out.bias[w] = taken(f"w{w}", self.filters[w]), taken(f"b{w}", self.bias[w])
+        out.out_bias = float(taken("out_bias", np.zeros(1))[0])
+        out.memory["out_bias"] = float(out.memory["out_bias"][0])
+        return out
 
     @classmethod
     def new(cls, seed: int = 5) -> ConvolutionalClassifier:
@@ -169,7 +206,9 @@ class ConvolutionalClassifier:
         dt = np.zeros((len(rows), DIMENSIONS), np.float32)
         np.add.at(dt, at.reshape(len(touched), -1), de[touched][:, None, :])
         rows, dt = rows[rows >= 0], dt[rows >= 0]
-        past = memory.setdefault("table", np.full_like(self.table, 1e-8))
+        if "table" not in memory:
+            memory["table"] = np.full_like(self.table, 1e-8)
+        past = memory["table"]
         past[rows] += dt**2
         self.table[rows] -= rate * dt / np.sqrt(past[rows])
         for m in moves:
@@ -225,6 +264,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, languages: list[s
             part = fit[i : i + batch]
             words = split_words([texts[j] for j in part])
             model.step(words, y[part], balance[part], rate, memory, r.random(len(words.distinct)) >= dropped)
+    model.memory = memory
     model.languages = sorted({x for x in languages if x is not None})
     counts = np.full((LANGUAGE_BINS, max(1, len(model.languages))), 0.5)
     for i, j in chunks(texts):
@@ -249,24 +289,120 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, languages: list[s
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 3) -> ConvolutionalClassifier:
-    """A classifier from about per_class labelled rows of each class: labels (doc_id, toxic), docs (doc_id, text, lang).
+    """A classifier from all labelled rows: labels (doc_id, toxic), docs (doc_id, text, lang).
 
     Rows without label, text or partner don't count; of several labels of a document the highest does, of several texts the
-    least. Only this sample (its bound is the parameter) comes to the driver; a quarter of it sets the thresholds.
+    least. About per_class rows of each class come to the driver for a first model. If these aren't all, the weights, the words
+    of languages and the thresholds then come from all rows, in tasks; a quarter of the rows sets the thresholds.
     """
     labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
-    chosen = sampled(labels, "toxic", per_class, seed)
-    if sum(min(n, 2 * per_class) for n in sizes.values()) <= 8 * PER_CLASS:
-        chosen = F.broadcast(chosen)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(chosen, "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(small(labels), "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "toxic", "one.*")
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(4)) == 0
-    got = rows.select("doc_id", "text", "lang", "toxic", part.alias("held")).toPandas().sort_values(["doc_id", "text"])
+    rows, path = written(rows.select("doc_id", "text", "lang", "toxic", part.alias("held")), "labelled")
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    share = F.create_map(*(F.lit(x) for c in (0, 1) for x in (c, min(1.0, per_class / max(1, sizes.get(c, 0))))))
+    first = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share[F.col("toxic")] * 1_000_000)
+    got = first.toPandas().sort_values(["doc_id", "text"])
     y = got["toxic"].to_numpy(int)
     sizes_in = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([sizes.get(c, 0) / sizes_in[c] for c in y], float)
-    return train(list(got["text"]), y, weight, [x if isinstance(x, str) else None for x in got["lang"]], got["held"].to_numpy(bool))
+    model = train(list(got["text"]), y, weight, [x if isinstance(x, str) else None for x in got["lang"]], got["held"].to_numpy(bool))
+    if len(got) < sum(sizes.values()) and model.constant is None:
+        model = refined(model, text_batches(rows), sizes)
+    removed(docs.sparkSession, path)
+    return model if model is None else replace(model, memory=None)
+
+
+def refined(model: ConvolutionalClassifier, rows: DataFrame, sizes: dict[int, int], passes: int = PASSES) -> ConvolutionalClassifier:
+    """The model after passes over all rows (doc_id, text, lang, toxic, held), with the words of languages and thresholds of all.
+
+    In a pass each task starts from the same model and takes steps over its own rows; a weight becomes the mean of what the tasks
+    that moved it made of it (iterative parameter mixing). Tasks get and give a model, whose size is fixed, never rows.
+    """
+    tasks, context = -(-sum(sizes.values()) // ROWS_A_TASK), rows.sparkSession.sparkContext
+    balance = {c: 0.5 * sum(sizes.values()) / max(1, n) for c, n in sizes.items()}
+    names = [f"p{i}" for i in range(2 * DIMENSIONS)]
+    fits = rows.where("not held").select("doc_id", "text", "toxic").repartition(tasks, "doc_id")
+    for k in range(passes):
+        told = context.broadcast((model, model.parameters()))
+
+        def moved(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
+            start, before = told.value
+            own, r = start.of_parameters(before), np.random.default_rng(k)
+            steps = 0
+            for batch in batches:
+                texts, y = list(batch["text"]), batch["toxic"].to_numpy(int)
+                order, weight = r.permutation(len(y)), np.array([balance[c] for c in y])
+                for i in range(0, len(y), 32):
+                    part = order[i : i + 32]
+                    words = split_words([texts[j] for j in part])
+                    own.step(words, y[part], weight[part], 0.05, own.memory, r.random(len(words.distinct)) >= 0.5)
+                    steps += 1
+            if steps:
+                after = own.parameters()
+                rows_ = np.flatnonzero((after != before).any(1))
+                yield pd.DataFrame(after[rows_], columns=names).assign(slot=rows_)
+
+        mean = fits.mapInPandas(moved, ", ".join(f"{n} double" for n in names) + ", slot long").groupBy("slot").agg(*(F.avg(n).alias(n) for n in names)).toPandas()
+        p = told.value[1].copy()
+        p[mean["slot"].to_numpy(int)] = mean[names].to_numpy(float)
+        model = model.of_parameters(p)
+        told.unpersist()
+    model = replace(model, memory=None)
+    model = with_languages(model, rows)
+    model.thresholds = thresholds(model, rows)
+    return model
+
+
+def with_languages(model: ConvolutionalClassifier, rows: DataFrame) -> ConvolutionalClassifier:
+    """The model with likelihoods of the words of all rows in each language."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, own in batch.groupby("lang"):
+                texts = list(own["text"])
+                for i, j in chunks(texts):
+                    words = split_words(texts[i:j])
+                    sums[lang] = sums.get(lang, 0) + np.bincount(words.bins[words.distinct], minlength=LANGUAGE_BINS)
+        for lang, n in sums.items():
+            yield pd.DataFrame({"lang": lang, "bin": np.arange(LANGUAGE_BINS), "n": n})
+
+    counted = rows.where("lang is not null").select("lang", "text").mapInPandas(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(counted["lang"].unique())
+    counts = np.full((LANGUAGE_BINS, max(1, len(languages))), 0.5)
+    counts[counted["bin"].to_numpy(int), [languages.index(x) for x in counted["lang"]]] += counted["n"].to_numpy(float)
+    return replace(model, languages=languages, language_likelihood=np.log(counts / counts.sum(0)))
+
+
+def thresholds(model: ConvolutionalClassifier, rows: DataFrame) -> np.ndarray:
+    """The cut of each language as in `best_threshold`, from the held rows (all, if these have one class only). Rows are summed up
+    by their logit and ordered in parts."""
+    told = rows.sparkSession.sparkContext.broadcast(model)
+
+    def said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = list(batch["text"])
+            for i, j in chunks(texts):
+                words = split_words(texts[i:j])
+                yield pd.DataFrame({"lang": told.value.language_of(words), "logit": told.value.logits(words).astype(float), "y": batch["toxic"].to_numpy(int)[i:j]})
+
+    held = rows.where("held")
+    if held.select("toxic").distinct().count() < 2:
+        held = rows
+    each = held.select("text", "toxic").mapInPandas(said, "lang long, logit double, y long").select(F.explode(F.array(F.lit(-1).cast("long"), "lang")).alias("lang"), (-F.col("logit")).alias("key"), "y")
+    each = each.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hit"))
+    c = cumulated(each, ["lang"], "key", ["n", "hit"], value_part(F.col("key")))
+    upto = lambda x: F.coalesce(f"{x}_before", F.lit(0)) + F.col(x)
+    c, path = written(c.select("lang", "key", "n_all", "hit_all", (2 * upto("hit") / (upto("n") + F.col("hit_all"))).alias("f1")), "cuts")
+    best = c.groupBy("lang").agg(F.max(F.struct("f1", -F.col("key"))).alias("b"), F.max("n_all").alias("n"), F.max("hit_all").alias("hit")).select("lang", (-F.col("b").getField("col2")).alias("at"), "n", "hit")
+    found = {r.lang: r for r in c.join(F.broadcast(best), "lang").groupBy("lang", "at", "n", "hit").agg(F.min(F.when(F.col("key") > F.col("at"), F.col("key"))).alias("next")).collect()}  # a row a language
+    cut = lambda r: -r.at - 1 if r.next is None else -(r.at + r.next) / 2
+    own = {k: cut(r) for k, r in found.items() if k == -1 or min(r.hit, r.n - r.hit) >= 5}
+    removed(rows.sparkSession, path)
+    told.unpersist()
+    return np.array([own.get(i, own[-1]) for i in range(max(1, len(model.languages)))])
 
 
 def scored(model: ConvolutionalClassifier, text: str = "text") -> Column:

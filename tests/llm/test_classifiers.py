@@ -102,3 +102,37 @@ def test_no_languages(spark, documents):
     df = documents([(1, "abc")])
     assert langid.identify(df, langid.fit(df)).first().lang_pred == "und"
     assert langid.identify(documents([]), langid.fit(documents([]))).count() == 0
+
+
+def test_all_labelled_rows_are_learned_from(spark, documents):
+    """A word that only rows beyond the driver's share have tells as much as one of these."""
+    r = random.Random(4)
+    rows = [(i, text(r, "aa") + (f" vile{i % 40:02}" if i % 3 == 0 else ""), "aa") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    df = documents(rows)
+    model = toxicity.fit(df, labels, per_class=30)
+    assert model.memory is None and model.languages == ["aa"]
+    got = {x.doc_id: x.predicted for x in toxicity.score(df, model).collect()}
+    assert np.mean([got[i] == int(i % 3 == 0) for i in range(3000)]) > 0.97
+    # counts are of all rows' words, thresholds the best cut of all held rows
+    whole = toxicity.split_words([t for _, t, _ in rows])
+    n = np.bincount(whole.bins[whole.distinct], minlength=toxicity.LANGUAGE_BINS) + 0.5
+    assert np.allclose(model.language_likelihood[:, 0], np.log(n / n.sum()))
+
+
+def test_thresholds_of_tasks(spark, documents):
+    r = random.Random(6)
+    texts = [text(r, "aa", 12, i % 4 == 0) for i in range(400)]
+    y = np.array([int(i % 4 == 0) for i in range(400)])
+    model = toxicity.train(texts, y, np.ones(400), ["aa"] * 400, np.arange(400) % 4 == 1, epochs=1)
+    df = spark.createDataFrame([(t, int(c), i % 2 == 0) for i, (t, c) in enumerate(zip(texts, y))], "text string, toxic int, held boolean")
+    logit = model.logits(toxicity.split_words(texts[::2])).astype(float)
+    assert toxicity.thresholds(model, df) == pytest.approx([toxicity.best_threshold(logit, y[::2], np.ones(200))], abs=1e-5)
+    again = model.of_parameters(model.parameters())
+    assert np.allclose(again.logits(toxicity.split_words(texts)), model.logits(toxicity.split_words(texts)), atol=1e-6)
+
+
+def test_languages_of_all_documents(spark, documents):
+    rows = [(i, "ka lo mi", "aa") for i in range(2500)] + [(5000 + i, "zu gar", "bb") for i in range(10)]
+    n = np.stack([2500 * np.bincount(langid.ngram_bins("ka lo mi"), minlength=langid.BINS), 10 * np.bincount(langid.ngram_bins("zu gar"), minlength=langid.BINS)])
+    assert np.allclose(langid.fit(documents(rows)).likelihood, langid.MixtureModel.of(["aa", "bb"], n).likelihood)
