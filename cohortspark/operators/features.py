@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schemas import ASIAN, BLACK, DEFAULT_WINDOWS, FEMALE, HISPANIC, LAB_AGGREGATES, MALE, NOT_HISPANIC, WHITE
 from .windows import window_join
 
+#: Anchor days of a person that meet counts together.
+TURNS = 16
+
 LONG = ["study_id", "group", "vocabulary", "code", "agg", "window_days", "value", "most_recent_date"]
 
 
@@ -74,8 +77,9 @@ def history_features(events: DataFrame, anchors: DataFrame, edges: DataFrame, pe
     """Counts of all events before the anchor's day by code and by every ancestor of it (descendant, ancestor), plus the age.
 
     Anchors don't multiply events: those of a day are counted, and belong to the person's first anchor day after it. Running
-    sums over the anchor days that a code has events for make the counts, which hold until the next such day, so a row
-    is made for each study and code, and none for an event and study. Codes of a person are keys of their own.
+    sums over the anchor days that a code has events for make the counts, which hold until the next such day. A count meets the
+    studies of its days as one row for each TURNS anchor days that it reaches, so a row for each study and code is only made
+    after the last shuffle and sort, and none for an event and study. Codes of a person are keys of their own.
     """
     day = lambda c: F.unix_date(F.to_date(c))
     studies = anchors.where("person_id is not null and anchor_time is not null").select("study_id", "person_id", day("anchor_time").alias("day"))
@@ -83,15 +87,15 @@ def history_features(events: DataFrame, anchors: DataFrame, edges: DataFrame, pe
     daily = events.where("event_time is not null").groupBy("person_id", "concept_id", day("event_time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     turn = F.size(F.filter("days", lambda d: d <= F.col("day")))
     own = daily.join(turns, "person_id").select("person_id", "concept_id", turn.alias("turn"), F.size("days").alias("turns"), "n").where("turn < turns")
-    own = own.groupBy("person_id", "concept_id", "turn").agg(F.sum("n").alias("n"), F.max("turns").alias("turns"))
     up = own.join(edges.select(F.col("descendant").alias("concept_id"), "ancestor"), "concept_id").select("person_id", F.col("ancestor").alias("concept_id"), "turn", "n", "turns")
     both = own.unionByName(up).groupBy("person_id", "concept_id", "turn").agg(F.sum("n").alias("n"), F.max("turns").alias("turns"))
     along = Window.partitionBy("person_id", "concept_id").orderBy("turn")  # a row an anchor day, at most
     until = F.coalesce(F.lead("turn").over(along), F.col("turns")) - 1
     held = both.withColumns({"value": F.sum("n").over(along).cast("double"), "until": until})
-    held = held.select("person_id", "concept_id", "value", F.explode(F.sequence("turn", "until")).alias("turn"))
-    placed_ = studies.join(turns, "person_id").select("study_id", "person_id", (F.array_position("days", F.col("day")) - 1).cast("int").alias("turn"))
-    counts = placed_.join(held, ["person_id", "turn"]).select("study_id", "concept_id", "value")
+    bucket = lambda c: F.expr(f"{c} div {TURNS}")
+    held = held.select("person_id", "concept_id", "value", F.col("turn").alias("_first"), "until", F.explode(F.sequence(bucket("turn"), bucket("until"))).alias("_bucket"))
+    placed_ = studies.join(turns, "person_id").select("study_id", "person_id", (F.array_position("days", F.col("day")) - 1).cast("int").alias("turn")).withColumn("_bucket", bucket("turn"))
+    counts = placed_.join(held, ["person_id", "_bucket"]).where("turn between _first and until").select("study_id", "concept_id", "value")
     age = anchors.join(persons.select("person_id", "birth_time"), "person_id").select("study_id", F.lit(None).cast("long").alias("concept_id"), age_years(F.col("birth_time"), F.col("anchor_time")).alias("value"))
     return counts.withColumn("feature", F.lit("count")).unionByName(age.withColumn("feature", F.lit("age")))
 

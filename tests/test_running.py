@@ -204,3 +204,20 @@ def test_day_bits(spark):
                         if down == c and level <= 2:
                             days.setdefault((s, up), set()).add(n)
         assert got == {k: (len(v), min(v)) for k, v in days.items()}
+
+
+def test_histories_meet_studies_as_buckets(spark):
+    """A count that holds for many anchor days is a row for each TURNS of them, not one for each, where it meets the studies."""
+    import datetime as dt
+
+    from cohortspark.operators import features as X
+
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=i)
+    e = spark.createDataFrame([(1, 7, day(0)), (1, 7, day(20)), (1, 8, day(39))], "person_id long, concept_id long, event_time timestamp")
+    a = spark.createDataFrame([(i, 1, day(i)) for i in range(40)], "study_id long, person_id long, anchor_time timestamp")
+    g = spark.createDataFrame([(7, 70), (8, 70)], "descendant long, ancestor long")
+    persons = spark.createDataFrame([(1, day(-9000))], "person_id long, birth_time timestamp")
+    out = X.history_features(e, a, g, persons).where("feature = 'count'")
+    want = {(i, c): float((i > 0) + (i > 20)) for i in range(1, 40) for c in (7, 70)}
+    assert {(r.study_id, r.concept_id): r.value for r in out.collect()} == want
+    assert "explode(sequence(turn#" not in out._jdf.queryExecution().optimizedPlan().toString()
