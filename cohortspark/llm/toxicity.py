@@ -106,20 +106,20 @@ class ConvolutionalClassifier:
     memory: dict | None = None  # sums of squared gradients, for more steps
 
     def parameters(self) -> np.ndarray:
-        """All weights and then, beside them, the sums of their squared gradients: (row, 16). Rows of the table come first."""
+        """All weights and then, beside them, the sums of their squared gradients: (row, 16), 17 MB. Rows of the table come first."""
         names = ["out", *(f"{k}{w}" for w in WIDTHS for k in "wb"), "out_bias"]
         weights = [self.out, *(x[w] for w in WIDTHS for x in (self.filters, self.bias)), np.array([self.out_bias])]
         past = [np.broadcast_to(self.memory.get(n, 1e-8), np.shape(w)) for n, w in zip(names, weights)]
         flat = [np.concatenate([np.ravel(x) for x in part]) for part in (weights, past)]
-        rest = np.zeros((-(-len(flat[0]) // DIMENSIONS), 2 * DIMENSIONS))
+        rest = np.zeros((-(-len(flat[0]) // DIMENSIONS), 2 * DIMENSIONS), np.float32)
         for k, x in enumerate(flat):
             rest[:, k * DIMENSIONS : (k + 1) * DIMENSIONS] = np.pad(x, (0, -len(x) % DIMENSIONS)).reshape(-1, DIMENSIONS)
         table = np.concatenate([self.table, self.memory.get("table", np.full_like(self.table, 1e-8))], 1)
-        return np.concatenate([table, rest.astype(np.float64)])
+        return np.concatenate([table, rest])
 
     def of_parameters(self, p: np.ndarray) -> ConvolutionalClassifier:
-        """This classifier with other `parameters`."""
-        size, out = len(self.table), replace(self, filters={}, bias={}, memory={})
+        """This classifier, whose own table isn't looked at, with other `parameters`."""
+        size, out = SLOTS + 1, replace(self, filters={}, bias={}, memory={})
         out.table, out.memory["table"] = p[:size, :DIMENSIONS].astype(np.float32), p[:size, DIMENSIONS:].astype(np.float32)
         weights, past = (np.ravel(p[size:, k * DIMENSIONS : (k + 1) * DIMENSIONS]) for k in (0, 1))
         at = 0
@@ -318,14 +318,17 @@ def refined(model: ConvolutionalClassifier, rows: DataFrame, sizes: dict[int, in
     """The model after passes over all rows (doc_id, text, lang, toxic, held), with the words of languages and thresholds of all.
 
     In a pass each task starts from the same model and takes steps over its own rows; a weight becomes the mean of what the tasks
-    that moved it made of it (iterative parameter mixing). Tasks get and give a model, whose size is fixed, never rows.
+    that moved it made of it (iterative parameter mixing). Tasks get and give a model, whose size is fixed, never rows. The driver
+    holds one model, sends it once a pass and drops what it sent after it.
     """
     tasks, context = -(-sum(sizes.values()) // ROWS_A_TASK), rows.sparkSession.sparkContext
     balance = {c: 0.5 * sum(sizes.values()) / max(1, n) for c, n in sizes.items()}
     names = [f"p{i}" for i in range(2 * DIMENSIONS)]
     fits = rows.where("not held").select("doc_id", "text", "toxic").repartition(tasks, "doc_id")
+    p = model.parameters()
+    model = replace(model, table=model.table[:0], memory=None)
     for k in range(passes):
-        told = context.broadcast((model, model.parameters()))
+        told = context.broadcast((model, p))
 
         def moved(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
             start, before = told.value
@@ -342,14 +345,14 @@ def refined(model: ConvolutionalClassifier, rows: DataFrame, sizes: dict[int, in
             if steps:
                 after = own.parameters()
                 rows_ = np.flatnonzero((after != before).any(1))
-                yield pd.DataFrame(after[rows_], columns=names).assign(slot=rows_)
-
-        mean = fits.mapInPandas(moved, ", ".join(f"{n} double" for n in names) + ", slot long").groupBy("slot").agg(*(F.avg(n).alias(n) for n in names)).toPandas()
-        p = told.value[1].copy()
-        p[mean["slot"].to_numpy(int)] = mean[names].to_numpy(float)
-        model = model.of_parameters(p)
-        told.unpersist()
-    model = replace(model, memory=None)
+                yield pd.DataFrame(after[rows_], columns=names).assign(slot=rows_.astype(np.int32))
+
+        mean = fits.mapInPandas(moved, ", ".join(f"{n} float" for n in names) + ", slot int").groupBy("slot").agg(*(F.avg(n).cast("float").alias(n) for n in names)).toArrow()
+        for j, n in enumerate(names):
+            p[mean["slot"].to_numpy(), j] = mean[n].to_numpy()
+        told.destroy()
+        del mean
+    model = replace(model.of_parameters(p), memory=None)
     model = with_languages(model, rows)
     model.thresholds = thresholds(model, rows)
     return model
@@ -401,7 +404,7 @@ def thresholds(model: ConvolutionalClassifier, rows: DataFrame) -> np.ndarray:
     cut = lambda r: -r.at - 1 if r.next is None else -(r.at + r.next) / 2
     own = {k: cut(r) for k, r in found.items() if k == -1 or min(r.hit, r.n - r.hit) >= 5}
     removed(rows.sparkSession, path)
-    told.unpersist()
+    told.destroy()
     return np.array([own.get(i, own[-1]) for i in range(max(1, len(model.languages)))])
 
 

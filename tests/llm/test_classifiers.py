@@ -1,3 +1,5 @@
+import os
+import pickle
 import random
 import zlib
 
@@ -132,6 +134,27 @@ def test_thresholds_of_tasks(spark, documents):
     assert np.allclose(again.logits(toxicity.split_words(texts)), model.logits(toxicity.split_words(texts)), atol=1e-6)
 
 
+def test_refining_holds_one_model(spark, monkeypatch):
+    """What goes to the tasks is one model in single precision, and the driver drops it after each pass."""
+    sent, own = [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        sent.append((len(pickle.dumps(value)), own(self, value)))
+        return sent[-1][1]
+
+    r = random.Random(7)
+    rows = [(i, text(r, "aa", 12, i % 4 == 0), "aa", int(i % 4 == 0), i % 3 == 0) for i in range(200)]
+    texts, y = [x[1] for x in rows], np.array([x[3] for x in rows])
+    first = toxicity.train(texts, y, np.ones(200), ["aa"] * 200, np.arange(200) % 3 == 0, epochs=1)
+    before = first.parameters()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int, held boolean")
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    model = toxicity.refined(first, df, {0: 150, 1: 50})
+    assert len(sent) == toxicity.PASSES + 1 and max(n for n, _ in sent) < 18_000_000
+    assert not any(os.path.exists(b._path) for _, b in sent)
+    assert np.array_equal(first.parameters(), before) and (model.table != first.table).any()
+
+
 def test_languages_of_all_documents(spark, documents):
     rows = [(i, "ka lo mi", "aa") for i in range(2500)] + [(5000 + i, "zu gar", "bb") for i in range(10)]
     n = np.stack([2500 * np.bincount(langid.ngram_bins("ka lo mi"), minlength=langid.BINS), 10 * np.bincount(langid.ngram_bins("zu gar"), minlength=langid.BINS)])
