@@ -107,6 +107,17 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, default) -> DataF
     return df.join(last, on, "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
+def distinct_of(rows: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
+    """The distinct (key, value) of rows whose key is in keys.
+
+    One sort by both columns tells a key's repeated values and serves the join, which only asks whether a key is there: a task
+    holds no table of all distinct rows, which aggregations would hold twice, before and after they merge.
+    """
+    along = Window.partitionBy(key).orderBy(value)
+    same = F.col(value).eqNullSafe(F.lag(value).over(along)) & (F.row_number().over(along) > 1)
+    return rows.select(key, value, same.alias("_same")).where("not _same").select(key, value).join(keys, key, "left_semi")
+
+
 def merge_crosswalks(key: str, *sources: DataFrame) -> DataFrame:
     """Union of crosswalks in which a later source's row replaces an earlier one's for the same key."""
     parts = [s.withColumn("_p", F.lit(i)) for i, s in enumerate(sources)]

@@ -156,8 +156,8 @@ def merge_crosswalks(spark, d):
 
 @query("SELECT o_orderkey AS study_id, p_brand FROM orders JOIN (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey")
 def crosswalk_join(spark, d):
-    items = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return B.read(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("study_id"), "p_brand").distinct()
+    items = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("study_id"), "p_brand")
+    return K.distinct_of(items, B.read(spark, d, "orders").select(F.col("o_orderkey").alias("study_id")), "study_id", "p_brand")
 
 
 @query("SELECT c_custkey, split_part(c_name, '#', 1) AS first FROM customer")

@@ -39,3 +39,14 @@ def test_severity_inputs_meet_a_person_once(spark):
         first = min((x[2] for x in own if x[2]), default=None)
         assert (got.cancer, got.lung, got.v, got.w) == (any(x[1] == "c" for x in own), any(x[1] == "l" for x in own), last("vx"), last("w"))
         assert got.age == (None if first is None else (until - first).days / 365)
+
+
+def test_crosswalks_hold_no_table_of_distinct_rows(spark, sf):
+    """Repeated and null values, keys that are missing, null or come twice; no hash aggregation, which holds all distinct rows."""
+    from cohortspark.operators import cohort as K
+    from cohortspark.plans import registry
+
+    rows = [(1, "b"), (1, "a"), (1, "b"), (1, None), (1, None), (2, None), (2, "a"), (3, "a"), (None, "a"), (4, ""), (4, "")]
+    df = K.distinct_of(spark.createDataFrame(rows, "k int, v string"), spark.createDataFrame([(1,), (1,), (2,), (4,), (5,), (None,)], "k int"), "k", "v")
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, {x for x in rows if x[0] in (1, 2, 4)}))
+    assert "HashAggregate" not in plan(registry.QUERIES["crosswalk_join"](spark, sf))
