@@ -20,12 +20,23 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("study_id"), F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("anchor_time"), split.alias("split"))
 
 
-def measurements(spark: SparkSession, d: str) -> DataFrame:
-    items = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
+def measured(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
+    """Measurements by the ids of their concepts, known or not."""
+    items = read(spark, d, "lineitem").where(only).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
     orders = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    parts = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
-    df = items.join(orders, items.l_orderkey == orders.o_orderkey).join(parts, items.l_partkey == parts.p_partkey)
-    return df.select(F.col("o_custkey").alias("person_id"), F.col("p_type").alias("vocabulary"), F.col("p_brand").alias("code"), F.col("p_partkey").alias("concept_id"), F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("event_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"))
+    df = items.join(orders, items.l_orderkey == orders.o_orderkey)
+    return df.select(F.col("o_custkey").alias("person_id"), F.col("l_partkey").alias("concept_id"), F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("event_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"))
+
+
+def known(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Rows of known concepts with vocabulary and code. A short window leaves few rows: it comes first, or all measurements are
+    shuffled once more."""
+    parts = read(spark, d, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_type").alias("vocabulary"), F.col("p_brand").alias("code"))
+    return df.join(parts, "concept_id")
+
+
+def measurements(spark: SparkSession, d: str) -> DataFrame:
+    return known(measured(spark, d), spark, d).select("person_id", "vocabulary", "code", "concept_id", "value", "event_time", "event_id")
 
 
 def visits(spark: SparkSession, d: str) -> DataFrame:

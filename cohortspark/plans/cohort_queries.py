@@ -604,7 +604,8 @@ def export_timeline(spark, d):
 def _timeline(spark, d):
     from ..operators.concepts import timeline
 
-    return timeline({"labs": B.measurements(spark, d)}, B.anchors(spark, d), {"labs": 7})
+    rows = timeline({"labs": B.measured(spark, d)}, B.anchors(spark, d), {"labs": 7})
+    return B.known(rows, spark, d).select(rows.columns)
 
 
 @query("SELECT study_id, concept_id, value FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0", B.MET)

@@ -34,18 +34,18 @@ def lab_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT study_id, event_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND 30", B.MET)
 def window_join(spark, d):
-    return W.window_join(B.measurements(spark, d), B.anchors(spark, d), 30).select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+    return B.known(W.window_join(B.measured(spark, d), B.anchors(spark, d), 30), spark, d).select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
 @query("SELECT study_id, event_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND 90", B.MET)
 def window_join_bucketed(spark, d):
-    return W.window_join(B.measurements(spark, d), B.anchors(spark, d), 90, bucket_days=32).select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+    return B.known(W.window_join(B.measured(spark, d), B.anchors(spark, d), 90, bucket_days=32), spark, d).select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
 @query("SELECT study_id, event_id, concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM met WHERE days_before BETWEEN 1 AND least(60, study_id % 90)", B.MET)
 def window_join_capped(spark, d):
     anchors = B.anchors(spark, d).withColumn("cap", F.col("study_id") % 90)
-    return W.window_join(B.measurements(spark, d), anchors, 60, "cap").select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+    return B.known(W.window_join(B.measured(spark, d), anchors, 60, "cap"), spark, d).select("study_id", "event_id", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
 @query("SELECT study_id, event_id, value, CAST(days_before AS BIGINT) AS days_before FROM (SELECT *, CASE code WHEN 'Brand#1' THEN 10 WHEN 'Brand#2' THEN 1 ELSE CASE vocabulary WHEN 'ECONOMY' THEN 5 ELSE 1 END END AS lo, CASE code WHEN 'Brand#1' THEN 20 WHEN 'Brand#2' THEN 3 ELSE CASE vocabulary WHEN 'ECONOMY' THEN 50 ELSE 30 END END AS hi FROM met) WHERE days_before BETWEEN 1 AND 365 AND days_before BETWEEN lo AND hi", B.MET)
@@ -203,13 +203,13 @@ def record_dates(spark, d):
 
 @query("SELECT study_id, concept_id, CAST(days_before AS BIGINT) AS days_before, 'labs' AS \"table\", value FROM met WHERE days_before BETWEEN 1 AND 7 AND concept_id <> 0 UNION ALL SELECT a.study_id, p_partkey, date_diff('day', CAST(l_shipdate AS DATE), anchor_date), 'drugs', CAST(NULL AS DOUBLE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN anchors a ON person_id = o_custkey WHERE p_partkey <> 0 AND l_returnflag = 'R' AND date_diff('day', CAST(l_shipdate AS DATE), anchor_date) BETWEEN 1 AND 30", B.MET)
 def timeline(spark, d):
-    return C.timeline(_tables(spark, d), B.anchors(spark, d), {"labs": 7, "drugs": 30}).select("study_id", "concept_id", F.col("days_before").cast("long").alias("days_before"), "table", "value")
+    return B.known(C.timeline(_tables(spark, d), B.anchors(spark, d), {"labs": 7, "drugs": 30}), spark, d).select("study_id", "concept_id", F.col("days_before").cast("long").alias("days_before"), "table", "value")
 
 
 def _tables(spark, d):
-    items = B.read(spark, d, "lineitem").where("l_returnflag = 'R'").join(B.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    drugs = items.select(F.col("o_custkey").alias("person_id"), F.col("p_partkey").alias("concept_id"), F.col("l_shipdate").alias("event_time"), F.lit(None).cast("double").alias("value"))
-    return {"labs": B.measurements(spark, d).select("person_id", "concept_id", "event_time", "value"), "drugs": drugs}
+    """Concepts may be unknown: what a timeline leaves goes through `known`."""
+    drugs = B.measured(spark, d, "l_returnflag = 'R'").select("person_id", "concept_id", "event_time", F.lit(None).cast("double").alias("value"))
+    return {"labs": B.measured(spark, d).select("person_id", "concept_id", "event_time", "value"), "drugs": drugs}
 
 
 _STACKED = f"{B.MET}, stacked AS (SELECT 'labs' AS \"table\", study_id, concept_id, event_time, value, days_before FROM met WHERE concept_id <> 0 UNION ALL SELECT 'drugs', a.study_id, p_partkey, l_shipdate, CAST(NULL AS DOUBLE), date_diff('day', CAST(l_shipdate AS DATE), anchor_date) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN anchors a ON person_id = o_custkey WHERE p_partkey <> 0 AND l_returnflag = 'R')"
@@ -218,12 +218,13 @@ _STACKED = f"{B.MET}, stacked AS (SELECT 'labs' AS \"table\", study_id, concept_
 @query("SELECT study_id, \"table\", concept_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, value, CAST(days_before AS BIGINT) AS days_before, coalesce(p.p_type, 'Unknown') AS vocabulary, coalesce(p.p_brand, '') AS code, coalesce(p.p_name, 'Unknown') AS name FROM stacked LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) p ON p_partkey = concept_id WHERE days_before BETWEEN 1 AND CASE \"table\" WHEN 'labs' THEN 7 ELSE 14 END", _STACKED)
 def event_timeline(spark, d):
     rows = C.event_timeline(_tables(spark, d), B.anchors(spark, d), {"labs": 7, "drugs": 14}, B.concepts(spark, d).where("concept_id % 5 <> 0"))
+    rows = rows.join(B.concepts(spark, d).select("concept_id"), "concept_id")
     return rows.select("study_id", "table", "concept_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "value", F.col("days_before").cast("long").alias("days_before"), "vocabulary", "code", "name")
 
 
 @query("SELECT study_id, \"table\", concept_id, value, CAST(days_before AS BIGINT) AS days_before FROM stacked WHERE days_before BETWEEN 1 AND 3", _STACKED)
 def event_stack(spark, d):
-    return C.event_stack(_tables(spark, d), B.anchors(spark, d), 3).select("study_id", "table", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
+    return B.known(C.event_stack(_tables(spark, d), B.anchors(spark, d), 3), spark, d).select("study_id", "table", "concept_id", "value", F.col("days_before").cast("long").alias("days_before"))
 
 
 @query("SELECT event_id, best[3] AS near_id, CAST(abs(best[1]) AS BIGINT) AS gap_us FROM (SELECT l.event_id, min([abs(epoch_us(r.ts) - epoch_us(l.ts)), epoch_us(r.ts), r.event_id]) AS best FROM events l LEFT JOIN events r ON l.user_id = r.user_id AND r.event_type = 'purchase' AND abs(epoch_us(r.ts) - epoch_us(l.ts)) <= 7200000000 WHERE l.event_type = 'signup' GROUP BY l.event_id)")

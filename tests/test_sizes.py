@@ -50,3 +50,14 @@ def test_crosswalks_hold_no_table_of_distinct_rows(spark, sf):
     df = K.distinct_of(spark.createDataFrame(rows, "k int, v string"), spark.createDataFrame([(1,), (1,), (2,), (4,), (5,), (None,)], "k int"), "k", "v")
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, {x for x in rows if x[0] in (1, 2, 4)}))
     assert "HashAggregate" not in plan(registry.QUERIES["crosswalk_join"](spark, sf))
+
+
+def test_short_windows_come_before_concepts(spark, sf):
+    """Few measurements lie in a short window, so these alone are shuffled to meet their concepts, once for all tables."""
+    from cohortspark.plans import registry
+
+    for name in ("window_join", "window_join_bucketed", "window_join_capped", "timeline", "event_timeline", "event_stack"):
+        tree = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in tree.splitlines() if "Join" in x]
+        assert "_bucket" not in joins[0] and any("_bucket" in x for x in joins), name
+        assert name == "event_timeline" or sum("concept_id" in x for x in joins) == 1, name
