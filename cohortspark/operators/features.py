@@ -27,9 +27,14 @@ def lab_features(events: DataFrame, anchors: DataFrame, windows: tuple[int, ...]
     events: person_id, vocabulary, code, event_time, event_id, value (nulls don't count). One join and one aggregation for
     all windows; only aggregates are turned into rows. `last` is the value of the latest day, then of the latest time, the
     smallest event id and value. most_recent_date is the day of `last`.
+
+    Few events of a study share a code, so rows go to their study and code as they are, not as partial aggregates of all windows,
+    and are sorted and aggregated there.
     """
-    rows = window_join(placed(events), anchors, max(windows), cap_col, bucket_days)
-    aggs: list[Column] = [F.min_by("value", "_place").alias("last"), F.min("days_before").cast("double").alias("days_since")]
+    order = F.struct(-F.unix_micros(F.col("event_time").cast("timestamp")), "event_id", "value")
+    rows = window_join(events.where("value is not null").select("person_id", "vocabulary", "code", "event_time", "event_id", "value"), anchors, max(windows), cap_col, bucket_days)
+    rows = rows.select("study_id", "vocabulary", "code", "event_time", "event_id", "value", "days_before").repartition("study_id", "vocabulary", "code")
+    aggs: list[Column] = [F.min_by("value", order).alias("last"), F.min("days_before").cast("double").alias("days_since")]
     for w in windows:
         v = F.when(F.col("days_before") <= w, F.col("value"))
         aggs += [F.min(v).alias(f"min_{w}"), F.max(v).alias(f"max_{w}"), F.avg(v).alias(f"mean_{w}"), F.count(v).cast("double").alias(f"n_{w}")]

@@ -61,3 +61,20 @@ def test_short_windows_come_before_concepts(spark, sf):
         joins = [x for x in tree.splitlines() if "Join" in x]
         assert "_bucket" not in joins[0] and any("_bucket" in x for x in joins), name
         assert name == "event_timeline" or sum("concept_id" in x for x in joins) == 1, name
+
+
+def test_lab_features_aggregate_rows_once(spark):
+    """Rows are ordered at their study and code only, not among all events of a person before; ties go to the later time, then
+    the smaller event id, then the smaller value."""
+    import datetime as dt
+
+    from cohortspark.operators import features as X
+
+    day = lambda x: dt.datetime(2020, 1, 1) + dt.timedelta(days=x)
+    rows = [(1, "v", "c", day(9.2), 1, 1.0), (1, "v", "c", day(9.5), 7, 2.0), (1, "v", "c", day(9.5), 3, 5.0), (1, "v", "c", day(9.5), 3, 4.0), (1, "v", "c", day(9.9), 2, None), (1, "v", "c", day(5), None, 8.0), (1, "v", "c", day(5), 0, 9.0), (1, "v", "d", day(5), 0, 9.0)]
+    events = spark.createDataFrame(rows, "person_id int, vocabulary string, code string, event_time timestamp, event_id long, value double")
+    anchors = spark.createDataFrame([(10, 1, day(10)), (11, 1, day(6))], "study_id int, person_id int, anchor_time timestamp")
+    df = X.lab_features(events, anchors, (2, 7))
+    got = {(r.study_id, r.code, r.window_days): r.value for r in df.where("agg = 'last'").collect()}
+    assert got == {(10, "c", 2): 4.0, (10, "c", 7): 4.0, (10, "d", 7): 9.0, (11, "c", 2): 8.0, (11, "c", 7): 8.0, (11, "d", 2): 9.0, (11, "d", 7): 9.0}
+    assert "Window" not in plan(df) and "HashAggregate" not in plan(df)
