@@ -600,7 +600,7 @@ def joined_documents(docs: DataFrame, width: int, percent: int, cell: int, **lim
         large = members.where(F.col("members") > cell)
         if not large.isEmpty():
             maybe = maybe.unionByName(large_keys_linked(large, sketches, percent, cell))
-    region = checkpointed(components(maybe).select("node", F.col("root").alias("region")))
+    region = components(maybe).select("node", F.col("root").alias("region"))
     removed(spark, keyed_path)
 
     # one document for each node, before any join: numbers only, so that copies are combined before the shuffle
@@ -615,11 +615,11 @@ def joined_documents(docs: DataFrame, width: int, percent: int, cell: int, **lim
     crowded = wanted.groupBy("region").count().where(F.col("count") > limits.get("leaf_sets", LEAF_SETS)).select("region")
     crowded = checkpointed(wanted.join(small(checkpointed(crowded)), "region", "left_semi"))
     if percent >= CLASSES_FROM and not crowded.isEmpty():
-        again = checkpointed(components(key_edges(keys_again(texts(crowded), width, percent, seed=1))).select("node", F.col("root").alias("region")))
+        again = components(key_edges(keys_again(texts(crowded), width, percent, seed=1))).select("node", F.col("root").alias("region"))
         wanted = checkpointed(wanted.join(crowded.select("node"), "node", "left_anti").unionByName(crowded.drop("region").join(again, "node").select(wanted.columns)))
     sets, sets_path = written(with_sets(texts(wanted), width), "shingle-sets")
     links = region_links(sets, percent, **limits)
-    roots = checkpointed(components(links))
+    roots = components(links)
     removed(spark, sets_path)
     return slim.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
 
